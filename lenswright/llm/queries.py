@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, tokenids, tokens, warc
+from . import packing, pii, quality, tokenids, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.round_trip_digest(table(spark, sf_dir, "documents"), tokens.default_path())
 
@@ -32,4 +36,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_token_ids": op5_token_ids, "op6_warc": op6_warc, "op7_packing": op7_packing, "op10_quality": op10_quality}
+    return {"op4_pii": op4_pii, "op5_token_ids": op5_token_ids, "op6_warc": op6_warc, "op7_packing": op7_packing, "op10_quality": op10_quality}
