@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, quality, tokenids, tokens, warc
+from . import decontaminate, packing, pii, quality, tokenids, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -36,4 +40,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_pii": op4_pii, "op5_token_ids": op5_token_ids, "op6_warc": op6_warc, "op7_packing": op7_packing, "op10_quality": op10_quality}
+    return {"op2_decontamination": op2_decontamination, "op4_pii": op4_pii, "op5_token_ids": op5_token_ids, "op6_warc": op6_warc, "op7_packing": op7_packing, "op10_quality": op10_quality}
