@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, packing, pii, quality, tokenids, tokens, warc
+from . import decontaminate, fingerprints, neardup, packing, pii, quality, tokenids, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), 85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -44,4 +48,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontamination": op2_decontamination, "op4_pii": op4_pii, "op5_token_ids": op5_token_ids, "op6_warc": op6_warc, "op7_packing": op7_packing, "op8_fingerprints": op8_fingerprints, "op10_quality": op10_quality}
+    return {"op2_decontamination": op2_decontamination, "op3_near_duplicates": op3_near_duplicates, "op4_pii": op4_pii, "op5_token_ids": op5_token_ids, "op6_warc": op6_warc, "op7_packing": op7_packing, "op8_fingerprints": op8_fingerprints, "op10_quality": op10_quality}
