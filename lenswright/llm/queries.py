@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, neardup, packing, pii, quality, tokenids, tokens, warc
+from . import decontaminate, fingerprints, lm, neardup, packing, pii, quality, tokenids, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,10 +42,14 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.learn_and_score(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontamination": op2_decontamination, "op3_near_duplicates": op3_near_duplicates, "op4_pii": op4_pii, "op5_token_ids": op5_token_ids, "op6_warc": op6_warc, "op7_packing": op7_packing, "op8_fingerprints": op8_fingerprints, "op10_quality": op10_quality}
+    return {"op2_decontamination": op2_decontamination, "op3_near_duplicates": op3_near_duplicates, "op4_pii": op4_pii, "op5_token_ids": op5_token_ids, "op6_warc": op6_warc, "op7_packing": op7_packing, "op8_fingerprints": op8_fingerprints, "op9_lm_scores": op9_lm_scores, "op10_quality": op10_quality}
