@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, lm, neardup, packing, pii, quality, tokenids, tokens, warc
+from . import decontaminate, fingerprints, html_extract, lm, neardup, packing, pii, quality, tokenids, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,4 +56,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontamination": op2_decontamination, "op3_near_duplicates": op3_near_duplicates, "op4_pii": op4_pii, "op5_token_ids": op5_token_ids, "op6_warc": op6_warc, "op7_packing": op7_packing, "op8_fingerprints": op8_fingerprints, "op9_lm_scores": op9_lm_scores, "op10_quality": op10_quality}
+    return {"op1_main_text": op1_main_text, "op2_decontamination": op2_decontamination, "op3_near_duplicates": op3_near_duplicates, "op4_pii": op4_pii, "op5_token_ids": op5_token_ids, "op6_warc": op6_warc, "op7_packing": op7_packing, "op8_fingerprints": op8_fingerprints, "op9_lm_scores": op9_lm_scores, "op10_quality": op10_quality}
