@@ -245,15 +245,16 @@ def redact(docs: DataFrame) -> DataFrame:
     if more.count() <= BROADCAST_ROWS:
         more = F.broadcast(more)
     small_batches(spark)
+    docs = without(docs, "_pii_key", "_pii_more")
     names = [c.lower() for c in docs.columns]
     text_at, id_at = names.index("text"), names.index("doc_id")
-    docs = without(docs, "_pii_key", "_pii_more")
     keyed_schema = StructType([*docs.schema.fields, StructField("_pii_key", BinaryType())])
+    columns = list(docs.columns)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = [_key(i, t or "") for i, t in zip(b.column(id_at).to_pylist(), b.column(text_at).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=[f.name for f in keyed_schema])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=[*columns, "_pii_key"])
 
     def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -266,8 +267,8 @@ def redact(docs: DataFrame) -> DataFrame:
                         parts += [text[at:s], f"[{KINDS[k].upper()}]"]
                     at = max(at, e)
                 out.append(text if not spans else "".join(parts) + text[at:])
-            columns = [pa.array(out, pa.string()) if k == text_at else c for k, c in enumerate(b.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            changed = [pa.array(out, pa.string()) if k == text_at else c for k, c in enumerate(b.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(changed, names=columns)
 
     joined = docs.mapInArrow(keyed, keyed_schema).join(more.withColumnsRenamed({"key": "_pii_key", "more": "_pii_more"}), "_pii_key", "left")
     done = joined.select(*[f"`{c}`" for c in docs.columns], "_pii_more").mapInArrow(replaced, docs.schema)
