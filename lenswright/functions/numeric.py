@@ -6,9 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def formatted(x: Column, digits: int) -> Column:
+    """A number as text with so many decimals, rounded as Python's format does."""
+    return F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * digits))
+
+
 def python_round(x: Column, digits: int = 2) -> Column:
     """``round(x, digits)`` as Python has it: of the exact binary value, ties to even."""
-    return F.regexp_replace(F.format_number(x, "0." + "0" * digits), ",", "").cast("double")
+    return formatted(x, digits).cast("double")
 
 
 def python_int(x: Column) -> Column:

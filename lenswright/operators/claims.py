@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .damage import NO_DAMAGE
+from ..functions.numeric import formatted
 
 THRESHOLD = 0.30
 
 
 def percent_text(x: Column, digits: int = 2) -> Column:
-    return F.concat(F.regexp_replace(F.format_number(x, "0." + "0" * digits), ",", ""), F.lit("%"))
+    return F.concat(formatted(x, digits), F.lit("%"))
 
 
 def claim_id(key: Column, year: int) -> Column:
@@ -32,11 +32,18 @@ def kilobytes(size: Column) -> Column:
     return size / F.lit(1024.0)
 
 
-def summary_text(prediction: Column, prob: Column, damage_count: Column, severity: Column) -> Column:
-    """The sentence that sums a claim up."""
-    risk = F.when(prediction == 1, F.concat(F.lit("Potential fraud indicators found ("), percent_text(prob * 100.0, 1), F.lit(" fraud probability)."))).otherwise(F.concat(F.lit("No strong fraud indicators ("), percent_text(prob * 100.0, 1), F.lit(" fraud probability).")))
-    damage = F.when(damage_count > 0, F.concat(F.lit(" Damaged areas: "), damage_count.cast("string"), F.lit("; overall severity: "), severity, F.lit("."))).otherwise(F.lit(f" {NO_DAMAGE}."))
-    return F.concat(risk, damage)
+# The report's sentences, around a percentage.
+FRAUD_SUMMARY = (
+    "The model identified visual patterns consistent with the Fraud class at ",
+    " probability. The Grad-CAM heatmap highlights the image regions that most strongly influenced this prediction — review these areas alongside the claim history before making a determination.",
+)
+CLEAR_SUMMARY = ("No strong fraud signal was detected. The model's non-fraud confidence is ", ". This result should still be treated as AI-assisted screening rather than a final decision.")
+
+
+def summary_text(prediction: Column, prob: Column) -> Column:
+    """The sentence that sums a claim up: the fraud probability, or how sure its absence is."""
+    around = lambda text, x: F.concat(F.lit(text[0]), percent_text(x * 100.0, 1), F.lit(text[1]))
+    return F.when(prediction == 1, around(FRAUD_SUMMARY, prob)).otherwise(around(CLEAR_SUMMARY, 1.0 - prob))
 
 
 def report(fraud: DataFrame, damage: DataFrame, key: str = "claim_key") -> DataFrame:
@@ -46,5 +53,5 @@ def report(fraud: DataFrame, damage: DataFrame, key: str = "claim_key") -> DataF
     fields = ["damage_detected", "damage_count", "damage_coverage_percentage", "overall_severity", "overall_severity_score", "detections"]
     return both.select(
         key, claim_id(F.col(key), 2024).alias("claim_id"), processing_id(F.col(key)).alias("processing_id"), label.alias("fraud_label"), (F.col("prob") * 100.0).alias("fraud_probability"), (F.col("confidence") * 100.0).alias("model_confidence"),
-        summary_text(F.col("prediction"), F.col("prob"), F.col("damage_count"), F.col("overall_severity")).alias("summary"), F.struct(*fields).alias("damage_result"),
+        summary_text(F.col("prediction"), F.col("prob")).alias("summary"), F.struct(*fields).alias("damage_result"),
     )

@@ -103,24 +103,31 @@ def nested(detections: DataFrame) -> DataFrame:
 def suppress(boxes: DataFrame, min_confidence: float = MIN_CONFIDENCE, max_overlap: float = MAX_OVERLAP) -> DataFrame:
     """Greedy non-maximum suppression by claim and class, of boxes confident enough.
 
-    A group is one image's boxes of one class, which a detector bounds.
+    An image's boxes of one class, which a detector bounds, travel as one row;
+    Python sees rows in Arrow batches and returns the places of those kept.
     """
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["conf", "x1", "y1", "x2", "y2"], ascending=[False, True, True, True, True], kind="stable")
-        b, kept = rows[["x1", "y1", "x2", "y2"]].to_numpy(float), []
-        area = np.maximum(0, b[:, 2] - b[:, 0]) * np.maximum(0, b[:, 3] - b[:, 1])
-        for k in range(len(b)):
-            if kept:
-                o = b[kept]
-                both = np.maximum(0, np.minimum(o[:, 2], b[k, 2]) - np.maximum(o[:, 0], b[k, 0])) * np.maximum(0, np.minimum(o[:, 3], b[k, 3]) - np.maximum(o[:, 1], b[k, 1]))
-                union = area[kept] + area[k] - both
-                if (both > max_overlap * union).any():
-                    continue
-            kept.append(k)
-        return rows.iloc[kept]
-
-    return boxes.where(F.col("conf") >= min_confidence).groupBy("claim_id", "class_id").applyInPandas(greedy, boxes.schema)
+    columns = [c for c in boxes.columns if c not in ("claim_id", "class_id")]
+    one = F.struct((-F.col("conf")).alias("order"), "x1", "y1", "x2", "y2", *(F.col(c).alias(f"_{c}") for c in columns))
+    groups = boxes.where(F.col("conf") >= min_confidence).groupBy("claim_id", "class_id").agg(F.sort_array(F.collect_list(one)).alias("b"))
+
+    @F.pandas_udf("array<int>")
+    def kept(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
+        return pd.Series([_greedy(*(np.asarray(v, float) for v in row), max_overlap) for row in zip(x1, y1, x2, y2, strict=True)])
+
+    places = groups.withColumn("k", F.explode(kept("b.x1", "b.y1", "b.x2", "b.y2")))
+    found = places.select("claim_id", "class_id", F.get("b", F.col("k")).alias("b"))
+    return found.select("claim_id", "class_id", *(F.col(f"b._{c}").alias(c) for c in columns)).select(*boxes.columns)
+
+
+def _greedy(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, most: float) -> list[int]:
+    """Places of the boxes, best first, that overlap no better one kept by more than ``most`` of their union."""
+    area = np.maximum(0, x2 - x1) * np.maximum(0, y2 - y1)
+    out: list[int] = []
+    for k in range(len(x1)):
+        both = np.maximum(0, np.minimum(x2[out], x2[k]) - np.maximum(x1[out], x1[k])) * np.maximum(0, np.minimum(y2[out], y2[k]) - np.maximum(y1[out], y1[k]))
+        if not (both > most * (area[out] + area[k] - both)).any():
+            out.append(k)
+    return out
 
 
 def boxes_from(detect, images: DataFrame, schema: str) -> DataFrame:

@@ -1,15 +1,577 @@
-"""The registered queries of the core library and their oracles."""
+"""The registered queries of the core library and their DuckDB oracles, side by side."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import numeric, paths
+from ..operators import audit, claims, damage, eda, metrics, neardup, scoring, splits
+from ..sources import files, sinks
+from . import fixtures as fx
+from .workspace import materialise, work_path
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _register(sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
+    """Sums of floats depend on their order in the last digits."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# -- metrics ---------------------------------------------------------------
+
+_RATES = """coalesce(CAST(tp + tn AS DOUBLE) / nullif(CAST(tp + tn + fp + fn AS DOUBLE), 0), 0) AS accuracy, coalesce(CAST(tp AS DOUBLE) / nullif(CAST(tp + fp AS DOUBLE), 0), 0) AS precision,
+  coalesce(CAST(tp AS DOUBLE) / nullif(CAST(tp + fn AS DOUBLE), 0), 0) AS recall, coalesce(CAST(2 * tp AS DOUBLE) / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0) AS f1"""
+_COUNTS = "CAST(sum(CASE WHEN label = 0 AND prob < {t} THEN 1 ELSE 0 END) AS BIGINT) AS tn, CAST(sum(CASE WHEN label = 0 AND prob >= {t} THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN label = 1 AND prob < {t} THEN 1 ELSE 0 END) AS BIGINT) AS fn, CAST(sum(CASE WHEN label = 1 AND prob >= {t} THEN 1 ELSE 0 END) AS BIGINT) AS tp"
+_CONF = f"{fx.SCORES}, conf AS (SELECT {_COUNTS.format(t='0.5')} FROM scores)"
+_GRID = "grid AS (SELECT CAST(0.05 AS DOUBLE) + CAST(i AS DOUBLE) * CAST(0.010000000000000002 AS DOUBLE) AS threshold FROM range(91) r(i))"
+_SWEEP = f"{fx.SCORES}, {_GRID}, counts AS (SELECT threshold, {_COUNTS.format(t='threshold')} FROM scores, grid GROUP BY 1), sweep AS (SELECT threshold, {_RATES}, tn, fp, fn, tp FROM counts)"
+_ORDER = "f1 DESC, recall DESC, precision DESC, threshold"
+
+
+@_register(f"WITH {_SWEEP} SELECT * FROM sweep")
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.threshold_sweep(fx.scores(spark, sf_dir))
+
+
+@_register(f"WITH {_SWEEP} SELECT * FROM sweep ORDER BY {_ORDER} LIMIT 1")
+def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.ranked_thresholds(threshold_sweep(spark, sf_dir), 1).drop("rank")
+
+
+@_register(f"WITH {_SWEEP} SELECT *, CAST(row_number() OVER (ORDER BY {_ORDER}) AS INT) AS rank FROM sweep ORDER BY {_ORDER} LIMIT 10")
+def top10_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.ranked_thresholds(threshold_sweep(spark, sf_dir), 10)
+
+
+@_register(f"WITH {_CONF} SELECT * FROM conf")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.confusion_matrix(fx.scores(spark, sf_dir))
+
+
+@_register(f"WITH {_CONF} SELECT {_RATES} FROM conf")
+def prf_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.with_rates(metrics.confusion_matrix(fx.scores(spark, sf_dir))).select("accuracy", "precision", "recall", "f1")
+
+
+@_register(f"""WITH {_CONF}, c AS (SELECT 'Non-Fraud' AS class, tn AS hit, fn AS wrong, fp AS lost FROM conf UNION ALL SELECT 'Fraud', tp, fp, fn FROM conf),
+r AS (SELECT class, coalesce(CAST(hit AS DOUBLE) / nullif(CAST(hit + wrong AS DOUBLE), 0), 0) AS precision, coalesce(CAST(hit AS DOUBLE) / nullif(CAST(hit + lost AS DOUBLE), 0), 0) AS recall,
+  coalesce(CAST(2 * hit AS DOUBLE) / nullif(CAST(2 * hit + wrong + lost AS DOUBLE), 0), 0) AS f1, hit + lost AS support FROM c),
+a AS (SELECT * FROM r UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM r
+  UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM r)
+SELECT class, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1, support FROM a""")
+def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.classification_report(fx.scores(spark, sf_dir))
+
+
+_ROC = """(SELECT round(sum(CASE WHEN p.prob > n.prob THEN CAST(1 AS DOUBLE) WHEN p.prob = n.prob THEN CAST(0.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) / count(*), 9) FROM tied p, tied n WHERE p.label = 1 AND n.label = 0)"""
+_AP = """(SELECT round(sum(CAST(pos AS DOUBLE) / npos * (CAST(cp AS DOUBLE) / cn)), 9) FROM (SELECT pos, sum(pos) OVER () AS npos, sum(pos) OVER (ORDER BY prob DESC) AS cp, sum(n) OVER (ORDER BY prob DESC) AS cn
+  FROM (SELECT prob, sum(label) AS pos, count(*) AS n FROM tied GROUP BY 1)))"""
+
+
+@_register(f"WITH {fx.TIED} SELECT {_ROC} AS roc_auc")
+def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.roc_auc(fx.tied_scores(spark, sf_dir)), "roc_auc")
+
+
+@_register(f"WITH {fx.TIED} SELECT {_AP} AS average_precision")
+def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.average_precision(fx.tied_scores(spark, sf_dir)), "average_precision")
+
+
+@_register(f"WITH {fx.TIED}, conf AS (SELECT {_COUNTS.format(t='0.5')} FROM tied) SELECT tn, fp, fn, tp, {_RATES}, {_ROC} AS roc_auc, {_AP} AS average_precision FROM conf")
+def metric_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.metric_bundle(fx.tied_scores(spark, sf_dir)), "roc_auc", "average_precision")
+
+
+_PRED = f"{fx.SCORES}, pred AS (SELECT *, CAST(prob >= 0.30 AS INT) AS prediction FROM scores), predictions AS (SELECT *, label = prediction AS correct, CASE WHEN label = prediction THEN 'correct' WHEN label = 1 THEN 'missed_fraud' ELSE 'false_alarm' END AS error_type, CASE WHEN prediction = 1 THEN prob ELSE CAST(1 AS DOUBLE) - prob END AS confidence FROM pred)"
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.predictions(fx.scores(spark, sf_dir), claims.THRESHOLD)
+
+
+@_register(f"WITH {_PRED} SELECT * FROM predictions")
+def error_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predictions(spark, sf_dir)
+
+
+@_register(f"""WITH {_PRED} SELECT count(*) AS total, count(*) FILTER (WHERE correct) AS correct, count(*) FILTER (WHERE NOT correct) AS incorrect, count(*) FILTER (WHERE label = 1 AND prediction = 1) AS caught_fraud,
+count(*) FILTER (WHERE label = 1 AND prediction = 0) AS missed_fraud, count(*) FILTER (WHERE label = 0 AND prediction = 1) AS false_alarms, count(*) FILTER (WHERE label = 0 AND prediction = 0) AS passed FROM predictions""")
+def error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.error_summary(_predictions(spark, sf_dir))
+
+
+@_register(f"WITH {_PRED} SELECT doc_id, prob FROM predictions WHERE label = 1 AND prediction = 0 ORDER BY prob, doc_id LIMIT 13")
+def top_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predictions(spark, sf_dir).where("label = 1 and prediction = 0").orderBy("prob", "doc_id").limit(13).select("doc_id", "prob")
+
+
+@_register(f"WITH {_PRED} SELECT doc_id, prob FROM predictions WHERE label = 0 AND prediction = 1 ORDER BY prob DESC, doc_id LIMIT 10")
+def top_false_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predictions(spark, sf_dir).where("label = 0 and prediction = 1").orderBy(F.desc("prob"), "doc_id").limit(10).select("doc_id", "prob")
+
+
+@_register(f"""WITH {fx.SCORES} SELECT label, count(*) AS n, round(avg(prob), 9) AS mean, round(stddev_samp(prob), 9) AS std, min(prob) AS lowest, round(quantile_cont(prob, 0.25), 9) AS q25, round(quantile_cont(prob, 0.5), 9) AS q50,
+round(quantile_cont(prob, 0.75), 9) AS q75, max(prob) AS highest FROM scores GROUP BY label""")
+def prob_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.describe(fx.scores(spark, sf_dir)), "mean", "std", "q25", "q50", "q75")
+
+
+@_register(f"WITH {fx.SCORES} SELECT round(avg(-(label * ln(greatest(prob, CAST(1e-12 AS DOUBLE))) + (1 - label) * ln(greatest(1 - prob, CAST(1e-12 AS DOUBLE))))), 9) AS mean_loss FROM scores")
+def bce_mean_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.mean_loss(fx.scores(spark, sf_dir)), "mean_loss")
+
+
+@_register(f"WITH {fx.HISTORY} SELECT * FROM history ORDER BY f1 DESC, epoch LIMIT 1")
+def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.best_epoch(fx.history(spark, sf_dir))
+
+
+@_register(f"WITH {fx.HISTORY}, b AS (SELECT epoch, f1, coalesce(max(f1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS previous_best FROM history) SELECT *, f1 > previous_best AS improved FROM b")
+def running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.running_best(fx.history(spark, sf_dir))
+
+
+@_register(f"WITH {fx.SCORES} SELECT doc_id, round(1 / (1 + exp(-(8 * prob - 4))), 9) AS sigmoid, round(exp(8 * prob - 4) / (exp(-prob) + exp(8 * prob - 4)), 9) AS softmax FROM scores")
+def probability_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = F.lit(8.0) * F.col("prob") - F.lit(4.0)
+    return fx.scores(spark, sf_dir).select("doc_id", F.round(numeric.sigmoid(z), 9).alias("sigmoid"), F.round(numeric.softmax_second(-F.col("prob"), z), 9).alias("softmax"))
+
+
+# -- profiles --------------------------------------------------------------
+
+
+@_register(f"""WITH {fx.SAMPLES}, grid AS (SELECT s.split, CAST(c.label AS INT) AS label FROM (SELECT unnest(['train', 'validation', 'test']) AS split) s, (SELECT unnest([0, 1]) AS label) c)
+SELECT g.split, g.label, CASE WHEN g.label = 0 THEN 'Non-Fraud' ELSE 'Fraud' END AS class_name, count(s.doc_id) AS n FROM grid g LEFT JOIN samples s ON s.split = g.split AND s.label = g.label GROUP BY 1, 2""")
+def class_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.class_distribution(fx.samples(spark, sf_dir), ["train", "validation", "test"], [0, 1])
+
+
+@_register(f"""WITH {fx.SAMPLES}, s AS (SELECT coalesce(split, 'overall') AS split, coalesce(CAST(label AS VARCHAR), 'all') AS class, count(*) AS n FROM samples GROUP BY GROUPING SETS ((split, label), (label), (split), ()))
+SELECT split, class, n, CAST(printf('%.2f', n * CAST(100 AS DOUBLE) / max(CASE WHEN class = 'all' THEN n END) OVER (PARTITION BY split)) AS DOUBLE) AS percent FROM s""")
+def class_totals_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.class_totals(fx.samples(spark, sf_dir))
+
+
+@_register(f"WITH {fx.SAMPLES}, c AS (SELECT label, count(*) AS n FROM samples GROUP BY 1) SELECT label, n, CAST(CAST(CAST(sum(n) OVER () AS DOUBLE) / CAST(count(*) OVER () * n AS DOUBLE) AS FLOAT) AS DOUBLE) AS weight FROM c")
+def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.class_weights(fx.samples(spark, sf_dir))
+
+
+@_register(f"WITH {fx.SAMPLES}, c AS (SELECT split, label, count(*) AS n FROM samples GROUP BY 1, 2) SELECT split, label, n, CAST(100 AS DOUBLE) * n / CAST(sum(n) OVER (PARTITION BY split) AS DOUBLE) AS share FROM c")
+def label_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.label_share(fx.samples(spark, sf_dir))
+
+
+@_register("SELECT source, count(*) AS n FROM documents GROUP BY 1")
+def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.value_counts(fx.table(spark, sf_dir, "documents"), "source")
+
+
+@_register(f"WITH {fx.SAMPLES} SELECT md5(text) AS hash, count(*) AS n, string_agg(path, '|' ORDER BY path) AS files FROM samples GROUP BY 1 HAVING count(*) > 1")
+def exact_dup_groups_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.duplicate_groups(fx.samples(spark, sf_dir), F.md5(F.col("text").cast("binary")))
+
+
+@_register(f"WITH {fx.SIZED} SELECT count(*) AS images, (SELECT count(*) FROM (SELECT DISTINCT width, height FROM sized WHERE width IS NOT NULL)) AS distinct_sizes, min(width) AS min_width, max(width) AS max_width, min(height) AS min_height, max(height) AS max_height FROM sized WHERE width IS NOT NULL")
+def dimension_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.dimension_stats(fx.sized(spark, sf_dir).where("width is not null"))
+
+
+@_register(f"WITH {fx.SIZED} SELECT width, height, count(*) AS n, min(doc_id) AS first_seen FROM sized WHERE width IS NOT NULL GROUP BY 1, 2 ORDER BY n DESC, first_seen LIMIT 10")
+def top_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.top_dimensions(fx.sized(spark, sf_dir).where("width is not null"))
+
+
+@_register("""WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, greatest((SELECT count(*) FROM labels) // 16, 1) AS step FROM labels)
+SELECT doc_id, pos // step AS sample_no, (pos // step) % 4 AS "column", pos // step // 4 AS "row" FROM p WHERE pos % step = 0 AND pos < step * 16""")
+def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.grid_cells(eda.systematic_sample(fx.table(spark, sf_dir, "labels").select("doc_id"), 16, "doc_id"), 4)
+
+
+@_register(f"""WITH {fx.SIZED}, r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY doc_id) AS k FROM sized)
+SELECT split, count(*) AS checked, count(width) AS readable, min(width) AS min_width, max(width) AS max_width, min(height) AS min_height, max(height) AS max_height FROM r WHERE k <= 100 GROUP BY 1""")
+def head_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.head_sanity(fx.sized(spark, sf_dir))
+
+
+@_register(f"""WITH {fx.SAMPLES} SELECT doc_id, lower(path) AS canonical, lower(split_part(path, '/', -1)) AS filename, regexp_replace(lower(split_part(path, '/', -1)), '\\.[^.]*$', '') AS stem,
+lower(regexp_replace(path, '/[^/]*$', '')) AS parent, '.txt' AS suffix, substr(path, 7) AS relative, split_part(path, '/', -2) AS folder, printf('group_%04d.jpg', doc_id) AS output_name FROM samples""")
+def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("path")
+    messy = F.regexp_replace(p, "^/data/", "/data/./other/../")
+    return fx.samples(spark, sf_dir).select(
+        "doc_id", paths.canonical(messy).alias("canonical"), paths.filename(p).alias("filename"), paths.stem(p).alias("stem"), paths.parent(p).alias("parent"), paths.suffix(p).alias("suffix"), paths.relative(p, "/data").alias("relative"),
+        paths.part(p, 2).alias("folder"), paths.numbered("group_%04d.jpg", F.col("doc_id")).alias("output_name"),
+    )
+
+
+# -- audits ----------------------------------------------------------------
+
+_PAIRS = "pr AS (SELECT * FROM (VALUES ('train', 'validation'), ('train', 'test'), ('validation', 'test')) v(split_a, split_b))"
+
+
+def _overlap_sql(key: str, n: int) -> str:
+    return f"""WITH {fx.SAMPLES}, {_PAIRS}, k AS (SELECT DISTINCT {key} AS key, split FROM samples), s AS (SELECT split_a, split_b, a.key, row_number() OVER (PARTITION BY split_a, split_b ORDER BY a.key) AS r
+  FROM pr JOIN k a ON a.split = split_a JOIN k b ON b.split = split_b AND a.key = b.key)
+SELECT pr.split_a, pr.split_b, count(s.key) AS shared, coalesce(string_agg(s.key, '|' ORDER BY s.key) FILTER (WHERE r <= {n}), '') AS examples FROM pr LEFT JOIN s ON s.split_a = pr.split_a AND s.split_b = pr.split_b GROUP BY 1, 2"""
+
+
+@_register(_overlap_sql("lower(path)", 5))
+def path_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.overlap(fx.samples(spark, sf_dir), paths.canonical(F.col("path")), 5)
+
+
+@_register(_overlap_sql("lower(split_part(path, '/', -1))", 10))
+def filename_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.overlap(fx.samples(spark, sf_dir), paths.filename(F.col("path")), 10)
+
+
+@_register(f"""WITH {fx.SAMPLES}, {_PAIRS}, hs AS (SELECT sha256(text) AS hash, split, count(*) AS n, array_to_string(list_sort(list_distinct(list(path)))[1:2], '|') AS paths FROM samples GROUP BY 1, 2)
+SELECT split_a, split_b, a.hash, a.n AS files_a, b.n AS files_b, a.paths AS paths_a, b.paths AS paths_b FROM pr JOIN hs a ON a.split = split_a JOIN hs b ON b.split = split_b AND b.hash = a.hash""")
+def sha256_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.hash_overlap(fx.samples(spark, sf_dir), F.sha2(F.col("text"), 256))
+
+
+@_register(f"WITH {fx.SAMPLES} SELECT lower(regexp_replace(path, '/[^/]*$', '')) AS directory, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM samples GROUP BY 1 HAVING count(DISTINCT split) > 1")
+def directory_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.directory_overlap(fx.samples(spark, sf_dir), paths.parent(F.col("path")))
+
+
+@_register(f"WITH {fx.SAMPLES} SELECT split, count(*) - count(DISTINCT lower(path)) AS duplicate_paths, count(*) - count(DISTINCT lower(split_part(path, '/', -1))) AS duplicate_filenames FROM samples GROUP BY 1")
+def internal_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.internal_duplicates(fx.samples(spark, sf_dir), paths.canonical(F.col("path")), paths.filename(F.col("path")))
+
+
+@_register("SELECT column_name AS missing FROM (VALUES ('label'), ('path'), ('doc_id')) v(column_name) WHERE column_name NOT IN ('doc_id', 'text', 'lang', 'source', 'n_chars')")
+def required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = audit.missing_columns(fx.table(spark, sf_dir, "documents"), ("path", "label", "doc_id"))
+    return spark.createDataFrame([(c,) for c in gone], "missing string")
+
+
+def _multi(key: str) -> str:
+    return f"(SELECT count(*) FROM (SELECT {key} FROM samples GROUP BY 1 HAVING count(DISTINCT split) > 1))"
+
+
+@_register(f"""WITH {fx.SAMPLES}, v AS (SELECT {_multi("lower(path)")} AS shared_paths, {_multi("sha256(text)")} AS shared_hashes, {_multi("lower(split_part(path, '/', -1))")} AS shared_filenames, {_multi("lower(regexp_replace(path, '/[^/]*$', ''))")} AS shared_directories,
+  (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT split, lower(path) FROM samples)) FROM samples) AS internal_duplicates)
+SELECT *, CASE WHEN shared_paths > 0 OR shared_hashes > 0 THEN 'LEAKAGE' WHEN shared_filenames > 0 OR internal_duplicates > 0 OR shared_directories > 0 THEN 'SUSPICIOUS' ELSE 'PASS' END AS verdict FROM v""")
+def leakage_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, p = fx.samples(spark, sf_dir), F.col("path")
+    count = lambda key, name: audit.keys_by_split(s, key).agg(F.coalesce(F.sum((F.size("splits") > 1).cast("long")), F.lit(0)).alias(name))
+    out = count(paths.canonical(p), "shared_paths").crossJoin(count(F.sha2("text", 256), "shared_hashes")).crossJoin(count(paths.filename(p), "shared_filenames")).crossJoin(count(paths.parent(p), "shared_directories"))
+    inside = audit.internal_duplicates(s, paths.canonical(p), paths.filename(p)).agg(F.coalesce(F.sum("duplicate_paths"), F.lit(0)).alias("internal_duplicates"))
+    out = out.crossJoin(inside)  # one row each
+    return out.withColumn("verdict", audit.verdict(*(F.col(c) for c in ("shared_paths", "shared_hashes", "shared_filenames", "internal_duplicates", "shared_directories"))))
+
+
+@_register("SELECT doc_id, concat('/docs/', CAST(doc_id AS VARCHAR)) AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/docs/"), F.col("doc_id").cast("string")).alias("path")
+    return audit.missing(fx.table(spark, sf_dir, "documents").select("doc_id", path), fx.table(spark, sf_dir, "labels").select(path), "path").select("doc_id", "path")
+
+
+_RANK = "CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END"
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    s = fx.samples(spark, sf_dir).select("doc_id", "path", "label", "split")
+    return {n: s.where(F.col("split") == n).drop("split") for n in ("train", "validation", "test")}
+
+
+@_register(f"WITH {fx.SAMPLES}, r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY {_RANK}, doc_id) AS k FROM samples) SELECT path, doc_id, label, split AS old_split FROM r WHERE k = 1")
+def union_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.dedup_first(list(_parts(spark, sf_dir).items()))
+
+
+@_register(f"WITH {fx.SAMPLES} SELECT doc_id, path, label, split FROM samples")
+def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.tagged_union(_parts(spark, sf_dir))
+
+
+@_register(f"""WITH {fx.SAMPLES}, d AS (SELECT DISTINCT lower(regexp_replace(path, '/[^/]*$', '')) AS dir, split FROM samples)
+SELECT 'intersect' AS operation, dir FROM (SELECT dir FROM d WHERE split = 'train' INTERSECT SELECT dir FROM d WHERE split = 'test') UNION ALL
+SELECT 'except', dir FROM (SELECT dir FROM d WHERE split = 'train' EXCEPT SELECT dir FROM d WHERE split = 'test') UNION ALL SELECT 'union', dir FROM (SELECT dir FROM d WHERE split = 'train' UNION SELECT dir FROM d WHERE split = 'test')""")
+def directory_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = fx.samples(spark, sf_dir)
+    a, b = (s.where(F.col("split") == n).select(paths.parent(F.col("path")).alias("dir")) for n in ("train", "test"))
+    parts = {"intersect": a.intersect(b), "except": a.subtract(b), "union": a.union(b).distinct()}
+    return files.tagged_union(parts, "operation")
+
+
+# -- near duplicates -------------------------------------------------------
+
+
+@_register(f"WITH {fx.SIMHASH} SELECT * FROM hashes")
+def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.hashes(spark, sf_dir)
+
+
+@_register(f"WITH {fx.SIMHASH} SELECT * FROM pairs")
+def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.hamming_pairs(materialise(fx.hashes(spark, sf_dir), "hashes"), 4)
+
+
+_NEAR = fx.SIMHASH + """, near AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, CAST(bit_count(xor(a.hash, b.hash)) AS INT) AS distance, row_number() OVER (PARTITION BY a.doc_id ORDER BY bit_count(xor(a.hash, b.hash)), b.doc_id) AS r
+  FROM hashes a JOIN hashes b ON a.doc_id % 20 < 14 AND b.doc_id % 20 >= 17)"""
+
+
+def _nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    h = materialise(fx.hashes(spark, sf_dir), "hashes")
+    return neardup.nearest(h.where("doc_id % 20 < 14"), h.where("doc_id % 20 >= 17"), k)
+
+
+@_register(f"WITH {_NEAR} SELECT left_id, right_id, distance FROM near WHERE r = 1 AND distance <= 6")
+def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest(spark, sf_dir, 6)
+
+
+@_register(f"WITH {_NEAR} SELECT left_id, right_id, distance FROM near WHERE r = 1 AND distance <= 2 ORDER BY distance, left_id LIMIT 50")
+def strongest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.strongest(_nearest(spark, sf_dir, 2), 2, 50)
+
+
+@_register(f"WITH RECURSIVE {fx.GROUPED} SELECT doc_id, group_id FROM grouped")
+def dup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.grouped_documents(spark, sf_dir).select("doc_id", "group_id")
+
+
+@_register(f"WITH RECURSIVE {fx.GROUPED}, s AS (SELECT group_id, count(*) AS n FROM grouped GROUP BY 1) SELECT count(*) AS groups, count(*) FILTER (WHERE n > 1) AS duplicate_groups, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS images_in_duplicates, max(n) AS largest FROM s")
+def group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group_stats(fx.grouped_documents(spark, sf_dir))
+
+
+_INFO = fx.GROUPED + """, g AS (SELECT group_id, count(*) AS images, CAST(sum(label) AS BIGINT) AS fraud, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, string_agg(DISTINCT CAST(label AS VARCHAR), ',' ORDER BY CAST(label AS VARCHAR)) AS labels,
+  count(DISTINCT label) > 1 AS mixed_label, count(DISTINCT split) > 1 AS cross_split, min(doc_id) AS least_id, bool_or(split = 'train') AS a, bool_or(split = 'validation') AS b, bool_or(split = 'test') AS c FROM grouped GROUP BY 1 HAVING count(*) > 1),
+info AS (SELECT group_id, images, fraud, splits, labels, mixed_label, cross_split, CAST(CASE WHEN mixed_label THEN 0 WHEN a AND c THEN 1 WHEN a AND b THEN 2 WHEN b AND c THEN 3 ELSE 4 END AS INT) AS priority, least_id, a AND b AS train_validation, a AND c AS train_test, b AND c AS validation_test FROM g)"""
+
+
+@_register(f"WITH RECURSIVE {_INFO} SELECT * FROM info")
+def group_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group_info(fx.grouped_documents(spark, sf_dir))
+
+
+@_register(f"WITH RECURSIVE {_INFO} SELECT group_id, images, fraud, splits FROM info WHERE cross_split")
+def cross_split_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_info(spark, sf_dir).where("cross_split").select("group_id", "images", "fraud", "splits")
+
+
+@_register(f"WITH RECURSIVE {_INFO} SELECT CAST(row_number() OVER (ORDER BY priority, images DESC, least_id) AS INT) AS group_number, group_id, images, priority FROM info ORDER BY priority, images DESC, least_id LIMIT 50")
+def group_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.priority_sample(group_info(spark, sf_dir)).select("group_number", "group_id", "images", "priority")
+
+
+@_register(f"WITH RECURSIVE {_INFO} SELECT count(*) AS groups, count(*) FILTER (WHERE cross_split) AS cross_split, count(*) FILTER (WHERE mixed_label) AS mixed_label, count(*) FILTER (WHERE train_validation) AS train_validation, count(*) FILTER (WHERE train_test) AS train_test, count(*) FILTER (WHERE validation_test) AS validation_test FROM info")
+def contamination_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = ("cross_split", "mixed_label", "train_validation", "train_test", "validation_test")
+    return group_info(spark, sf_dir).agg(F.count("*").alias("groups"), *(F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in flags))
+
+
+# -- splits ----------------------------------------------------------------
+
+
+@_register(f"""WITH {fx.SAMPLES}, r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42', CAST(doc_id AS VARCHAR))), doc_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM samples)
+SELECT doc_id, label, CASE WHEN k <= floor(n * CAST(0.2 AS DOUBLE) + CAST(0.5 AS DOUBLE)) THEN 'validation' ELSE 'train' END AS split FROM r""")
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.stratified(fx.samples(spark, sf_dir).select("doc_id", "label"), "doc_id", "label", 0.2)
+
+
+def _group_sql(test: str, validation: str) -> str:
+    return f"""WITH RECURSIVE {fx.GROUPED}, k AS (SELECT group_id, row_number() OVER (ORDER BY md5(concat('42', CAST(group_id AS VARCHAR))), group_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT group_id FROM grouped)),
+c AS (SELECT group_id, r, {test} AS t, {validation} AS v FROM k), sp AS (SELECT g.doc_id, g.group_id, g.label, CASE WHEN r < t THEN 'test' WHEN r < t + v THEN 'validation' ELSE 'train' END AS split FROM grouped g JOIN c ON c.group_id = g.group_id)"""
+
+
+_DEV = _group_sql("CAST(ceil(CAST(0.15 AS DOUBLE) * n) AS BIGINT)", "CAST(ceil(CAST(0.15 AS DOUBLE) / (1 - CAST(0.15 AS DOUBLE)) * (n - CAST(ceil(CAST(0.15 AS DOUBLE) * n) AS BIGINT))) AS BIGINT)")
+_REST = "CAST(ceil((1 - CAST(0.7 AS DOUBLE)) * n - CAST(1e-9 AS DOUBLE)) AS BIGINT)"
+_THREE = _group_sql(f"CAST(ceil({_REST} / CAST(2 AS DOUBLE)) AS BIGINT)", f"{_REST} - CAST(ceil({_REST} / CAST(2 AS DOUBLE)) AS BIGINT)")
+
+
+def _development(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.development_split(materialise(fx.grouped_documents(spark, sf_dir).drop("split"), "grouped"), "group_id")
+
+
+@_register(f"{_DEV} SELECT * FROM sp")
+def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _development(spark, sf_dir).select("doc_id", "group_id", "label", "split")
+
+
+@_register(f"{_THREE} SELECT * FROM sp")
+def group_split_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.three_way_split(materialise(fx.grouped_documents(spark, sf_dir).drop("split"), "grouped"), "group_id").select("doc_id", "group_id", "label", "split")
+
+
+_SUMMARY = "count(*) AS images, count(*) FILTER (WHERE label = 1) AS fraud, count(*) FILTER (WHERE label <> 1) AS non_fraud, CAST(100 AS DOUBLE) * count(*) FILTER (WHERE label = 1) / count(*) AS fraud_percent, count(DISTINCT group_id) AS groups FROM sp"
+
+
+@_register(f"{_DEV} SELECT split, {_SUMMARY} GROUP BY 1 UNION ALL SELECT 'overall', {_SUMMARY}")
+def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.summary(_development(spark, sf_dir), "group_id")
+
+
+@_register(f"{_DEV} SELECT CAST(0 AS BIGINT) AS shared_keys, count(DISTINCT group_id) AS keys, true AS isolated FROM sp")
+def group_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.isolated(_development(spark, sf_dir), "group_id")
+
+
+@_register(f"WITH {fx.SAMPLES}, k AS (SELECT path, count(DISTINCT split) AS n FROM samples GROUP BY 1) SELECT count(*) FILTER (WHERE n > 1) AS shared_keys, count(*) AS keys, count(*) FILTER (WHERE n > 1) = 0 AS isolated FROM k")
+def path_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.isolated(fx.samples(spark, sf_dir), "path", raise_on_overlap=False)
+
+
+# -- damage and claims -----------------------------------------------------
+
+
+@_register(f"WITH {fx.SCORED} SELECT * FROM det")
+def box_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage.scored_boxes(fx.boxes(spark, sf_dir))
+
+
+@_register(f"WITH {fx.SCORED} SELECT severity, count(*) AS n FROM det GROUP BY 1")
+def severity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage.scored_boxes(fx.boxes(spark, sf_dir)).groupBy("severity").agg(F.count("*").alias("n"))
+
+
+def _claims(spark: SparkSession, sf_dir: str, detections: DataFrame) -> DataFrame:
+    return fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim_id")).unionByName(detections.select("claim_id"))
+
+
+@_register(f"WITH {fx.OVERALL} SELECT * FROM overall")
+def damage_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = damage.scored_boxes(fx.boxes(spark, sf_dir))
+    return damage.overall(d, _claims(spark, sf_dir, d))
+
+
+@_register(f"WITH {fx.COVERAGE} SELECT * FROM coverage")
+def damage_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage.coverage(damage.scored_boxes(fx.boxes(spark, sf_dir)))
+
+
+# The names of a detector's classes in this fixture; others get a made-up name.
+_NAMES = [(1, "dent"), (2, "scratch"), (3, "crack"), (4, "glass shatter"), (5, "lamp broken"), (6, "tire flat")]
+_NAME_SQL = "CASE class_id " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in _NAMES) + " ELSE concat('class_', CAST(class_id AS VARCHAR)) END"
+
+
+def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage.named(damage.scored_boxes(fx.boxes(spark, sf_dir)), spark.createDataFrame(_NAMES, "class_id int, name string"))
+
+
+@_register(f"WITH {fx.SCORED} SELECT claim_id, box_no - 1 AS position, {_NAME_SQL} AS damage_type, confidence, x1, area_percentage, severity, severity_score FROM det")
+def detections_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = damage.nested(_detections(spark, sf_dir)).select("claim_id", F.posexplode("detections").alias("position", "d"))
+    return flat.select("claim_id", "position", "d.damage_type", "d.confidence", F.col("d.bounding_box")[0].alias("x1"), "d.area_percentage", "d.severity", "d.severity_score")
+
+
+@_register(None)
+def detector_filter_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage.suppress(fx.boxes(spark, sf_dir).withColumn("class_id", F.lit(0)))
+
+
+_SUMMARY_SQL = "CASE WHEN prediction = 1 THEN concat('{}', printf('%.1f', prob * CAST(100 AS DOUBLE)), '%{}') ELSE concat('{}', printf('%.1f', (1 - prob) * CAST(100 AS DOUBLE)), '%{}') END".format(*(t.replace("'", "''") for t in (*claims.FRAUD_SUMMARY, *claims.CLEAR_SUMMARY)))
+_HEX = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+_IDS = f"concat('CLM-2024-', lpad(CAST({_HEX.format('CAST(claim_key AS VARCHAR)')} % 100000 AS VARCHAR), 5, '0')) AS claim_id, concat('PRC-', lpad(CAST({_HEX.format(chr(39).join(('concat(', 'p', ', CAST(claim_key AS VARCHAR))')))} % 10000 AS VARCHAR), 4, '0')) AS processing_id"
+
+
+def _fraud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predictions(spark, sf_dir).select(F.col("doc_id").alias("claim_key"), "prob", "prediction", "confidence")
+
+
+@_register(f"WITH {_PRED} SELECT doc_id AS claim_key, {_SUMMARY_SQL} AS summary FROM predictions")
+def claim_summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fraud(spark, sf_dir).select("claim_key", claims.summary_text(F.col("prediction"), F.col("prob")).alias("summary"))
+
+
+@_register(f"WITH k AS (SELECT doc_id AS claim_key FROM labels) SELECT claim_key, {_IDS} FROM k")
+def claim_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    return fx.table(spark, sf_dir, "labels").select(k.alias("claim_key"), claims.claim_id(k, 2024).alias("claim_id"), claims.processing_id(k).alias("processing_id"))
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = materialise(_detections(spark, sf_dir), "detections")
+    parts = damage.overall(d).join(damage.coverage(d), "claim_id").join(damage.nested(d), "claim_id")
+    return claims.report(_fraud(spark, sf_dir), parts.withColumnRenamed("claim_id", "claim_key"))
+
+
+@_register(
+    f"WITH {fx.OVERALL}, {fx.COVERAGE[len(fx.SCORED) + 2 :]}, {_PRED}, j AS (SELECT p.doc_id AS claim_key, p.prob, p.prediction, p.confidence, o.*, c.damage_coverage_percentage FROM predictions p JOIN overall o ON o.claim_id = p.doc_id JOIN coverage c ON c.claim_id = p.doc_id) "
+    f"SELECT j.claim_key, {_IDS.replace('claim_key', 'j.claim_key')}, CASE WHEN prediction = 1 THEN 'Fraud' ELSE 'Non-Fraud' END AS fraud_label, prob * 100 AS fraud_probability, confidence * 100 AS model_confidence, {_SUMMARY_SQL} AS summary, damage_detected, damage_count, damage_coverage_percentage, overall_severity, overall_severity_score, damage_count AS detections FROM j"
+)
+def claim_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _reports(spark, sf_dir)
+    flat = [f"damage_result.{c}" for c in ("damage_detected", "damage_count", "damage_coverage_percentage", "overall_severity", "overall_severity_score")]
+    return r.select("claim_key", "claim_id", "processing_id", "fraud_label", "fraud_probability", "model_confidence", "summary", *flat, F.size("damage_result.detections").cast("long").alias("detections"))
+
+
+@_register(None)
+def claim_report_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reports(spark, sf_dir)
+
+
+# -- files, models ---------------------------------------------------------
+
+
+@_register(f"WITH {fx.SAMPLES} SELECT path, CAST(label AS INT) AS label, split FROM samples")
+def csv_split_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_path(spark, "splits")
+    sinks.write_splits(fx.samples(spark, sf_dir).select("path", "label", "split"), folder)
+    return files.tagged_union({s: files.load_split(spark, f"{folder}/{s}", s).drop("split") for s in ("train", "validation", "test")})
+
+
+@_register(f"WITH {_SWEEP} SELECT threshold AS optimal_threshold, f1 AS validation_f1 FROM sweep ORDER BY {_ORDER} LIMIT 1")
+def threshold_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = metrics.ranked_thresholds(threshold_sweep(spark, sf_dir), 10)
+    one = F.struct("rank", "threshold", "f1", "recall", "precision")
+    row = top.agg(F.min_by("threshold", "rank").alias("optimal_threshold"), F.min_by(one, "rank").alias("best_validation_result"), F.sort_array(F.collect_list(one)).alias("top_10"))
+    path = work_path(spark, "threshold.json")
+    sinks.write_report(row, path)
+    read = files.json_settings(spark, path, "optimal_threshold double, best_validation_result struct<f1: double>")
+    return read.select("optimal_threshold", F.col("best_validation_result.f1").alias("validation_f1"))
+
+
+@_register(f"WITH {_PRED} SELECT error_type, count(*) AS n FROM predictions GROUP BY 1")
+def prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_path(spark, "predictions")
+    sinks.write_predictions(_predictions(spark, sf_dir), folder)
+    read = spark.read.schema("doc_id long, label int, prob double, prediction int, correct boolean, confidence double, error_type string").option("header", "true").csv(folder)
+    return read.groupBy("error_type").agg(F.count("*").alias("n"))
+
+
+@_register(None)
+def profile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = fx.samples(spark, sf_dir).join(fx.sized(spark, sf_dir).drop("split"), "doc_id")
+    return eda.report(s, F.md5(F.col("text").cast("binary")))
+
+
+@_register(None)
+def split_audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.audit_row(splits.summary(_development(spark, sf_dir), "group_id"))
+
+
+@_register(None)
+def embedding_classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fx.table(spark, sf_dir, "embeddings")
+    return scoring.embedding_classifier(e.where("vec_id % 5 < 4"), e).select("vec_id", "label", F.round("prob", 6).alias("prob"))
