@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +56,17 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # one short row a range
     row = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return parts.withColumn("_row", row).join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_row") - 1).cast("long")).drop("_part", "_row", "_before")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers, wherever they start; once a session's context."""
+    context = spark.sparkContext
+    if getattr(context, "_lenswright_shipped", False):
+        return
+    root = Path(__file__).parents[1]
+    target = Path(tempfile.mkdtemp(prefix="lenswright-code-")) / "lenswright.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"lenswright/{f.relative_to(root)}")
+    context.addPyFile(str(target))
+    context._lenswright_shipped = True
