@@ -7,46 +7,22 @@ the driver, so whatever outlives a stage is written below the folder named by
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
+from functools import lru_cache
+from urllib.parse import unquote, urlparse
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; texts may be long, so batches stay small.
-ARROW_ROWS = 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    ``spark.checkpoint.dir`` of the session decides; only where neither it nor
-    a checkpoint folder is set (tests, local runs) a temporary one is made.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lenswright-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+from ..plans.workspace import materialise, shared_dir, work_path
 
+__all__ = ["ascii_lower", "batch", "filesystem", "id_crc32", "mapped", "materialise", "shared_dir", "small_batches", "text_bytes", "without", "work_path"]
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/lenswright/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs a reread, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of one Arrow batch; texts may be long, so batches stay small.
+ARROW_ROWS = 1000
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -87,6 +63,11 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def chunks(items: list, size: int) -> Iterator[list]:
-    for at in range(0, len(items), size):
-        yield items[at : at + size]
+@lru_cache(maxsize=256)
+def mapped(uri: str) -> np.ndarray:
+    """A file's bytes: mapped into memory, or fetched from a store that has no files."""
+    if uri.startswith(("file:", "/")):
+        return np.memmap(unquote(urlparse(uri).path), np.uint8, "r")
+    fs, where = filesystem(uri)
+    with fs.open_input_file(where) as f:
+        return np.frombuffer(f.read(), np.uint8)

@@ -28,7 +28,6 @@ import json
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pandas as pd
@@ -39,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, id_crc32, materialise, small_batches, text_bytes, work_path
+from .common import filesystem, id_crc32, mapped, materialise, small_batches, text_bytes, work_path
 
 #: What the additive base model adds to each count.
 ADD = 0.1
@@ -173,12 +172,7 @@ def _save(folder: str, kind: str, meta: dict, arrays: list[np.ndarray]) -> str:
 
 def _load(uri: str) -> tuple[dict, list[np.ndarray]]:
     """Map a shard into memory; in a store without files its bytes are fetched."""
-    if uri.startswith(("file:", "/")):
-        raw = np.memmap(unquote(urlparse(uri).path), np.uint8, "r")
-    else:
-        fs, where = filesystem(uri)
-        with fs.open_input_file(where) as f:
-            raw = np.frombuffer(f.read(), np.uint8)
+    raw = mapped(uri)
     meta = json.loads(bytes(raw[:4096]))
     return meta, [raw[at : at + n * np.dtype(t).itemsize].view(t) for at, n, t in meta["arrays"]]
 

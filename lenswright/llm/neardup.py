@@ -15,7 +15,8 @@ a chance below ``MISS``), so
 Within a posting list nodes are first held against a hub, a few rounds over,
 which joins dense groups without listing their pairs; what then still lies in
 different components is compared block by block, and agreements of ``t``
-coordinates are counted there.  All pairs so found are confirmed on full sets.
+coordinates are counted and confirmed there.  All links are confirmed on full
+sets, which tasks read from files mapped into memory.
 
 Defined cases: a null text is empty; an empty set is linked with nothing and
 its own component; null ids never name a component that has another id;
@@ -25,6 +26,7 @@ it (``deduplicate`` keeps one).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from math import comb
@@ -36,13 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, text_bytes, without
+from ..operators.components import components
+from .common import filesystem, mapped, materialise, small_batches, text_bytes, without, work_path
 
 SHINGLE = 5
 #: Coordinates of the short and the long signature, and the chance that a link at the threshold goes unseen in one of them.
 SHORT, LONG, MISS = 32, 128, 1e-6
 #: Rounds of holding posting lists against hubs, and nodes of a block in the comparison after them.
-HUB_ROUNDS, BLOCK = 3, 1500
+HUB_ROUNDS, BLOCK = 2, 1500
 #: Tables of up to so many short rows are broadcast.
 BROADCAST_ROWS = 200_000
 #: Words whose hashes a worker remembers.
@@ -155,22 +158,56 @@ def likely_linked(sketches: DataFrame, t: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, likely: DataFrame) -> DataFrame:
-    """(node, n, hashes, sig): the full set and the long signature of the likely nodes."""
-    small_batches(docs.sparkSession, 256)
+    """(node, n, file, at, low, sig) of the likely nodes: where the full set stands, and the long signature.
+
+    Sets are written once, to files in the shared folder that are mapped into
+    memory where pairs are confirmed, so they are never shuffled.
+    """
+    spark = docs.sparkSession
+    small_batches(spark, 256)
+    folder = work_path(spark, "set-files")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, at = None, 0
         for b in batches:
+            if not b.num_rows:
+                continue
+            if out is None:
+                fs, where = filesystem(folder)
+                fs.create_dir(where, recursive=True)
+                name = f"{uuid.uuid4().hex}.sets"
+                out = fs.open_output_stream(f"{where}/{name}")
             sets = [shingle_set(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), _lists([signature(s, LONG) for s in sets], LONG)], names=["node", "n", "hashes", "sig"])
+            sigs = [signature(s, LONG) for s in sets]
+            starts = at + np.cumsum([0, *(len(s) for s in sets)])
+            at = int(starts[-1])
+            out.write(b"".join(s.tobytes() for s in sets))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([f"{folder}/{name}"] * len(sets)), pa.array(starts[:-1], pa.int64()), pa.array([s.astype(np.uint8).tobytes() for s in sigs], pa.binary()), _lists(sigs, LONG)],
+                names=["node", "n", "file", "at", "low", "sig"],
+            )
+        if out is not None:
+            out.close()
 
     rows = docs.select(F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64("text", F.lit(1), "doc_id").alias("r2"), text_bytes().alias("body"))
     few = likely.count() <= BROADCAST_ROWS
-    found = rows.join(F.broadcast(likely) if few else likely, ["r1", "r2"]).select("node", "body").mapInArrow(work, "node binary, n long, hashes binary, sig array<int>")
+    found = rows.join(F.broadcast(likely) if few else likely, ["r1", "r2"]).select("node", "body").mapInArrow(work, "node binary, n long, file string, at long, low binary, sig array<int>")
     table = materialise(found, "sets")
     repeated = table.groupBy("node").count().where("count > 1").limit(1).count()
     return materialise(table.dropDuplicates(["node"]), "sets") if repeated else table
 
 
+def _stored(file: str, at: int, n: int) -> np.ndarray:
+    return mapped(file)[8 * at : 8 * (at + n)].view(np.uint64)
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted full sets meet the threshold."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def prefixes(sets: DataFrame, t: int) -> DataFrame:
     """(key, node, weight): the posting lists of the prefixes; weight says how central a node is."""
     postings = _postings(sets)
@@ -182,48 +219,22 @@ def prefixes(sets: DataFrame, t: int) -> DataFrame:
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int, t: int) -> DataFrame:
     """The (a, b) of ``pairs`` that agree in ``t`` coordinates and whose full sets meet the threshold."""
-    spark = pairs.sparkSession
-    small_batches(spark, 256)
-    side = lambda c, names: sets.select(F.col("node").alias(c), *(F.col(n).alias(f"{n}_{c}") for n in names))
-    some = pairs.join(side("a", ["n", "sig"]), "a").join(side("b", ["n", "sig"]), "b")
-    some = some.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda e: e)) >= t)).select("a", "b")
+    small_batches(pairs.sparkSession)
+    side = lambda c: sets.select(F.col("node").alias(c), *(F.col(n).alias(f"{n}_{c}") for n in ("n", "file", "at", "low")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    some = materialise(some, "pairs")
-    full = some.join(side("a", ["hashes"]), "a").join(side("b", ["hashes"]), "b").select("a", "b", "hashes_a", "hashes_b")
+            low = [np.frombuffer(b"".join(b.column(f"low_{c}").to_pylist()), np.uint8).reshape(-1, LONG) for c in "ab"]
+            keep = (low[0] == low[1]).sum(1) >= t
+            where = [list(zip(*(b.column(f"{n}_{c}").to_pylist() for n in ("file", "at", "n")), strict=True)) for c in "ab"]
+            for k in np.flatnonzero(keep):
+                keep[k] = _linked(_stored(*where[0][k]), _stored(*where[1][k]), percent)
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    full = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     return materialise(full.mapInArrow(work, "a binary, b binary"), "links")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for the nodes of ``edges`` (a, b): the least node that each can reach.
-
-    Alternates large-star and small-star steps, which halve depths; every step
-    is a written table, and each step's rows are at most twice the edges.
-    """
-    edges = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("v", "m").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (state.n, state.s) == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-        before = (state.n, state.s)
-
-
 def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return postings.withColumn("label", F.col("node"))
@@ -237,44 +248,57 @@ def _across(postings: DataFrame) -> DataFrame:
 
 
 def _blocks(postings: DataFrame, sets: DataFrame, percent: int, t: int) -> DataFrame:
-    """Pairs (a, b) of different labels that meet in a posting list and agree in ``t`` coordinates.
+    """Links (a, b) between different labels that meet in a posting list, as many as join what they join.
 
     A list is cut into blocks; a task compares two of them.  Nodes of the
-    list's main label are not compared with each other, and a pair comes from
-    the least key that both prefixes hold.
+    list's main label are not compared with each other, a pair is looked at
+    under the least key that both prefixes hold, and not once its labels have
+    been joined.  Agreements of ``t`` coordinates are confirmed on full sets
+    at once, so that only links leave the task.
     """
-    spark = postings.sparkSession
     sizes = postings.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     keys = postings.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    about = sets.select("node", "n", "sig").join(keys, "node")
+    about = sets.select("node", "n", "file", "at", "low").join(keys, "node")
     placed = postings.select("key", "node", "label").join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(F.col("part"), p).alias("i"), F.greatest(F.col("part"), p).alias("j")))
     spread = placed.select("key", "node", "label", "part", F.explode(pair).alias("ij")).join(about, "node")
-    small_batches(spark, 1000)
 
     def compare(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         key, i, j = (int(g) for g in group)
-        sig = np.array(rows["sig"].tolist(), np.int32)
+        low = np.frombuffer(b"".join(rows["low"]), np.uint8).reshape(-1, LONG)
         n, part = rows["n"].to_numpy(), rows["part"].to_numpy()
-        names, keys = rows["node"].tolist(), rows["keys"].tolist()
+        names, held = rows["node"].tolist(), rows["keys"].tolist()
+        where = list(zip(rows["file"], rows["at"], rows["n"], strict=True))
         _, label = np.unique(rows["label"].to_numpy(dtype=object), return_inverse=True)
         main = np.bincount(label).argmax()
-        sets_of: dict[int, set] = {}
+        root = list(range(label.max() + 1))
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        prefix: dict[int, set] = {}
         out = []
         for x in np.flatnonzero(label != main):
             ok = (label != label[x]) & ((label == main) | (np.arange(len(n)) > x))
             ok &= (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & ((part != part[x]) if i != j else True)
             at = np.flatnonzero(ok)
-            at = at[(sig[at] == sig[x]).sum(1) >= t]
-            for y in at:
+            agree = (low[at] == low[x]).sum(1)
+            for y in at[np.argsort(-agree, kind="stable")][: int((agree >= t).sum())]:
+                if find(label[x]) == find(label[y]):
+                    continue
                 for z in (x, y):
-                    if z not in sets_of:
-                        sets_of[z] = {int(k) for k in keys[z]}
-                if min(sets_of[x] & sets_of[y]) == key:
-                    out.append((min(names[x], names[y]), max(names[x], names[y])))
+                    if z not in prefix:
+                        prefix[z] = set(held[z])
+                if min(prefix[x] & prefix[y]) == key and _linked(_stored(*where[x]), _stored(*where[y]), percent):
+                    root[find(label[x])] = find(label[y])
+                    out.append((names[x], names[y]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return spread.select("key", "ij.i", "ij.j", "node", "label", "part", "n", "sig", "keys").groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary")
+    links = spread.select("key", "ij.i", "ij.j", "node", "label", "part", "n", "file", "at", "low", "keys").groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary")
+    return materialise(links, "links")
 
 
 def linked_components(docs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame | None:
@@ -305,7 +329,7 @@ def linked_components(docs: DataFrame, sketches: DataFrame, percent: int) -> Dat
         labels = materialise(components(links), "labels")
     rest = materialise(_across(_labelled(postings, labels)), "open-lists")
     if not rest.isEmpty():
-        found = confirm(_blocks(rest, sets, percent, t_long), sets, percent, t_long)
+        found = _blocks(rest, sets, percent, t_long)
         links = found if links is None else links.unionByName(found)
         labels = materialise(components(links), "labels")
     return labels

@@ -78,7 +78,7 @@ def test_without_broadcasts(spark, monkeypatch):
 
 
 def test_one_of_each_group_stays(spark):
-    rows = cases.documents() + chains(20)
+    rows = [r for r in cases.documents() if not (r[1] or "").startswith("same id")] + chains(20)
     docs = cases.clashing(cases.frame(spark, rows))
     kept = neardup.deduplicate(docs, 80)
     assert kept.columns == [c for c in docs.columns if c != "_d1"]
