@@ -45,7 +45,7 @@ ADD = 0.1
 #: The absolute discount of bigram counts.
 DISCOUNT = 0.75
 #: Tokens of contexts in a shard of pairs, words in a shard of words, tokens gathered before a task sends its counts on.
-SHARD_TOKENS, SHARD_WORDS, GATHER = 4_000_000, 1_000_000, 3_000_000
+SHARD_TOKENS, SHARD_WORDS, GATHER = 4_000_000, 1_000_000, 2_000_000
 #: Quantised base-10 logarithms reach from 0 down to here, in 255 steps.
 LOWEST = -9.0
 #: Words whose hashes a worker remembers.
@@ -69,12 +69,13 @@ def _select_in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """A monotone sequence: low bits packed, high bits in unary, with samples for select on either bit."""
+    """A monotone sequence: low bits packed, high bits in unary, with the ones before every 512-bit block for select."""
 
-    EVERY = 64
-
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
-        self.n, self.low_bits, self.low, self.high, self.ones, self.zeros = n, low_bits, low, high, ones, zeros
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, before: np.ndarray):
+        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
+        self.ones = before.astype(np.int64)
+        self.zeros = np.arange(len(before), dtype=np.int64) * 512 - self.ones
+        self.stored = before
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -82,13 +83,12 @@ class EliasFano:
         n = len(values)
         bits = max(0, (max(1, universe) // max(1, n)).bit_length() - 1)
         values = values.astype(np.uint64)
-        top = (values >> np.uint64(bits)).astype(np.int64)
-        spots = top + np.arange(n)
+        spots = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         size = n + (universe >> bits) + 2
-        raw = np.zeros(-(-size // 64) * 64, np.uint8)
+        raw = np.zeros(-(-size // 512) * 512, np.uint8)
         raw[spots] = 1
         high = np.packbits(raw, bitorder="little").view("<u8")
-        rest = np.flatnonzero(raw == 0)
+        ones = np.bitwise_count(high).astype(np.int64).reshape(-1, 8).sum(1)
         low = np.zeros(n * bits // 64 + 2, np.uint64)
         if bits and n:
             at = np.arange(n, dtype=np.int64) * bits
@@ -98,25 +98,20 @@ class EliasFano:
             low[word[first]] |= np.bitwise_or.reduceat(part << shift, first)
             over = np.flatnonzero((at & 63) + bits > 64)
             low[word[over] + 1] |= part[over] >> (np.uint64(64) - shift[over])  # one number at most reaches into a word
-        return cls(n, bits, low, high, spots[:: cls.EVERY].astype("<u4"), rest[:: cls.EVERY].astype("<u4"))
+        return cls(n, bits, low, high, (np.cumsum(ones) - ones).astype("<u4"))
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
-        """Bit positions of the ``k``-th ones or zeros."""
-        at = (self.ones if one else self.zeros)[k // self.EVERY].astype(np.int64)
-        left = (k % self.EVERY).astype(np.int64)
-        word = at >> 6
-        bits = self.high[word]
-        bits = (bits if one else ~bits) & (np.uint64(0xFFFFFFFFFFFFFFFF) << (at & 63).astype(np.uint64))
-        count = np.bitwise_count(bits).astype(np.int64)
-        open_ = np.flatnonzero(left >= count)
-        while len(open_):
-            left[open_] -= count[open_]
-            word[open_] += 1
-            more = self.high[word[open_]]
-            bits[open_] = more if one else ~more
-            count[open_] = np.bitwise_count(bits[open_])
-            open_ = open_[left[open_] >= count[open_]]
-        return (word << 6) + _select_in_word(bits, left)
+        """Bit positions of the ``k``-th ones or zeros: the block by binary search, then one of its eight words."""
+        before = self.ones if one else self.zeros
+        block = np.searchsorted(before, k, side="right") - 1
+        left = k - before[block]
+        words = self.high.reshape(-1, 8)[block]
+        words = words if one else ~words
+        upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+        w = (upto <= left[:, None]).sum(1)
+        rows = np.arange(len(k))
+        left = left - np.where(w > 0, upto[rows, np.maximum(w - 1, 0)], 0)
+        return (block << 9) + (w << 6) + _select_in_word(words[rows, w], left)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -146,7 +141,7 @@ class EliasFano:
         return np.where(ok, begin, -1)
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.low.astype("<u8"), self.high, self.ones, self.zeros]
+        return [self.low.astype("<u8"), self.high, self.stored]
 
 
 # -- files -----------------------------------------------------------------
@@ -257,7 +252,7 @@ class Pairs:
     def shard(self, k: int) -> tuple[dict, EliasFano, EliasFano, np.ndarray]:
         if k not in self.loaded:
             meta, a = _load(self.shards[k][2])
-            self.loaded[k] = (meta, EliasFano(meta["n"], meta["bits"], *a[:4]), EliasFano(meta["contexts"] + 1, meta["pointer_bits"], *a[4:8]), a[8])
+            self.loaded[k] = (meta, EliasFano(meta["n"], meta["bits"], *a[:3]), EliasFano(meta["contexts"] + 1, meta["pointer_bits"], *a[3:6]), a[6])
         return self.loaded[k]
 
     def discounted(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
