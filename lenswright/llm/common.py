@@ -7,19 +7,17 @@ the driver, so whatever outlives a stage is written below the folder named by
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from functools import lru_cache
 from urllib.parse import unquote, urlparse
 
 import numpy as np
-import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.workspace import materialise, shared_dir, work_path
 
-__all__ = ["ascii_lower", "batch", "filesystem", "id_crc32", "mapped", "materialise", "shared_dir", "small_batches", "text_bytes", "without", "work_path"]
+__all__ = ["ascii_lower", "filesystem", "id_crc32", "mapped", "materialise", "shared_dir", "small_batches", "text_bytes", "without", "work_path"]
 
 #: Rows of one Arrow batch; texts may be long, so batches stay small.
 ARROW_ROWS = 1000
@@ -45,11 +43,6 @@ def id_crc32(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
-def batch(columns: dict[str, Iterable], schema: pa.Schema) -> pa.RecordBatch:
-    """An Arrow batch from columns by name."""
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)
-
-
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns that an operator is about to add (in any case)."""
     taken = {n.lower() for n in names}

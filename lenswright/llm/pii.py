@@ -15,7 +15,6 @@ characters is no candidate; found spans never overlap base spans.
 from __future__ import annotations
 
 import bisect
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -275,7 +274,3 @@ def redact(docs: DataFrame) -> DataFrame:
     if "n_chars" in names:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done
-
-
-def base_digest(text: str) -> str:
-    return hashlib.sha256(join_spans(base_spans(text)).encode()).hexdigest()

@@ -11,7 +11,6 @@ other chunk goes to the library whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -96,7 +95,3 @@ class Encoder(dict):
 def encoder(path: str) -> Encoder:
     """The worker's encoder; it lives as long as the worker does."""
     return Encoder(path)
-
-
-def encode_with(path: str) -> Callable[[str], np.ndarray]:
-    return encoder(path).ids
