@@ -46,6 +46,8 @@ SHINGLE = 5
 SHORT, LONG, MISS = 32, 128, 1e-6
 #: Rounds of holding posting lists against hubs, and nodes of a block in the comparison after them.
 HUB_ROUNDS, BLOCK = 2, 1500
+#: Blocks of so many rows together go to one call.
+BUCKET_ROWS = 20_000
 #: Tables of up to so many short rows are broadcast.
 BROADCAST_ROWS = 200_000
 #: Words whose hashes a worker remembers.
@@ -250,7 +252,7 @@ def _across(postings: DataFrame) -> DataFrame:
 def _blocks(postings: DataFrame, sets: DataFrame, percent: int, t: int) -> DataFrame:
     """Links (a, b) between different labels that meet in a posting list, as many as join what they join.
 
-    A list is cut into blocks; a task compares two of them.  Nodes of the
+    A list is cut into blocks, of which two are compared at a time.  Nodes of the
     list's main label are not compared with each other, a pair is looked at
     under the least key that both prefixes hold, and not once its labels have
     been joined.  Agreements of ``t`` coordinates are confirmed on full sets
@@ -262,15 +264,16 @@ def _blocks(postings: DataFrame, sets: DataFrame, percent: int, t: int) -> DataF
     placed = postings.select("key", "node", "label").join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(F.col("part"), p).alias("i"), F.greatest(F.col("part"), p).alias("j")))
     spread = placed.select("key", "node", "label", "part", F.explode(pair).alias("ij")).join(about, "node")
-
-    def compare(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        key, i, j = (int(g) for g in group)
-        low = np.frombuffer(b"".join(rows["low"]), np.uint8).reshape(-1, LONG)
-        n, part = rows["n"].to_numpy(), rows["part"].to_numpy()
-        names, held = rows["node"].tolist(), rows["keys"].tolist()
-        where = list(zip(rows["file"], rows["at"], rows["n"], strict=True))
-        _, label = np.unique(rows["label"].to_numpy(dtype=object), return_inverse=True)
-        main = np.bincount(label).argmax()
+    buckets = max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-postings.count() // BUCKET_ROWS))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["key", "i", "j"], kind="stable")
+        low = np.frombuffer(b"".join(frame["low"]), np.uint8).reshape(-1, LONG)
+        n, part, label = frame["n"].to_numpy(), frame["part"].to_numpy(), pd.factorize(frame["label"])[0]
+        names, held = frame["node"].tolist(), frame["keys"].tolist()
+        where = list(zip(frame["file"], frame["at"], frame["n"], strict=True))
+        spot = frame[["key", "i", "j"]].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (spot[1:] != spot[:-1]).any(1)])
         root = list(range(label.max() + 1))
 
         def find(k: int) -> int:
@@ -281,23 +284,32 @@ def _blocks(postings: DataFrame, sets: DataFrame, percent: int, t: int) -> DataF
 
         prefix: dict[int, set] = {}
         out = []
-        for x in np.flatnonzero(label != main):
-            ok = (label != label[x]) & ((label == main) | (np.arange(len(n)) > x))
-            ok &= (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & ((part != part[x]) if i != j else True)
-            at = np.flatnonzero(ok)
-            agree = (low[at] == low[x]).sum(1)
-            for y in at[np.argsort(-agree, kind="stable")][: int((agree >= t).sum())]:
-                if find(label[x]) == find(label[y]):
-                    continue
-                for z in (x, y):
-                    if z not in prefix:
-                        prefix[z] = set(held[z])
-                if min(prefix[x] & prefix[y]) == key and _linked(_stored(*where[x]), _stored(*where[y]), percent):
-                    root[find(label[x])] = find(label[y])
-                    out.append((names[x], names[y]))
+        for a, b in zip(starts, [*starts[1:], len(n)], strict=True):
+            if b - a < 2:
+                continue
+            key, i, j = spot[a].tolist()
+            own = label[a:b]
+            kinds, counts = np.unique(own, return_counts=True)
+            main = kinds[counts.argmax()]
+            for x in a + np.flatnonzero(own != main):
+                ok = (own != label[x]) & ((own == main) | (np.arange(a, b) > x)) & (100 * np.minimum(n[a:b], n[x]) >= percent * np.maximum(n[a:b], n[x]))
+                if i != j:
+                    ok &= part[a:b] != part[x]
+                at = a + np.flatnonzero(ok)
+                agree = (low[at] == low[x]).sum(1)
+                for y in at[np.argsort(-agree, kind="stable")][: int((agree >= t).sum())]:
+                    if find(label[x]) == find(label[y]):
+                        continue
+                    for z in (x, y):
+                        if z not in prefix:
+                            prefix[z] = set(held[z])
+                    if min(prefix[x] & prefix[y]) == key and _linked(_stored(*where[x]), _stored(*where[y]), percent):
+                        root[find(label[x])] = find(label[y])
+                        out.append((names[x], names[y]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    links = spread.select("key", "ij.i", "ij.j", "node", "label", "part", "n", "file", "at", "low", "keys").groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary")
+    rows = spread.select("key", "ij.i", "ij.j", "node", "label", "part", "n", "file", "at", "low", "keys")
+    links = rows.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)).alias("bucket")).applyInPandas(compare, "a binary, b binary")
     return materialise(links, "links")
 
 
