@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import hamming
 from ..plans.workspace import materialise, numbered
+from .audit import PAIRS
 from .components import grouped
 
 BITS = 64
@@ -94,6 +97,13 @@ def nearest(left: DataFrame, right: DataFrame, k: int, key: str = "doc_id") -> D
     return left.select(F.col(key).alias("left_id"), F.col("hash").alias("a")).join(best, "a").select("left_id", "m.right_id", "m.distance")
 
 
+def nearest_across_splits(items: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """``nearest`` of each pair of splits of ``items`` (key, hash, split), with split_a and split_b."""
+    part = lambda s: items.where(F.col("split") == s)
+    found = [nearest(part(a), part(b), k, key).select(F.lit(a).alias("split_a"), F.lit(b).alias("split_b"), "left_id", "right_id", "distance") for a, b in PAIRS]
+    return reduce(DataFrame.unionByName, found)
+
+
 def strongest(pairs: DataFrame, k: int, n: int) -> DataFrame:
     """The ``n`` nearest of the pairs within ``k``, by distance, then the left key."""
     return pairs.where(F.col("distance") <= k).orderBy("distance", "left_id").limit(n)

@@ -355,6 +355,15 @@ def strongest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.strongest(_nearest(spark, sf_dir, 2), 2, 50)
 
 
+@_register(f"""WITH {fx.SIMHASH}, {_PAIRS}, part AS (SELECT doc_id, hash, CASE WHEN doc_id % 20 < 14 THEN 'train' WHEN doc_id % 20 < 17 THEN 'validation' ELSE 'test' END AS split FROM hashes),
+near AS (SELECT split_a, split_b, a.doc_id AS left_id, b.doc_id AS right_id, CAST(bit_count(xor(a.hash, b.hash)) AS INT) AS distance, row_number() OVER (PARTITION BY split_a, split_b, a.doc_id ORDER BY bit_count(xor(a.hash, b.hash)), b.doc_id) AS r
+  FROM pr JOIN part a ON a.split = split_a JOIN part b ON b.split = split_b) SELECT split_a, split_b, left_id, right_id, distance FROM near WHERE r = 1 AND distance <= 6""")
+def near_duplicate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nearest_neighbour`` between every pair of splits; that query itself is train against test."""
+    h = fx.hashes(spark, sf_dir).withColumn("split", fx.split_of(F.col("doc_id")))
+    return neardup.nearest_across_splits(materialise(h, "hashes"), 6)
+
+
 @_register(f"WITH RECURSIVE {fx.GROUPED} SELECT doc_id, group_id FROM grouped")
 def dup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.grouped_documents(spark, sf_dir).select("doc_id", "group_id")

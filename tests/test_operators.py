@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from lenswright.functions import numeric, paths
 from lenswright.operators import audit, claims, components, damage, eda, metrics, neardup, splits
+from lenswright.plans import catalogue
+
+from .conftest import DATA
 
 
 def _scores(spark, rows):
@@ -88,6 +91,25 @@ def test_banded_join_is_exact(spark, k):
     assert groups == {x: heads.index(find(x)) for x in range(len(hashes))}
 
 
+def test_every_pair_of_splits_is_audited(spark):
+    splits = ("train", "train", "validation", "validation", "test", "test")
+    hashes = (0, 1 << 20, 0b11, 1 << 40, 1 << 40, -1)
+    items = spark.createDataFrame([(k, h, s) for k, (h, s) in enumerate(zip(hashes, splits, strict=True))], "doc_id long, hash long, split string")
+    want = set()
+    for a, b in audit.PAIRS:
+        for x in (k for k in range(6) if splits[k] == a):
+            d, y = min((((hashes[x] ^ hashes[y]) & (2**64 - 1)).bit_count(), y) for y in range(6) if splits[y] == b)
+            if d <= 6:
+                want.add((a, b, x, y, d))
+    assert {w[:2] for w in want} == set(audit.PAIRS)
+    assert {tuple(r) for r in neardup.nearest_across_splits(items, 6).collect()} == want
+
+
+def test_near_copies_of_the_validation_split_are_reported(spark):
+    got = {(r.split_a, r.split_b) for r in catalogue.queries()["near_duplicate_audit"](spark, DATA).collect()}
+    assert {("train", "validation"), ("validation", "test")} <= got
+
+
 def test_transitive_groups_and_nulls(spark):
     items = spark.createDataFrame([(1, 0), (2, 0xF), (3, 0xFF), (4, None)], "doc_id long, hash long")
     assert {r.doc_id: r.group_id for r in neardup.groups(items, 4).collect()} == {1: 0, 2: 0, 3: 0}
