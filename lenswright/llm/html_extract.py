@@ -10,7 +10,10 @@ learnt from.
 
 Defined cases: a null or empty html gives an empty text; unclosed elements end
 where their parents do; an end tag without a start is ignored; text outside any
-element belongs to the page's root; white space is what Unicode calls so, the
+element belongs to the page's root; only HTML's raw-text elements run to the end
+of the page if unclosed; the text of ``math`` is its surroundings'; that of
+``svg``, ``select``, ``button``, ``template`` and ``noscript`` is left out up to
+their own end tag, and without one it belongs to the element around; white space is what Unicode calls so, the
 no-break space included; repeated rows get equal results.
 """
 
@@ -46,14 +49,26 @@ _NAMES = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math object select button".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: HTML's raw-text elements: text up to their end tag, or to the page's end.
+_RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Not content if closed by their own end tag; the others of ``_LOOSE`` are ordinary then.  None of them counts if unclosed.
+_APART = frozenset("svg select button template".split())
+_LOOSE = _APART | frozenset("object option optgroup".split())
+_NOSCRIPT = re.compile(r"<(/?)noscript(?![a-zA-Z0-9])[^>]*>", re.I)
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: An opening tag closes open ones of these names, up to the nearest of the second.
 _CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
     "tbody": (("thead", "tbody", "tr", "td", "th"), ("table",)), "body": (("head",), ()), "option": (("option",), ("select",)),
+    "button": (("button",), ("table", "td", "th")), "select": (("select",), ("table", "td", "th")),
 }
+#: What no opening tag but that of the body closes from inside.
+_SCOPE = frozenset("template object button".split())
+#: Elements of svg and math that hold HTML, tags that end svg and math, and cells whose text stands apart.
+_POINTS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+_BREAKOUT = _ENDS_P | _CLOSES.keys() | frozenset("b big br code em embed head i img meta nobr noscript object optgroup ruby s small span strong strike sub sup template tt u var".split())
+_CELLS = frozenset("text mtr mtd".split())
 _KINDS = {"p": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "li": 3, "ul": 4, "ol": 4, "div": 5, "section": 5, "article": 5, "main": 5, "td": 6, "tr": 6, "table": 6, "blockquote": 1, "pre": 1, "dd": 3, "dt": 3}
 N_KINDS = 8
 
@@ -81,6 +96,17 @@ def parse(source: str) -> Page:
     page = Page([Node("html", -1, ())])
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the node that each belongs to
     block, at, links = 0, 0, 0
+    loose: dict[int, bool] = {}  # nodes of ``_LOOSE`` and of raw names within svg or math, and whether they were closed
+    islands = False  # whether an svg or math is open
+
+    def foreign() -> bool:
+        if islands:
+            for t, _ in reversed(stack):
+                if t in _POINTS:
+                    return False
+                if t == "svg" or t == "math":
+                    return True
+        return False
 
     def add(raw: str) -> None:
         if not raw:
@@ -100,6 +126,28 @@ def parse(source: str) -> Page:
             tag = start.lower()
             if tag == "html":
                 continue
+            inside = foreign()
+            if inside and tag in _BREAKOUT:
+                inside, least = False, len(stack)
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] in _POINTS:
+                        break
+                    if stack[k][0] == "svg" or stack[k][0] == "math":
+                        least = k
+                del stack[least:]
+            if inside or tag == "svg" or tag == "math":
+                if tag == "svg" or tag in _CELLS:
+                    block += 1
+                if not m["attrs"].rstrip().endswith("/"):
+                    owner = stack[-1][1]
+                    if tag == "svg" or tag in _RAW:
+                        page.nodes.append(Node(tag, owner, ()))
+                        owner = len(page.nodes) - 1
+                        loose[owner] = False
+                    stack.append((tag, owner))
+                    links += tag == "a"
+                    islands = True
+                continue
             inline = tag in _INLINE
             if tag in _ENDS_P:
                 for k in range(len(stack) - 1, 0, -1):
@@ -115,7 +163,7 @@ def parse(source: str) -> Page:
                         del stack[k:]
                         if tag not in ("tr", "tbody"):
                             break
-                    elif stack[k][0] in stop:
+                    elif stack[k][0] in stop or (stack[k][0] in _SCOPE and tag != "body"):
                         break
             if not inline:
                 block += 1
@@ -127,6 +175,11 @@ def parse(source: str) -> Page:
                 end = re.compile(rf"</{tag}(?![a-zA-Z0-9])[^>]*>", re.I).search(source, at)
                 at = end.end() if end else len(source)
                 continue
+            if tag == "noscript":
+                end = _NOSCRIPT.search(source, at)
+                if end and end[1]:
+                    at = end.end()
+                continue
             names, label, unseen = (), None, False
             if "=" in m["attrs"] or "hidden" in m["attrs"]:
                 found: list[str] = []
@@ -146,6 +199,8 @@ def parse(source: str) -> Page:
             if not inline or names:
                 page.nodes.append(Node(tag, owner, names, label=label))
                 owner = len(page.nodes) - 1
+            if tag in _LOOSE:
+                loose[owner] = False
             if not m["attrs"].rstrip().endswith("/") or inline or tag in _ENDS_P:
                 stack.append((tag, owner))
                 links += tag == "a"
@@ -153,17 +208,41 @@ def parse(source: str) -> Page:
             tag = end_name.lower()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
+                    if stack[k][1] in loose and (tag in _LOOSE or tag in _RAW):
+                        loose[stack[k][1]] = True
                     links -= sum(t == "a" for t, _ in stack[k:])
                     del stack[k:]
                     break
-            if tag not in _INLINE:
+            if tag in _CELLS or (tag not in _INLINE and not foreign()):
                 block += 1
         elif m["cdata"]:
             add(entities.unescape(m["cdata"]))
         if links and not any(t == "a" for t, _ in stack):
             links = 0
+        if islands and not any(t == "svg" or t == "math" for t, _ in stack):
+            islands = False
     add(source[at:])
-    return page
+    return _settled(page, loose) if loose else page
+
+
+def _settled(page: Page, loose: dict[int, bool]) -> Page:
+    """``page`` without the nodes that were closed and are no content; unclosed ones give what they hold to their parent."""
+    out, to = Page(), []
+    for i, node in enumerate(page.nodes):
+        at = to[node.parent] if i else -1
+        closed = loose.get(i)
+        if i and at < 0 or closed and (node.tag in _APART or node.tag in _RAW):
+            at = -1
+        elif closed is False:
+            out.nodes[at].words += node.words
+            out.nodes[at].linked += node.linked
+        else:
+            node.parent = at
+            out.nodes.append(node)
+            at = len(out.nodes) - 1
+        to.append(at)
+    out.pieces = [(to[node], block, text) for node, block, text in page.pieces if to[node] >= 0]
+    return out
 
 
 def features(page: Page) -> list[list[str]]:

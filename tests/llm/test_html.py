@@ -29,6 +29,28 @@ def test_odd_sources(model, source, text):
     assert hx.main_text(source, model) == text
 
 
+LONG = "Here is a paragraph of the article that says a good deal more about the matter than the one before it did."
+TAGS = ("svg", "math", "object", "button", "select", "template", "noscript")
+
+
+@pytest.mark.parametrize("tag", TAGS)
+@pytest.mark.parametrize("form", ["<{}>", '<{} class="i">', "<{}/>", '<{} class="i"/>'])
+@pytest.mark.parametrize("place", ["<body>{}<article><p>A {L}</p><p>B {L}</p>", "<body><article><p>A {L}</p>{}<p>B {L}</p>", "<body><article><p>A {L} {}</p><p>B {L}</p>", "<body><article><p>A {L}</p><p>{}B {L}</p>"])
+def test_unclosed_and_self_closed_elements_cut_nothing(model, tag, form, place):
+    tail = f"</article><footer><{tag}>x</{tag}><p>(c) me</p></footer>"
+    assert hx.main_text(place.replace("{L}", LONG).replace("{}", form.format(tag)) + tail, model) == f"A {LONG} B {LONG}"
+
+
+@pytest.mark.parametrize("inner", ["<svg><svg><text>y</text></svg><title>z</title></svg>", "<svg><title>Icon</svg>", '<svg><style/><path d="M0"/></svg>', "<select><option>1<option>2</select>", "<button><div>OK</div></button>", "<template><li>t</template>", "<noscript><p>n</p></noscript>"])
+def test_closed_elements_are_no_content(model, inner):
+    assert hx.main_text(f"<article><p>A {LONG}</p>{inner}<p>B {LONG}</p></article>", model) == f"A {LONG} B {LONG}"
+
+
+def test_math_is_text(model):
+    got = hx.main_text(f"<article><p>A <math class=m><mi>x</mi><mo>+</mo><msup><mi>y</mi><mn>2</mn></msup></math> {LONG}</p></article>", model)
+    assert got == f"A x+y2 {LONG}"
+
+
 def test_messages_give_exact_marginals(model):
     """Against the sum over all labellings of small trees."""
     import math
