@@ -192,7 +192,7 @@ def parse(source: str) -> Page:
                         unseen |= key == "hidden" or "display:none" in value.replace(" ", "").lower()
                     else:
                         found += _NAMES.findall(_CAMEL.sub(" ", value).lower())
-                names = tuple(found[:12])
+                names = tuple(dict.fromkeys(found))
             if unseen:
                 names = (*names, "hidden")
             owner = stack[-1][1]

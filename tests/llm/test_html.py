@@ -46,6 +46,14 @@ def test_closed_elements_are_no_content(model, inner):
     assert hx.main_text(f"<article><p>A {LONG}</p>{inner}<p>B {LONG}</p></article>", model) == f"A {LONG} B {LONG}"
 
 
+@pytest.mark.parametrize("telling", ['role="navigation"', 'id="sidebar"'])
+def test_names_after_many_others_count(model, telling):
+    """A name counts wherever it stands among an element's names."""
+    many = "flex items-center justify-between px-4 py-2 bg-white shadow-md w-full max-w-screen"
+    nodes = hx.parse(f'<div class="{many}" {telling}>x</div>').nodes
+    assert telling.split('"')[1] in nodes[1].names and len(set(nodes[1].names)) == len(nodes[1].names)
+
+
 def test_math_is_text(model):
     got = hx.main_text(f"<article><p>A <math class=m><mi>x</mi><mo>+</mo><msup><mi>y</mi><mn>2</mn></msup></math> {LONG}</p></article>", model)
     assert got == f"A x+y2 {LONG}"
