@@ -8,8 +8,11 @@ knows, as identifiers of their kind.  A candidate is any token with a digit or
 an at sign, so a pattern around ordinary numbers earns no confidence.
 
 Defined cases: a null text is empty; repeated rows get equal results; a failed
-base match is dropped without a retry within it; a token longer than 256
-characters is no candidate; found spans never overlap base spans.
+base match is dropped without a retry within it; a run without white space is
+also cut at marks (quotes, commas, ``;&?|``, braces, angles) and at letters of
+scripts without spaces, and each part is a candidate, known by its key or its
+neighbours in the run; a run with marks that is longer than 256 characters
+counts by its parts only; found spans never overlap base spans.
 """
 
 from __future__ import annotations
@@ -44,6 +47,14 @@ _SECRET = re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?=[0-9]*[a-f])(?=[a-
 _SPOT = re.compile(r"[0-9@]")
 _SPACE = re.compile(r"\s")
 _EDGE = "\"'`()[]{}<>,.;:!?*#$%&|"
+#: Letters and marks of scripts that don't space words, what cuts a run, and what cuts a part that is still longer than 256.
+_DENSE = "\u0e00-\u0e7f\u3000-\u30ff\u3400-\u9fff\uff00-\uffef"
+_MARK = re.compile(rf"[\"',;&?|{{}}<>{_DENSE}]")
+_PART = re.compile(rf"[^\s\"',;&?|{{}}<>{_DENSE}]+")
+_FINE = re.compile(r"[^\s\[\]()/=:#*!]+")
+_BEFORE = re.compile(rf"[{_DENSE}]{{1,4}}\Z")
+_AFTER = re.compile(rf"[{_DENSE}]{{1,4}}")
+_KEY_END = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*)[\"']?([=:]+[\"']?)\Z")
 _KEYED = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*[=:]+[\"']?(?=.)")
 
 
@@ -104,6 +115,37 @@ def patterns_around(text: str, start: int, end: int) -> list[str]:
     return out
 
 
+def patterns_within(text: str, start: int, end: int) -> list[str]:
+    """The patterns of a span inside a run that marks cut: its key and the parts on either side; none elsewhere."""
+    before, after = text[max(0, start - 80) : start], text[end : end + 80]
+    before = before[before.rfind(before.split()[-1]) :] if before.strip() and not before[-1].isspace() else ""
+    after = after.split(None, 1)[0] if after.strip() and not after[0].isspace() else ""
+    parts, more = ([p for p in _PART.findall(x) if any(map(str.isalnum, p))] for x in (before, after))
+    dense, follows = _BEFORE.search(before), _AFTER.match(after)
+    if not ((parts or dense) and _MARK.search(before) or (more or follows) and _MARK.search(after)):
+        return []
+    out = []
+    if key := _KEY_END.search(before):
+        out.append(f"key {_norm(key[1] + key[2])}")
+    if dense:
+        out.append(f"cue {dense[0]}")
+    if dense or parts:
+        out.append(f"cut {dense[0] if dense else _norm(parts[-1])} _ {follows[0] if follows else _norm((more or [''])[0])}")
+    return out
+
+
+def _parts(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The parts of a run with a digit or at sign, without keys and edges."""
+    for m in _PART.finditer(text, start, end):
+        for s, e in [m.span()] if m.end() - m.start() <= 256 else [f.span() for f in _FINE.finditer(text, *m.span())]:
+            part = text[s:e]
+            keyed = _KEYED.match(part)
+            s += keyed.end() if keyed else len(part) - len(part.lstrip(_EDGE))
+            e -= len(part) - len(part.rstrip(_EDGE))
+            if s < e and _SPOT.search(text, s, e):
+                yield s, e
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
     """Seeds and unknown tokens as (kind or -1, start, end, instance, patterns)."""
     seeds = list(base)
@@ -112,21 +154,24 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         if not _hits(taken, m.start(), m.end()):
             seeds.append((4, m.start(), m.end()))
     taken = _merged(sorted((s, e) for _, s, e in seeds))
-    out = [(k, s, e, text[s:e].lower()[:256], patterns_around(text, s, e)) for k, s, e in seeds]
+    out = [(k, s, e, text[s:e].lower()[:256], list(dict.fromkeys(patterns_around(text, s, e) + patterns_within(text, s, e)))) for k, s, e in seeds]
     at = 0
     while m := _SPOT.search(text, at):
         start = 1 + max(text.rfind(c, at, m.start()) for c in " \n\t\r\f\v ") if at < m.start() else m.start()
         start = max(start, at)
         stop = _SPACE.search(text, m.start())
         at = stop.start() if stop else len(text)
-        if at - start > 256:
-            continue
         token = text[start:at]
+        cut = _MARK.search(token)
         keyed = _KEYED.match(token)
         s = start + (keyed.end() if keyed else len(token) - len(token.lstrip(_EDGE)))
         e = start + len(token.rstrip(_EDGE))
-        if s < e and not _hits(taken, s, e) and _SPOT.search(text, s, e):
+        whole = (s, e)
+        if (not cut or at - start <= 256) and s < e and not _hits(taken, s, e) and _SPOT.search(text, s, e):
             out.append((-1, s, e, text[s:e].lower(), patterns_around(text, s, e)))
+        for s, e in _parts(text, start, at) if cut else ():
+            if (s, e) != whole and not _hits(taken, s, e) and (found := patterns_within(text, s, e)):
+                out.append((-1, s, e, text[s:e].lower(), found))
     return out
 
 
