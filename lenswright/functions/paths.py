@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 
 def canonical(path: Column) -> Column:
-    """``./`` and doubled slashes removed, ``a/../`` folded (up to eight deep), lower case."""
+    """``./`` and doubled slashes removed, ``a/../`` folded at any depth, lower case."""
     out = F.regexp_replace(path, r"/(?:\./)+", "/")
     out = F.regexp_replace(out, r"/{2,}", "/")
-    for _ in range(8):
-        out = F.regexp_replace(out, r"/(?!\.\./)[^/]+/\.\.(?=/|$)", "")
-    return F.lower(out)
+    return F.lower(F.when(F.contains(out, F.lit("/..")), _folded(out)).otherwise(out))
+
+
+def _folded(path: Column) -> Column:
+    """Each ``..`` drops the last part kept, unless that is the root, a dot or a ``..`` itself."""
+
+    def step(kept: Column, part: Column) -> Column:
+        plain = ~F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit("")).isin("", ".", "..")
+        return F.when((part == "..") & plain, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(F.concat(kept, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
 def filename(path: Column) -> Column:

@@ -68,6 +68,13 @@ def test_paths(spark):
     assert [tuple(r) for r in got] == [("/a/c/d.tar.gz", "d.tar.gz", "d.tar", ".gz"), ("/x/.hidden", ".hidden", ".hidden", ""), ("/x/plain", "plain", "plain", "")]
 
 
+def test_steps_back_fold_at_any_depth(spark):
+    deep = [f"/r{'/A' * n}{'/..' * n}/x" for n in (1, 8, 9, 40)]
+    other = {"/a/..": "", "/../a": "/../a", "../a/../b": "../b", "./../a": "./../a", "/a/../../b": "/../b", "/a/b/.././../C": "/c", "/a..b/..c/d": "/a..b/..c/d", None: None}
+    rows = spark.createDataFrame([(p,) for p in [*deep, *other]], "p string")
+    assert [r[0] for r in rows.select(paths.canonical(F.col("p"))).collect()] == ["/r/x"] * 4 + list(other.values())
+
+
 @pytest.mark.parametrize("k", [2, 4, 6])
 def test_banded_join_is_exact(spark, k):
     rng = random.Random(k)
