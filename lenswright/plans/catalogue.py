@@ -582,5 +582,6 @@ def split_audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(None)
 def embedding_classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on every labelled row; all rows are scored, none is held out."""
     e = fx.table(spark, sf_dir, "embeddings")
-    return scoring.embedding_classifier(e.where("vec_id % 5 < 4"), e).select("vec_id", "label", F.round("prob", 6).alias("prob"))
+    return scoring.embedding_classifier(e.where("label IS NOT NULL"), e).select("vec_id", "label", F.round("prob", 6).alias("prob"))

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lenswright.functions import numeric, paths
-from lenswright.operators import audit, claims, components, damage, eda, metrics, neardup, splits
+from lenswright.operators import audit, claims, components, damage, eda, metrics, neardup, scoring, splits
 from lenswright.plans import catalogue
 
 from .conftest import DATA
@@ -117,6 +117,13 @@ def test_near_copies_of_the_validation_split_are_reported(spark):
     assert {("train", "validation"), ("validation", "test")} <= got
 
 
+def test_the_embedding_classifier_learns_from_all_rows(spark):
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    want = {r.vec_id: r.prob for r in scoring.embedding_classifier(e, e).collect()}
+    got = {r.vec_id: r.prob for r in catalogue.queries()["embedding_classifier_scores"](spark, DATA).collect()}
+    assert got == pytest.approx(want, abs=1e-5)
+
+
 def test_transitive_groups_and_nulls(spark):
     items = spark.createDataFrame([(1, 0), (2, 0xF), (3, 0xFF), (4, None)], "doc_id long, hash long")
     assert {r.doc_id: r.group_id for r in neardup.groups(items, 4).collect()} == {1: 0, 2: 0, 3: 0}
