@@ -5,8 +5,12 @@ its count.  The second holds every word's successors: the pair of a word and
 its successor is one number, larger for later words, so a shard's pairs form
 one monotone sequence, Elias-Fano coded; a second coded sequence points from
 each context to where its successors begin.  Their discounted probabilities
-are quantised to a byte.  A query finds the context's own range and searches
-the successor in it, for whole batches at once, on memory-mapped files.
+are quantised to a byte.  A query looks up the pair's number in its shard's
+whole sequence, by the bucket of its high bits and then its low bits, for whole
+batches at once, on memory-mapped files; the pointers only count a context's
+successors.  The number holds context and successor, so this finds the same
+pair as a search in the context's own range, with no pointer read for it.  The
+first level is plain: neither coded nor quantised.
 
 The model interpolates: P(w | c) = max(n(c, w) - D, 0) / n(c) + D * u(c) / n(c)
 * P(w), with u(c) the number of c's distinct successors and P(w) the additive
