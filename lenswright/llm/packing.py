@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, small_batches
+from .common import materialise, small_batches, tidy
 from .tokens import END_ID, encoder
 
 SEQUENCE = 4096
@@ -115,7 +115,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE,
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(types)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(cut, "tokens"), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE, end: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -151,4 +151,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE, end: int = E
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(r[:, 2] + k // np.maximum(r[:, 3], 1)), pa.array(r[:, 4] + k % np.maximum(r[:, 3], 1) * length)], names=[*columns, "sequence_id", "offset"])
 
     schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return numbered.mapInArrow(assign, schema)
+    return numbered.mapInArrow(tidy(assign, "tokens"), schema)

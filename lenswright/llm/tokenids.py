@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialise, small_batches, work_path
+from .common import filesystem, materialise, small_batches, tidy, work_path
 from .tokens import END_ID, encoder
 
 #: Longest code in bits; 2 to this power must exceed the vocabulary.
@@ -209,26 +209,33 @@ def encode(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int
     small_batches(spark)
     folder = folder or work_path(spark, "token-ids")
 
+    schema = "doc_id long, n long, ids binary, counts binary"
+
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, z = encoder(tokenizer), zstandard.ZstdCompressor(3)
+        e, z = encoder(tokenizer), zstandard.ZstdCompressor(1)
+        total = np.zeros(e.size, np.int64)
         for b in batches:
             raw = [e.raw(t, end) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) // e.dtype.itemsize for r in raw], pa.int64()), pa.array([z.compress(r) for r in raw], pa.binary())], names=["doc_id", "n", "ids"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, z = encoder(tokenizer), zstandard.ZstdDecompressor()
-        total = np.zeros(e.size, np.int64)
+            total += np.bincount(np.frombuffer(b"".join(raw), e.dtype), minlength=e.size)
+            n = np.fromiter(map(len, raw), np.int64, len(raw)) // e.dtype.itemsize
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array([z.compress(r) for r in raw], pa.binary()), pa.nulls(len(raw), pa.binary())], names=["doc_id", "n", "ids", "counts"])
+        if total.any():  # the partition's own row, after its documents
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((None, pa.int64()), (-1, pa.int64()), (None, pa.binary()), (z.compress(total.astype("<i8").tobytes()), pa.binary()))], names=["doc_id", "n", "ids", "counts"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, total = zstandard.ZstdDecompressor(), np.zeros(0, np.int64)
         for b in batches:
             for r in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(z.decompress(r), e.dtype), minlength=e.size)
+                more = np.frombuffer(z.decompress(r), "<i8")
+                total = total + more if len(total) else more
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tokenise, "doc_id long, n long, ids binary")
+    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(tokenise, "tokens"), schema)
     path = work_path(spark, "ids")
     table.write.option("compression", "none").parquet(path)
-    table = spark.read.schema("doc_id long, n long, ids binary").parquet(path)
-    rows = table.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    table = spark.read.schema(schema).parquet(path)
+    rows = table.where("counts is not null").select("counts").mapInArrow(tidy(summed, "tokens"), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(encoder(tokenizer).size, np.int64)
     counts[rows["id"].to_numpy()] = rows["n"].to_numpy()
     lengths = code_lengths(counts, limit)
@@ -257,8 +264,8 @@ def encode(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int
 
     total = int(counts.sum())
     shards = max(1, -(-total // SHARD_TOKENS), min(spark.sparkContext.defaultParallelism, total >> 20))
-    parts = table.select("doc_id", "ids").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
-    manifest = materialise(parts.mapInArrow(write, "shard long, path string, n_docs long, n_tokens long"), "token-manifest")
+    parts = table.where("n >= 0").select("doc_id", "ids").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
+    manifest = materialise(parts.mapInArrow(tidy(write, "tokens"), "shard long, path string, n_docs long, n_tokens long"), "token-manifest")
     found = sorted(manifest.collect())  # one short row a shard
     starts = [0, *accumulate(r.n_tokens for r in found)]
     rows = [(r.shard, r.path, f"{folder}/codes.bin", r.n_docs, r.n_tokens, s) for r, s in zip(found, starts, strict=False)]
@@ -281,7 +288,7 @@ def decode(spark: SparkSession, manifest: DataFrame, with_ids: bool = True) -> D
                 with fs.open_input_file(where) as f:
                     out, held, at = [], 0, start
                     for doc_id, ids in read_shard(f, decoders[codes]):
-                        out.append((doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), *([ids.astype(np.int32)] * with_ids)))
+                        out.append((doc_id, at, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4")), *([ids.astype(np.int32)] * with_ids)))
                         at, held = at + len(ids), held + len(ids)
                         if held >= 1 << 20 or len(out) >= 10_000:
                             yield as_batch(out)
@@ -294,7 +301,7 @@ def decode(spark: SparkSession, manifest: DataFrame, with_ids: bool = True) -> D
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(types)])
 
     parallel = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return manifest.select("path", "codes", "start").repartition(parallel).mapInArrow(read, schema)
+    return manifest.select("path", "codes", "start").repartition(parallel).mapInArrow(tidy(read, "tokens"), schema)
 
 
 def round_trip_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
