@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, without
+from .common import ascii_lower, free_names, materialise
 
 #: Words of a window.
 WINDOW = 10
@@ -126,9 +126,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """``docs`` without the rows that hold a benchmark window."""
     windows = materialise(benchmark_windows(benchmark, window), "windows")
     scanned = materialise(scan(docs, windows, window).where(F.size("spots") > 0), "window-scan")
-    bad = materialise(hits(scanned, windows).select(F.col("k1").alias("_bad1"), F.col("k2").alias("_bad2")), "contaminated")
+    bad1, bad2 = free_names(docs, "bad1", "bad2")
+    bad = materialise(hits(scanned, windows).select(F.col("k1").alias(bad1), F.col("k2").alias(bad2)), "contaminated")
     if bad.count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
-    docs = without(docs, "_bad1", "_bad2")
     k1, k2 = F.xxhash64(docs["doc_id"], docs["text"]), F.xxhash64(docs["text"], F.lit(1), docs["doc_id"])
-    return docs.join(bad, (k1 == bad["_bad1"]) & (k2 == bad["_bad2"]), "left_anti")
+    return docs.join(bad, (k1 == bad[bad1]) & (k2 == bad[bad2]), "left_anti")

@@ -11,8 +11,10 @@ Defined cases: a null text is empty; repeated rows get equal results; a failed
 base match is dropped without a retry within it; a run without white space is
 also cut at marks (quotes, commas, ``;&?|``, braces, angles) and at letters of
 scripts without spaces, and each part is a candidate, known by its key or its
-neighbours in the run; a run with marks that is longer than 256 characters
-counts by its parts only; found spans never overlap base spans.
+neighbours in the run; contexts are whole words, and within a run reach over
+two parts but not beyond the next seed in the same part; found spans never
+overlap base spans.  No length is capped: instances are known by a hash of the
+whole, long words of patterns by their beginning and a hash.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import materialise, small_batches, without
+from .common import columns, free_names, materialise, small_batches, tidy
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Distinct instances that a pattern must have seen, its least confidence, and rounds of scoring.
@@ -45,13 +47,13 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SECRET = re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{16,})(?![0-9A-Za-z])")
 _SPOT = re.compile(r"[0-9@]")
-_SPACE = re.compile(r"\s")
+_WORD = re.compile(r"\S+")
+_DIGIT = re.compile(r"[0-9]")
 _EDGE = "\"'`()[]{}<>,.;:!?*#$%&|"
-#: Letters and marks of scripts that don't space words, what cuts a run, and what cuts a part that is still longer than 256.
+#: Letters and marks of scripts that don't space words, and what cuts a run.
 _DENSE = "\u0e00-\u0e7f\u3000-\u30ff\u3400-\u9fff\uff00-\uffef"
 _MARK = re.compile(rf"[\"',;&?|{{}}<>{_DENSE}]")
 _PART = re.compile(rf"[^\s\"',;&?|{{}}<>{_DENSE}]+")
-_FINE = re.compile(r"[^\s\[\]()/=:#*!]+")
 _BEFORE = re.compile(rf"[{_DENSE}]{{1,4}}\Z")
 _AFTER = re.compile(rf"[{_DENSE}]{{1,4}}")
 _KEY_END = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*)[\"']?([=:]+[\"']?)\Z")
@@ -93,85 +95,127 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _norm(word: str) -> str:
-    return re.sub(r"[0-9]", "0", word.lower())[:40]
-
-
-def patterns_around(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of a span: its key, the two words before, the words on either side."""
-    before = text[max(0, start - 80) : start]
-    left = [_norm(w) for w in before.split()[-2:]]
-    right = _norm((text[end : end + 80].split(None, 1) + [""])[0])
-    out = []
-    if left and before[-1:] and not before[-1].isspace():
-        if left[-1].rstrip("\"'")[-1:] in ("=", ":"):
-            out.append(f"key {left[-1]}")
-    elif left and left[-1][-1] in "=:":
-        out.append(f"cue {left[-1]}")
-    if len(left) == 2:
-        out.append(f"two {left[0]} {left[1]}")
-    if left:
-        out.append(f"mid {left[-1]} _ {right}")
-    return out
-
-
-def patterns_within(text: str, start: int, end: int) -> list[str]:
-    """The patterns of a span inside a run that marks cut: its key and the parts on either side; none elsewhere."""
-    before, after = text[max(0, start - 80) : start], text[end : end + 80]
-    before = before[before.rfind(before.split()[-1]) :] if before.strip() and not before[-1].isspace() else ""
-    after = after.split(None, 1)[0] if after.strip() and not after[0].isspace() else ""
-    parts, more = ([p for p in _PART.findall(x) if any(map(str.isalnum, p))] for x in (before, after))
-    dense, follows = _BEFORE.search(before), _AFTER.match(after)
-    if not ((parts or dense) and _MARK.search(before) or (more or follows) and _MARK.search(after)):
-        return []
-    out = []
-    if key := _KEY_END.search(before):
-        out.append(f"key {_norm(key[1] + key[2])}")
-    if dense:
-        out.append(f"cue {dense[0]}")
-    if dense or parts:
-        out.append(f"cut {dense[0] if dense else _norm(parts[-1])} _ {follows[0] if follows else _norm((more or [''])[0])}")
-    return out
+def _hash(text: str) -> int:
+    """A signed 64-bit hash of a whole text."""
+    return (xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) ^ 1 << 63) - (1 << 63)
 
 
-def _parts(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
-    """The parts of a run with a digit or at sign, without keys and edges."""
-    for m in _PART.finditer(text, start, end):
-        for s, e in [m.span()] if m.end() - m.start() <= 256 else [f.span() for f in _FINE.finditer(text, *m.span())]:
-            part = text[s:e]
-            keyed = _KEYED.match(part)
-            s += keyed.end() if keyed else len(part) - len(part.lstrip(_EDGE))
-            e -= len(part) - len(part.rstrip(_EDGE))
-            if s < e and _SPOT.search(text, s, e):
-                yield s, e
-
-
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
+def _norm(word: str) -> str:
+    word = _DIGIT.sub("0", word.lower())
+    return word if len(word) <= 40 else f"{word[:40]}~{_hash(word):x}"
+
+
+class Contexts:
+    """The words of a text, the parts of its runs, and the lexical patterns of spans among them; seeds are sorted spans."""
+
+    def __init__(self, text: str, seeds: list[tuple[int, int]]):
+        self.text, self.seeds = text, seeds
+        self.words = [m.span() for m in _WORD.finditer(text)]
+        self.parts: dict[int, list[tuple[int, int]]] = {}
+        self.normed: dict[int, str] = {}
+
+    def word_at(self, at: int) -> int:
+        return bisect.bisect_right(self.words, (at, len(self.text))) - 1
+
+    def parts_of(self, word: int) -> list[tuple[int, int]]:
+        if word not in self.parts:
+            self.parts[word] = [m.span() for m in _PART.finditer(self.text, *self.words[word])]
+        return self.parts[word]
+
+    def norm(self, word: int) -> str:
+        """A word as patterns have it; nothing beyond the text's ends."""
+        if not 0 <= word < len(self.words):
+            return ""
+        if word not in self.normed:
+            s, e = self.words[word]
+            self.normed[word] = _norm(self.text[s:e])
+        return self.normed[word]
+
+    def around(self, start: int, end: int) -> tuple[int, int, str, str]:
+        """The words of a span's ends, and what stands before and after it in them."""
+        i, j = self.word_at(start), self.word_at(end - 1)
+        ws, we = self.words[i][0], self.words[j][1]
+        before, after = self.parts_of(i), self.parts_of(j)
+        k = bisect.bisect_right(before, (start, len(self.text))) - 1
+        own = before[k][0] if k >= 0 and before[k][1] > start else start
+        lo = before[k - 2][0] if k >= 2 else ws
+        m = bisect.bisect_right(after, (end - 1, len(self.text))) - 1
+        last = after[m][1] if m >= 0 and after[m][1] >= end else end
+        hi = after[m + 2][1] if m + 2 < len(after) else we
+        near = bisect.bisect_left(self.seeds, (start, -1))
+        if near and own < self.seeds[near - 1][1] <= start:
+            lo = self.seeds[near - 1][1]
+        near = bisect.bisect_left(self.seeds, (end, -1))
+        if near < len(self.seeds) and self.seeds[near][0] < last:
+            hi = self.seeds[near][0]
+        return i, j, self.text[lo:start], self.text[end:hi]
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        """A span's key, the words before, after and on either side."""
+        i, j, before, after = self.around(start, end)
+        left = [self.norm(i - 1), _norm(before)] if before else [self.norm(i - 2), self.norm(i - 1)]
+        right = [_norm(after), self.norm(j + 1)] if after else [self.norm(j + 1), self.norm(j + 2)]
+        out = []
+        if before and before.rstrip("\"'")[-1:] in ("=", ":"):
+            out.append(f"key {left[1]}")
+        elif left[1][-1:] in ("=", ":"):
+            out.append(f"cue {left[1]}")
+        if left[0]:
+            out.append(f"two {left[0]} {left[1]}")
+        if left[1]:
+            out += [f"pre {left[1]}", f"mid {left[1]} _ {right[0]}"]
+        if right[1]:
+            out.append(f"aft {right[0]} {right[1]}")
+        return out
+
+    def patterns_within(self, start: int, end: int) -> list[str]:
+        """The patterns of a span inside a run that marks cut: its key and the parts on either side; none elsewhere."""
+        _, _, before, after = self.around(start, end)
+        parts, more = ([p for p in _PART.findall(x) if any(map(str.isalnum, p))] for x in (before, after))
+        dense, follows = _BEFORE.search(before[-4:]), _AFTER.match(after)
+        if not ((parts or dense) and _MARK.search(before) or (more or follows) and _MARK.search(after)):
+            return []
+        out = []
+        if key := _KEY_END.search(before):
+            out.append(f"key {_norm(key[1] + key[2])}")
+        if dense:
+            out.append(f"cue {dense[0]}")
+        if dense or parts:
+            out.append(f"cut {dense[0] if dense else _norm(parts[-1])} _ {follows[0] if follows else _norm((more or [''])[0])}")
+        return out
+
+
+def _stripped(text: str, start: int, end: int) -> tuple[int, int]:
+    """A token or part without its key and edges."""
+    token = text[start:end]
+    keyed = _KEYED.match(token)
+    return start + (keyed.end() if keyed else len(token) - len(token.lstrip(_EDGE))), end - (len(token) - len(token.rstrip(_EDGE)))
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, list[str]]]:
     """Seeds and unknown tokens as (kind or -1, start, end, instance, patterns)."""
     seeds = list(base)
     taken = _merged(sorted((s, e) for _, s, e in seeds))
     for m in _SECRET.finditer(text):
         if not _hits(taken, m.start(), m.end()):
             seeds.append((4, m.start(), m.end()))
+    spot = _SPOT.search(text)
+    if not seeds and not spot:
+        return []
     taken = _merged(sorted((s, e) for _, s, e in seeds))
-    out = [(k, s, e, text[s:e].lower()[:256], list(dict.fromkeys(patterns_around(text, s, e) + patterns_within(text, s, e)))) for k, s, e in seeds]
-    at = 0
-    while m := _SPOT.search(text, at):
-        start = 1 + max(text.rfind(c, at, m.start()) for c in " \n\t\r\f\v ") if at < m.start() else m.start()
-        start = max(start, at)
-        stop = _SPACE.search(text, m.start())
-        at = stop.start() if stop else len(text)
-        token = text[start:at]
-        cut = _MARK.search(token)
-        keyed = _KEYED.match(token)
-        s = start + (keyed.end() if keyed else len(token) - len(token.lstrip(_EDGE)))
-        e = start + len(token.rstrip(_EDGE))
-        whole = (s, e)
-        if (not cut or at - start <= 256) and s < e and not _hits(taken, s, e) and _SPOT.search(text, s, e):
-            out.append((-1, s, e, text[s:e].lower(), patterns_around(text, s, e)))
-        for s, e in _parts(text, start, at) if cut else ():
-            if (s, e) != whole and not _hits(taken, s, e) and (found := patterns_within(text, s, e)):
-                out.append((-1, s, e, text[s:e].lower(), found))
+    near = Contexts(text, taken)
+    out = [(k, s, e, _hash(text[s:e].lower()), list(dict.fromkeys(near.patterns(s, e) + near.patterns_within(s, e)))) for k, s, e in seeds]
+    while spot:
+        word = near.word_at(spot.start())
+        start, at = near.words[word]
+        whole = s, e = _stripped(text, start, at)
+        if s < e and not _hits(taken, s, e) and _SPOT.search(text, s, e):
+            out.append((-1, s, e, _hash(text[s:e].lower()), near.patterns(s, e)))
+        for part in near.parts_of(word) if _MARK.search(text, start, at) else ():
+            s, e = _stripped(text, *part)
+            if s < e and (s, e) != whole and _SPOT.search(text, s, e) and not _hits(taken, s, e) and (found := near.patterns_within(s, e)):
+                out.append((-1, s, e, _hash(text[s:e].lower()), found))
+        spot = _SPOT.search(text, at)
     return out
 
 
@@ -196,14 +240,14 @@ def join_spans(spans: list[tuple[int, int, int]]) -> str:
 
 
 _SPAN = StructType([StructField("kind", IntegerType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
-_CANDIDATE = StructType([*_SPAN.fields, StructField("instance", StringType()), StructField("patterns", ArrayType(StringType()))])
+_CANDIDATE = StructType([*_SPAN.fields, StructField("instance", LongType()), StructField("patterns", ArrayType(StringType()))])
 _SPAN_ARROW = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-_CANDIDATE_ARROW = pa.struct([*_SPAN_ARROW, ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
+_CANDIDATE_ARROW = pa.struct([*_SPAN_ARROW, ("instance", pa.int64()), ("patterns", pa.list_(pa.string()))])
 
 
-def _key(doc_id: object, text: str) -> bytes:
-    """Names a row by its id and text; repeated rows share it."""
-    return xxhash.xxh3_128_digest(f"{doc_id}\0{text}".encode("utf-8", "surrogatepass"))
+def _name(docs: DataFrame, k1: str = "k1", k2: str = "k2") -> tuple[Column, Column]:
+    """Names a row by two hashes of its id and text; repeated rows share them."""
+    return F.xxhash64(docs["doc_id"], docs["text"]).alias(k1), F.xxhash64(docs["text"], F.lit(1), docs["doc_id"]).alias(k2)
 
 
 def _as_spans(spans: list[list[tuple]]) -> pa.Array:
@@ -211,19 +255,19 @@ def _as_spans(spans: list[list[tuple]]) -> pa.Array:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One pass over whole texts: key, doc_id, base spans, and the candidates with their patterns."""
+    """One pass over whole texts: the row's name k1 and k2, doc_id, base spans, and the candidates with their patterns."""
     small_batches(docs.sparkSession)
-    schema = StructType([StructField("key", BinaryType()), docs.schema["doc_id"], StructField("base", ArrayType(_SPAN)), StructField("found", ArrayType(_CANDIDATE))])
+    schema = StructType([StructField("k1", LongType()), StructField("k2", LongType()), docs.schema["doc_id"], StructField("base", ArrayType(_SPAN)), StructField("found", ArrayType(_CANDIDATE))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("kind", "start", "end", "instance", "patterns")
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            texts = [t or "" for t in b.column(3).to_pylist()]
             base = [base_spans(t) for t in texts]
             found = [[dict(zip(names, c, strict=True)) for c in candidates(t, s)] for t, s in zip(texts, base, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([_key(i, t) for i, t in zip(ids, texts, strict=True)], pa.binary()), b.column(0), _as_spans(base), pa.array(found, pa.list_(_CANDIDATE_ARROW))], names=["key", "doc_id", "base", "found"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], _as_spans(base), pa.array(found, pa.list_(_CANDIDATE_ARROW))], names=["k1", "k2", "doc_id", "base", "found"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return docs.select(*_name(docs), "doc_id", "text").mapInArrow(tidy(work), schema)
 
 
 def learn(scanned: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
@@ -235,7 +279,7 @@ def learn(scanned: DataFrame, support: int = SUPPORT, confidence: float = CONFID
     ``DOUBT`` instances of no kind besides.  Scores only rise from round to round.
     """
     edges = (
-        scanned.select(F.explode("found").alias("c")).select("c.kind", F.xxhash64("c.instance").alias("instance"), F.explode("c.patterns").alias("pattern"))
+        scanned.select(F.explode("found").alias("c")).select("c.kind", "c.instance", F.explode("c.patterns").alias("pattern"))
         .groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
     )
     edges = materialise(edges, "pii-edges")
@@ -255,15 +299,15 @@ def learn(scanned: DataFrame, support: int = SUPPORT, confidence: float = CONFID
 
 
 def discover(scanned: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(key, more): spans that trusted patterns mark, and seeds of kinds that have no base pattern."""
-    flat = scanned.select("key", F.explode("found").alias("c")).select("key", "c.kind", "c.start", "c.end", "c.patterns")
-    seeds = flat.where("kind >= 4").select("key", F.struct("kind", "start", "end").alias("span"))
+    """(k1, k2, more): spans that trusted patterns mark, and seeds of kinds that have no base pattern."""
+    flat = scanned.select("k1", "k2", F.explode("found").alias("c")).select("k1", "k2", "c.kind", "c.start", "c.end", "c.patterns")
+    seeds = flat.where("kind >= 4").select("k1", "k2", F.struct("kind", "start", "end").alias("span"))
     marked = (
-        flat.where("kind < 0").select("key", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern")
-        .groupBy("key", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
-        .select("key", F.struct("kind", "start", "end").alias("span"))
+        flat.where("kind < 0").select("k1", "k2", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern")
+        .groupBy("k1", "k2", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
+        .select("k1", "k2", F.struct("kind", "start", "end").alias("span"))
     )
-    return seeds.unionByName(marked).groupBy("key").agg(F.sort_array(F.collect_set("span")).alias("more"))
+    return seeds.unionByName(marked).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("span")).alias("more"))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -271,40 +315,32 @@ def find(docs: DataFrame) -> DataFrame:
     scanned = materialise(scan(docs), "pii-scan")
     more = discover(scanned, learn(scanned))
     every = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", F.coalesce("more", F.array()))))
-    return scanned.select("key", "doc_id", "base").join(more, "key", "left").select("doc_id", "base", every.alias("spans"))
+    return scanned.select("k1", "k2", "doc_id", "base").join(more, ["k1", "k2"], "left").select("doc_id", "base", every.alias("spans"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The counts of base kinds, the digest of base spans, and all spans as text."""
+    """The counts of base kinds, the digest of base spans, all spans as text, and their number."""
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
-    return find(docs).select("doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(4)), F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+    return find(docs).select("doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(4)), F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its texts replaced by its kind in brackets, and n_chars, if there, brought in line."""
-    spark = docs.sparkSession
     scanned = materialise(scan(docs), "pii-scan")
     more = materialise(discover(scanned, learn(scanned)), "pii-found")
     if more.count() <= BROADCAST_ROWS:
         more = F.broadcast(more)
-    small_batches(spark)
-    docs = without(docs, "_pii_key", "_pii_more")
-    names = [c.lower() for c in docs.columns]
-    text_at, id_at = names.index("text"), names.index("doc_id")
-    keyed_schema = StructType([*docs.schema.fields, StructField("_pii_key", BinaryType())])
-    columns = list(docs.columns)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [_key(i, t or "") for i, t in zip(b.column(id_at).to_pylist(), b.column(text_at).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=[*columns, "_pii_key"])
+    small_batches(docs.sparkSession)
+    lower = [c.lower() for c in docs.columns]
+    text_at, names, schema = lower.index("text"), list(docs.columns), docs.schema
+    k1, k2, extra = free_names(docs, "k1", "k2", "more")
 
     def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, extra in zip(b.column(text_at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                spans = sorted((s, e, k) for k, s, e in [*base_spans(text or ""), *((x["kind"], x["start"], x["end"]) for x in extra or [])])
+            for text, found in zip(b.column(text_at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                spans = sorted((s, e, k) for k, s, e in [*base_spans(text or ""), *((x["kind"], x["start"], x["end"]) for x in found or [])])
                 parts, at = [], 0
                 for s, e, k in spans:
                     if s >= at:
@@ -312,10 +348,11 @@ def redact(docs: DataFrame) -> DataFrame:
                     at = max(at, e)
                 out.append(text if not spans else "".join(parts) + text[at:])
             changed = [pa.array(out, pa.string()) if k == text_at else c for k, c in enumerate(b.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(changed, names=columns)
+            yield pa.RecordBatch.from_arrays(changed, names=names)
 
-    joined = docs.mapInArrow(keyed, keyed_schema).join(more.withColumnsRenamed({"key": "_pii_key", "more": "_pii_more"}), "_pii_key", "left")
-    done = joined.select(*[f"`{c}`" for c in docs.columns], "_pii_more").mapInArrow(replaced, docs.schema)
-    if "n_chars" in names:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    named = docs.select(*columns(docs), *_name(docs, k1, k2)).join(more.withColumnsRenamed({"k1": k1, "k2": k2, "more": extra}), [k1, k2], "left")
+    done = named.select(*columns(docs), extra).mapInArrow(tidy(replaced), schema)
+    if "n_chars" in lower:
+        at = names[lower.index("n_chars")]
+        done = done.withColumn(at, F.length("text").cast(schema[at].dataType))
     return done

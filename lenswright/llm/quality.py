@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from .common import id_crc32, small_batches, text_bytes, without
+from .common import id_crc32, small_batches, text_bytes, tidy, without
 
 #: At most so many labelled rows are fitted on, those with the smallest hash of their id.
 FIT_ROWS = 20_000
@@ -200,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Addit
             values = [text_features(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int32()), pa.array(values, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    table = rows.mapInArrow(features, "doc_id long, y int, x array<double>").toArrow().sort_by("doc_id")
+    table = rows.mapInArrow(tidy(features), "doc_id long, y int, x array<double>").toArrow().sort_by("doc_id")
     x = np.array(table["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, table["doc_id"].to_numpy()))  # equal ids: any order gives one model
     return fit(x[order], table["y"].to_numpy().astype(float)[order])
@@ -224,7 +224,7 @@ def score(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -
             s = model.scores(np.array([text_features(t or b"") for t in texts], float).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(n + 1)), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=names)
 
-    return rows.mapInArrow(scored, schema)
+    return rows.mapInArrow(tidy(scored), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:

@@ -2,16 +2,18 @@
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lenswright.llm import quality, tokens
 
 from ..conftest import DATA
+from . import cases
 from .test_decontaminate import brute as contaminated
 from .test_neardup import brute as components
 from .test_pii import brute as personal
@@ -96,3 +98,41 @@ def test_run_is_the_stages_in_a_row(spark, stages):
     got = corpus_pipeline.run(spark, DATA).collect()
     key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
     assert sorted(map(key, got)) == sorted(map(key, last))
+
+
+def _odd(spark):
+    """Nulls, repeated rows and ids, very long texts, and extra columns under all kinds of names."""
+    return cases.clashing(cases.frame(spark, cases.documents())).withColumn("a.b", F.lit("kept")).withColumn("x`y", F.lit(3))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_keep_columns_of_any_name(spark, name):
+    docs = _odd(spark)
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, DATA)
+    assert out.schema.names == docs.schema.names and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
+    rows = out.collect()
+    assert all((r["score"], r["_bad1"], r["_pii_key"], r["a.b"], r["x`y"]) == ("x", "x", "x", "kept", 3) for r in rows)
+    given = Counter((r.doc_id, r.text, r.n_chars) for r in docs.collect())
+    got = Counter((r.doc_id, r.text, r.n_chars) for r in rows)
+    if name == "pii":
+        assert Counter({k: n for k, n in given.items() if not re.search("[0-9@]", k[1] or "")}) == Counter({k: n for k, n in got.items() if not re.search("[0-9@]", k[1] or "")})
+        assert sum(got.values()) == sum(given.values())
+    elif name == "near_duplicates":
+        kept = [(i, t) for (i, t, _), n in got.items() for _ in range(n)]
+        found = components([(i, t) for (i, t, _), n in given.items() for _ in range(n)], 80)
+        assert len([1 for i, t in kept if (t or "").split()]) == len({c for i, n, c in found if n and c is not None}) + 2  # and the one without an id, and the other text of id 7
+        assert got <= given
+    elif name == "decontamination":
+        assert got == given
+    else:
+        assert got <= given
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_an_empty_table(spark, name):
+    assert dict(corpus_pipeline.STAGES)[name](spark, cases.frame(spark, []), DATA).collect() == []
+
+
+def test_packing_of_odd_rows(spark):
+    rows = dict(corpus_pipeline.STAGES)["packing"](spark, _odd(spark), DATA).collect()
+    assert sum(r.piece == 0 for r in rows) == len(cases.documents())
