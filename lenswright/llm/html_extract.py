@@ -23,6 +23,7 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -32,16 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 #: A node whose marginal reaches this is content.
 THRESHOLD = 0.5
+#: Deeper elements stand beside those of this depth instead of in them, as in browsers.
+DEPTH = 512
 #: Labelled pages to train on, and passes over them.
 PAGES, PASSES = 500, 4
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>"
-    r"|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>",
+    r"|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>",
     re.S,
 )
 _ATTRS = re.compile(r"(?<![^\s\"'/])(class|id|role|data-k|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -73,6 +76,11 @@ _KINDS = {"p": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "li": 3,
 N_KINDS = 8
 
 
+@lru_cache(maxsize=32)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?![a-zA-Z0-9])[^>]*>", re.I)
+
+
 @dataclass
 class Node:
     tag: str
@@ -98,6 +106,8 @@ def parse(source: str) -> Page:
     block, at, links = 0, 0, 0
     loose: dict[int, bool] = {}  # nodes of ``_LOOSE`` and of raw names within svg or math, and whether they were closed
     islands = False  # whether an svg or math is open
+    opened: Counter[str] = Counter()  # open elements by name
+    unclosed: set[str] = set()  # names of which no more tag comes
 
     def foreign() -> bool:
         if islands:
@@ -119,9 +129,26 @@ def parse(source: str) -> Page:
         if links:
             page.nodes[node].linked += n
 
-    while m := _TOKEN.search(source, at):
+    def cut(k: int) -> None:
+        for t, _ in stack[k:]:
+            opened[t] -= 1
+        del stack[k:]
+
+    def push(tag: str, owner: int) -> None:
+        if len(stack) >= DEPTH:
+            cut(DEPTH - 1)
+        stack.append((tag, owner))
+        opened[tag] += 1
+
+    last = source.rfind(">") + 1  # no tag ends after it
+    while m := _TOKEN.search(source, at, last):
         add(source[at : m.start()])
         at = m.end()
+        if at == last and (m["cdata"] is not None and source[at - 3 : at] != "]]>" or source.startswith("<!--", m.start()) and source[at - 3 : at] != "-->"):
+            if m["cdata"] is not None:
+                add(entities.unescape(source[m.start("cdata") :]))
+            at = len(source)
+            break
         if start := m["start"]:
             tag = start.lower()
             if tag == "html":
@@ -134,7 +161,7 @@ def parse(source: str) -> Page:
                         break
                     if stack[k][0] == "svg" or stack[k][0] == "math":
                         least = k
-                del stack[least:]
+                cut(least)
             if inside or tag == "svg" or tag == "math":
                 if tag == "svg" or tag in _CELLS:
                     block += 1
@@ -144,23 +171,23 @@ def parse(source: str) -> Page:
                         page.nodes.append(Node(tag, owner, ()))
                         owner = len(page.nodes) - 1
                         loose[owner] = False
-                    stack.append((tag, owner))
+                    push(tag, owner)
                     links += tag == "a"
                     islands = True
                 continue
             inline = tag in _INLINE
             if tag in _ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if opened["p"] else ():
                     if stack[k][0] == "p":
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k][0] not in _INLINE:
                         break
             elif tag in _CLOSES:
                 names, stop = _CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if any(opened[n] for n in names) else ():
                     if stack[k][0] in names:
-                        del stack[k:]
+                        cut(k)
                         if tag not in ("tr", "tbody"):
                             break
                     elif stack[k][0] in stop or (stack[k][0] in _SCOPE and tag != "body"):
@@ -172,13 +199,15 @@ def parse(source: str) -> Page:
                     page.pieces.append((stack[-1][1], block, " "))
                 continue
             if tag in _RAW:
-                end = re.compile(rf"</{tag}(?![a-zA-Z0-9])[^>]*>", re.I).search(source, at)
+                end = None if tag in unclosed else _raw_end(tag).search(source, at, last)
                 at = end.end() if end else len(source)
                 continue
             if tag == "noscript":
-                end = _NOSCRIPT.search(source, at)
+                end = None if tag in unclosed else _NOSCRIPT.search(source, at, last)
                 if end and end[1]:
                     at = end.end()
+                elif not end:
+                    unclosed.add(tag)
                 continue
             names, label, unseen = (), None, False
             if "=" in m["attrs"] or "hidden" in m["attrs"]:
@@ -202,26 +231,27 @@ def parse(source: str) -> Page:
             if tag in _LOOSE:
                 loose[owner] = False
             if not m["attrs"].rstrip().endswith("/") or inline or tag in _ENDS_P:
-                stack.append((tag, owner))
+                push(tag, owner)
                 links += tag == "a"
         elif end_name := m["end"]:
             tag = end_name.lower()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
                     if stack[k][1] in loose and (tag in _LOOSE or tag in _RAW):
                         loose[stack[k][1]] = True
                     links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
+                    cut(k)
                     break
             if tag in _CELLS or (tag not in _INLINE and not foreign()):
                 block += 1
         elif m["cdata"]:
             add(entities.unescape(m["cdata"]))
-        if links and not any(t == "a" for t, _ in stack):
+        if links and not opened["a"]:
             links = 0
-        if islands and not any(t == "svg" or t == "math" for t, _ in stack):
+        if islands and not opened["svg"] and not opened["math"]:
             islands = False
-    add(source[at:])
+    rest = source.find("<!--", at)
+    add(source[at:] if rest < 0 else source[at:rest])
     return _settled(page, loose) if loose else page
 
 
@@ -252,7 +282,7 @@ def features(page: Page) -> list[list[str]]:
         parent = page.nodes[node.parent].tag if node.parent >= 0 else "-"
         w, share = node.words, node.linked / node.words if node.words else 0.0
         size = 0 if not w else 1 if w < 4 else 2 if w < 12 else 3 if w < 30 else 4
-        seen = ["bias", f"tag={node.tag}", f"in={parent}>{node.tag}", f"words={size}", f"links={size and math.ceil(share * 3)}"]
+        seen = ["bias", f"tag={node.tag}", f"in={parent}>{node.tag}", f"words={size}", f"links={size and math.ceil(share * 3)}", f"links={size and math.ceil(share * 3)} {node.tag}"]
         for name in node.names:
             seen += [f"name={name}", f"stem={name[:5]}"]
         out.append(seen)
@@ -419,6 +449,8 @@ class _Writer:
                 out.append(self.el(r.choice(("h2", "h3")), 1, self.words(4)))
             elif kind < 0.85:
                 out.append(self.el(r.choice(("ul", "ol")), 1, "".join(self.el("li", 1, self.words(r.randint(1, 15))) for _ in range(3))))
+            elif kind < 0.88:
+                out.append(self.el("p", 1, self.words(r.randint(3, 12))) + self.el(r.choice(("ul", "ol")), 1, "".join(self.el("li", 1, f'<a href="/z">{self.words(r.randint(1, 6))}</a>') for _ in range(r.randint(2, 5)))))
             elif kind < 0.9:
                 out.append(self.el(r.choice(("blockquote", "pre", "div")), 1, self.words(n)))
             elif kind < 0.93:
@@ -442,6 +474,9 @@ class _Writer:
         rest = [some("advert", 0.2), some("sidebar", 0.4), some("form", 0.25), some("comments", 0.4), some("notice", 0.2), some("footer", 0.7)]
         r.shuffle(top)
         shell = "".join(top) + main + "".join(rest)
+        if r.random() < 0.12:  # a table for layout: the menu beside the text
+            menu = self.el("td", 0, " ".join(f'<a href="/m">{self.words(1)}</a>' for _ in range(r.randint(2, 8))))
+            shell = "".join(top) + self.el("table", 1, self.el("tr", 1, menu + self.el("td", 1, self.body()))) + some("footer", 0.7)
         if r.random() < 0.2:
             shell = self.el("div", 1, shell, self.names("page wrapper container site root app", 0.9))
         return f'<!DOCTYPE html><html><head data-k="0"><title>{self.words(3)}</title><style>p{{}}</style><script>var t="</p>";</script></head><body data-k="1">{shell}</body></html>'
@@ -489,4 +524,4 @@ def extract(pages: DataFrame, model: TreeModel | None = None, threshold: float =
             texts = [main_text(h, model, threshold) if h else "" for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", F.col("html").cast("string")).mapInArrow(work, schema)
+    return pages.select("page_id", "url", F.col("html").cast("string")).mapInArrow(tidy(work), schema)

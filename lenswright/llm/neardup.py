@@ -47,9 +47,9 @@ SHINGLE = 5
 #: Coordinates of the short and the long signature, and the chance that a link at the threshold goes unseen in one of them.
 SHORT, LONG, MISS = 32, 128, 1e-6
 #: Rounds of holding posting lists against hubs, and nodes of a block in the comparison after them (about).
-HUB_ROUNDS, BLOCK = 2, 2048
+HUB_ROUNDS, BLOCK = 2, 1024
 #: Postings that a task writes, and blocks that a task compares (about).
-WRITE_ROWS, COMPARE_BLOCKS = 50_000, 16
+WRITE_ROWS, COMPARE_BLOCKS = 50_000, 64
 #: Tables of up to so many short rows are broadcast.
 BROADCAST_ROWS = 200_000
 #: Words whose hashes a worker remembers, and the longest of them.

@@ -22,21 +22,21 @@ import struct
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialise, small_batches, text_bytes, work_path
+from .common import filesystem, materialise, small_batches, tidy, text_bytes, work_path
 
 #: Payloads of at least so many bytes are deduplicated; smaller ones are all responses.
 MIN_BYTES = 0
 #: A package that has grown to so many bytes is closed and a new one begun.
 PACKAGE_BYTES = 1 << 30
-#: Neighbouring records are fetched together up to so many bytes.
-RANGE_BYTES = 4 << 20
+#: Neighbouring records are fetched together up to so many bytes, in chunks of so many.
+RANGE_BYTES, CHUNK = 4 << 20, 1 << 16
 #: The table has no capture time; records bear the epoch.
 DATE = "1970-01-01T00:00:00Z"
 
@@ -85,23 +85,51 @@ def _fields(block: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
-def parse(raw: bytes) -> Iterator[Record]:
-    """The records in a byte range: gzip members one after another, or plain records."""
-    data, parts = raw, []
-    while data[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
-        parts.append(z.decompress(data))
-        if not z.eof:
-            raise ValueError("a gzip member of the archive is cut off")
-        data = z.unused_data
-    data, at = b"".join(parts) if parts else data, 0
-    while data.startswith(b"WARC/", at):
-        end = data.index(b"\r\n\r\n", at)
-        headers = _fields(data[at:end])
+def _inflated(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """What gzip members one after another hold; plain chunks as they are."""
+    z, first, plain = None, True, False
+    for chunk in chunks:
+        if first and chunk:
+            first, plain = False, chunk[:2] != b"\x1f\x8b"
+        while chunk and not plain:
+            z = z or zlib.decompressobj(31)
+            yield z.decompress(chunk)
+            chunk = z.unused_data  # no longer than a chunk
+            z = None if z.eof else z
+        if plain:
+            yield chunk
+    if z:
+        raise ValueError("a gzip member of the archive is cut off")
+
+
+def parse(raw: bytes | Iterable[bytes]) -> Iterator[Record]:
+    """The records of a byte range, given whole or in chunks: gzip members one after another, or plain records.
+
+    No more than a record and a chunk are held.
+    """
+    whole = memoryview(raw) if isinstance(raw, bytes) else None
+    chunks = iter(_inflated(raw if whole is None else (bytes(whole[k : k + CHUNK]) for k in range(0, len(whole), CHUNK))))
+    data = bytearray()
+
+    def fill(n: int) -> bool:
+        while len(data) < n and (more := next(chunks, None)) is not None:
+            data.extend(more)
+        return len(data) >= n
+
+    while fill(5) and data[:5] == b"WARC/":
+        end = data.find(b"\r\n\r\n")
+        while end < 0 and fill(len(data) + 1):
+            end = data.find(b"\r\n\r\n", max(0, len(data) - CHUNK - 4))
+            end = data.find(b"\r\n\r\n") if end >= 0 else end
+        if end < 0:
+            raise ValueError("a record of the archive is cut off")
+        headers = _fields(bytes(data[:end]))
         start, n = end + 4, int(headers["content-length"])
-        block, at = data[start : start + n], start + n + 4
-        if len(block) != n:
+        if not fill(start + n):
             raise ValueError("a record of the archive is cut off")
+        block = bytes(data[start : start + n])
+        fill(start + n + 4)
+        del data[: start + n + 4]
         head, _, body = block.partition(b"\r\n\r\n")
         yield Record(headers, _fields(head), None if headers["warc-type"] == "revisit" else body)
 
@@ -165,7 +193,7 @@ def write_packages(pages: DataFrame, folder: str | None = None, min_bytes: int =
             done.append(package)
         yield pa.RecordBatch.from_arrays([pa.array([p.uri for p in done], pa.string()), pa.array([len(p.index) for p in done], pa.int64()), pa.array([p.at for p in done], pa.int64())], names=["package", "records", "bytes"])
 
-    return materialise(rows.mapInArrow(write, "package string, records long, bytes long"), "warc-manifest")
+    return materialise(rows.mapInArrow(tidy(write), "package string, records long, bytes long"), "warc-manifest")
 
 
 # -- reading ---------------------------------------------------------------
@@ -225,6 +253,12 @@ def members(f: pa.NativeFile) -> list[Member]:
     return out
 
 
+def _chunks(f: pa.NativeFile, start: int, length: int) -> Iterator[bytes]:
+    """The bytes of a range, a chunk after another."""
+    for at in range(0, length, CHUNK):
+        yield f.read_at(min(CHUNK, length - at), start + at)
+
+
 def locate(uri: str) -> Iterator[tuple[str, int, int]]:
     """Byte ranges (package, start, length) of whole records, neighbours together."""
     fs, path = filesystem(uri)
@@ -269,20 +303,29 @@ def read_packages(spark: SparkSession, packages: DataFrame) -> DataFrame:
             for uri, start, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 fs, path = filesystem(uri)
                 with fs.open_input_file(path) as f:
-                    raw = _read(f, start, length)
-                out = []
-                for r in parse(raw):
-                    digest = r.headers["warc-payload-digest"].removeprefix("sha1:")
-                    n = int(r.http.get("content-length", 0))
-                    if r.payload is not None and (len(r.payload) != n or base32_sha1(r.payload) != digest):
-                        raise ValueError(f"{uri}: the payload of {r.headers['warc-record-id']} doesn't match its digest")
-                    number = lambda v: int(v) if v else None
-                    out.append((number(r.headers.get("page-id")), r.headers["warc-target-uri"], r.headers["warc-type"], number(r.headers.get("refers-to-page-id")), r.payload, n, digest))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string()))], names=["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"])
+                    out, size = [], 0
+                    for r in parse(_chunks(f, start, length)):
+                        digest = r.headers["warc-payload-digest"].removeprefix("sha1:")
+                        n = int(r.http.get("content-length", 0))
+                        if r.payload is not None and (len(r.payload) != n or base32_sha1(r.payload) != digest):
+                            raise ValueError(f"{uri}: the payload of {r.headers['warc-record-id']} doesn't match its digest")
+                        out.append((number(r.headers.get("page-id")), r.headers["warc-target-uri"], r.headers["warc-type"], number(r.headers.get("refers-to-page-id")), r.payload, n, digest))
+                        size += len(r.payload or b"") + 200
+                        if size >= RANGE_BYTES:
+                            yield batch(out)
+                            out, size = [], 0
+                    yield batch(out)
+
+    def number(v: str | None) -> int | None:
+        return int(v) if v else None
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(types)], names=["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"])
 
     parallel = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spots = packages.select("package").repartition(parallel).mapInArrow(ranges, "package string, start long, length long")
-    return spots.repartition(parallel).mapInArrow(records, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
+    spots = packages.select("package").repartition(parallel).mapInArrow(tidy(ranges), "package string, start long, length long")
+    return spots.repartition(parallel).mapInArrow(tidy(records), "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
 
 
 def archive_digest(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:

@@ -106,3 +106,32 @@ def test_odd_rows(spark):
     got = hx.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as text", "1 as n_chars")).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in got if r.page_id != 2) == [(0, 1), (1, 0), (3, 249_999)] and len(got) == 5
     assert hx.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+HOSTILE = ['<a "', '<a ">"', "<a '>", "<!", "<!--", "<![CDATA[", "<div>", "</nope>", "<b>", "<hr>", "<tbody>", "<noscript>", "<svg>", "<p><b>", "<script", "</"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_hostile_pages_take_linear_time(piece):
+    """A page of 300 KB of one piece, and of two after each other, in the time of a few plain ones."""
+    import time
+
+    n = 150_000 // len(piece)
+    began = time.process_time()
+    hx.parse(piece * (2 * n))
+    hx.parse("<div>" * 20_000 + piece * n)
+    hx.parse("<p><table><b>" * 5_000 + piece * n + ">")
+    assert time.process_time() - began < 20
+
+
+def test_a_menu_in_a_layout_table(model):
+    words = "This is the long story of a town by the river, told in many words and with all its turns."
+    page = f"<table><tr><td><a href=a>Home</a> <a href=b>News</a> <a href=c>Sport</a></td><td><h1>Town</h1><p>{words}</p><p>{words}</p></td></tr></table>"
+    assert hx.main_text(page, model) == f"Town {words} {words}"
+
+
+def test_links_and_comments_at_the_end_of_a_page():
+    words = "The long story goes on with many words in every one of its lines, and so it is read to the end."
+    page = f"<body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><article><h1>Works</h1><p>{words}</p><p>{words}</p><p>See the works below.</p><ul><li><a href=/1>First work</a></li><li><a href=/2>Second work</a></li></ul><p>{words}</p></article><footer>Imprint</footer></body><!-- left open <p>not here</p>"
+    text = hx.main_text(page, hx.default_model())
+    assert text == f"Works {words} {words} See the works below. First work Second work {words}"
