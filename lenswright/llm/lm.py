@@ -1,16 +1,16 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-The first level holds every training word (a 64-bit hash) in sorted order with
-its count.  The second holds every word's successors: the pair of a word and
-its successor is one number, larger for later words, so a shard's pairs form
-one monotone sequence, Elias-Fano coded; a second coded sequence points from
-each context to where its successors begin.  Their discounted probabilities
-are quantised to a byte.  A query looks up the pair's number in its shard's
-whole sequence, by the bucket of its high bits and then its low bits, for whole
-batches at once, on memory-mapped files; the pointers only count a context's
-successors.  The number holds context and successor, so this finds the same
-pair as a search in the context's own range, with no pointer read for it.  The
-first level is plain: neither coded nor quantised.
+The first level holds every training word (a 64-bit hash) in sorted order,
+Elias-Fano coded, with its exact count, which base scores need.  The second
+holds every word's successors, one sequence a shard: each context's successors
+are written as differences from where the last context's end, so the whole is
+monotone and Elias-Fano coded with a universe no larger than the sum of the
+contexts' spans; a second coded sequence points from each context to where its
+successors begin.  A query takes a context's range from the pointers and what
+the range counts from out of the sequence, and searches the successor relative
+to it, for whole batches at once, on memory-mapped files.  Discounted
+probabilities are quantised to a byte, in steps that follow from the most
+frequent word.
 
 The model interpolates: P(w | c) = max(n(c, w) - D, 0) / n(c) + D * u(c) / n(c)
 * P(w), with u(c) the number of c's distinct successors and P(w) the additive
@@ -31,7 +31,6 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, id_crc32, mapped, materialise, small_batches, text_bytes, work_path
+from .common import filesystem, id_crc32, kept, mapped, materialise, small_batches, text_bytes, tidy, work_path
 
 #: What the additive base model adds to each count.
 ADD = 0.1
@@ -50,10 +49,8 @@ ADD = 0.1
 DISCOUNT = 0.75
 #: Tokens of contexts in a shard of pairs, words in a shard of words, tokens gathered before a task sends its counts on.
 SHARD_TOKENS, SHARD_WORDS, GATHER = 4_000_000, 1_000_000, 2_000_000
-#: Quantised base-10 logarithms reach from 0 down to here, in 255 steps.
-LOWEST = -9.0
-#: Words whose hashes a worker remembers.
-WORDS = 500_000
+#: Words whose hashes a worker remembers, and the longest of them.
+WORDS, LONGEST = 300_000, 64
 
 _ONE = np.uint64(1)
 
@@ -181,15 +178,16 @@ def _load(uri: str) -> tuple[dict, list[np.ndarray]]:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word) >> 1
+        h = xxhash.xxh3_64_intdigest(word) >> 1
+        if len(word) <= LONGEST:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
-@lru_cache(maxsize=1)
 def _hashes() -> _Hashes:
-    return _Hashes()
+    return kept("lm", "words", _Hashes)
 
 
 #: No word has a line end in it.
@@ -228,9 +226,9 @@ class Words:
         self.first = [lo for lo, _ in shards]
         self.base, self.tables = [0], []
         for _, uri in shards:
-            _, (h, n) = _load(uri)
-            self.tables.append((h, n))
-            self.base.append(self.base[-1] + len(h))
+            meta, a = _load(uri)
+            self.tables.append((meta, EliasFano(meta["n"], meta["bits"], *a[:3]), a[3]))
+            self.base.append(self.base[-1] + meta["n"])
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of sorted hashes; id -1 and count 0 where unknown."""
@@ -238,11 +236,11 @@ class Words:
         cuts = np.searchsorted(hashes, self.first[1:]) if self.first else []
         for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(hashes)], strict=True) if self.first else []):
             if a < b:
-                h, n = self.tables[k]
-                at = np.minimum(np.searchsorted(h, hashes[a:b]), len(h) - 1)
-                ok = h[at] == hashes[a:b]
-                ids[a:b] = np.where(ok, at + self.base[k], -1)
-                counts[a:b] = np.where(ok, n[at], 0)
+                meta, h, n = self.tables[k]
+                ok = np.flatnonzero((hashes[a:b] >= meta["first"]) & (hashes[a:b] <= meta["last"]))
+                at = h.find((hashes[a:b][ok] - meta["first"]).astype(np.uint64))
+                ids[a + ok] = np.where(at >= 0, at + self.base[k], -1)
+                counts[a + ok] = np.where(at >= 0, n[np.maximum(at, 0)], 0)
         return ids, counts
 
 
@@ -266,12 +264,22 @@ class Pairs:
         cuts = np.searchsorted(keys, self.starts[1:]) if len(self.shards) else []
         for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True) if len(self.shards) else []):
             if a < b:
-                meta, pairs, _, levels = self.shard(k)
+                meta, pairs, pointers, levels = self.shard(k)
                 local = context[a:b] - meta["first"]
                 ok = np.flatnonzero((local >= 0) & (local < meta["contexts"]))
-                if meta["n"] and len(ok):
-                    at = pairs.find(local[ok].astype(np.uint64) * np.uint64(self.n_words) + word[a:b][ok].astype(np.uint64))
-                    out[a + ok] = np.where(at >= 0, 10.0 ** (LOWEST / 255 * levels[np.maximum(at, 0)]), 0.0)
+                if not meta["n"] or not len(ok):
+                    continue
+                own, of = np.unique(local[ok], return_inverse=True)
+                begin, end = (pointers.access(own + i).astype(np.int64) for i in (0, 1))
+                some = end > begin
+                origin, last = np.zeros(len(own), np.uint64), np.zeros(len(own), np.uint64)
+                after = some & (begin > 0)
+                origin[after] = pairs.access(begin[after] - 1) + _ONE
+                last[some] = pairs.access(end[some] - 1)
+                x = origin[of] + word[a:b][ok].astype(np.uint64)
+                within = np.flatnonzero(some[of] & (x <= last[of]))  # past its last successor a context's range ends
+                at = pairs.find(x[within])
+                out[a + ok[within]] = np.where(at >= 0, 10.0 ** (meta["lowest"] / 255 * levels[np.maximum(at, 0)]), 0.0)
         return out
 
     def successors(self, context: np.ndarray) -> np.ndarray:
@@ -341,10 +349,9 @@ class Trie:
         yield from zip((len(x) for x in docs), *(s.tolist() for s in sums), strict=True)
 
 
-@lru_cache(maxsize=2)
 def opened(manifest: str) -> Trie:
-    """A worker's model; its levels stay mapped as long as the worker lives."""
-    return Trie(manifest)
+    """A worker's model; its levels stay mapped until another operator works there."""
+    return kept("lm", manifest, lambda: Trie(manifest))
 
 
 # -- training --------------------------------------------------------------
@@ -368,7 +375,7 @@ def _word_level(rows: DataFrame, folder: str) -> tuple[list, list]:
             h, n = np.unique(np.concatenate(held), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    words = materialise(rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    words = materialise(rows.mapInArrow(tidy(count, "lm"), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
     shards = max(1, -(-words.count() // SHARD_WORDS), spark.sparkContext.defaultParallelism)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +383,8 @@ def _word_level(rows: DataFrame, folder: str) -> tuple[list, list]:
         if not parts:
             return
         h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        uri = _save(folder, "words", {}, [h.astype("<i8"), n.astype("<u8" if n.max() >> 32 else "<u4")])
+        coded = EliasFano.build((h - h[0]).astype(np.uint64), int(h[-1]) - int(h[0]) + 1)
+        uri = _save(folder, "words", {"n": len(h), "first": int(h[0]), "last": int(h[-1]), "bits": coded.low_bits}, [*coded.arrays(), n.astype("<u8" if n.max() >> 32 else "<u4")])
         # the pairs' shards: whole words of about SHARD_TOKENS tokens, and pieces of more frequent words
         starts = [(0, 0, 1)]
         for k in _cuts(n):
@@ -387,7 +395,7 @@ def _word_level(rows: DataFrame, folder: str) -> tuple[list, list]:
         starts = sorted(set(starts))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([int(h[0])], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([uri]), pa.array([json.dumps(starts)])], names=["part", "h", "words", "tokens", "uri", "starts"])
 
-    parts = words.repartitionByRange(shards, "h").sortWithinPartitions("h").mapInArrow(write, "part int, h long, words long, tokens long, uri string, starts string")
+    parts = words.repartitionByRange(shards, "h").sortWithinPartitions("h").mapInArrow(tidy(write, "lm"), "part int, h long, words long, tokens long, uri string, starts string")
     found = sorted(materialise(parts, "word-shards").collect())  # a row a shard
     total, base, begins = sum(r.words for r in found), 0, []
     for r in found:
@@ -439,21 +447,27 @@ def _pair_level(rows: DataFrame, manifest: str, begins: list[tuple[int, int]], f
         low, high = int(context[0]), int(context[-1])
         counts = _counts_by_id(trie.words, low, high)
         local = context - low
-        p = np.log10(np.maximum(n - discount, 1e-9) / counts[local])
-        levels = np.clip(np.rint(p * 255 / LOWEST), 0, 255).astype(np.uint8)
-        pairs = EliasFano.build(local.astype(np.uint64) * np.uint64(trie.n_words) + word, (high - low + 1) * trie.n_words)
+        with np.errstate(divide="ignore"):
+            p = np.log10(np.maximum(n - discount, 0) / counts[local])
+        lowest = float(min(-1.0, p[np.isfinite(p)].min(initial=0.0)))
+        levels = np.where(np.isfinite(p), np.clip(np.rint(p * 255 / lowest), 0, 255), 255).astype(np.uint8)
+        ends = np.flatnonzero(np.r_[local[1:] != local[:-1], True])  # a context's last successor, from which the next one's are counted
+        origin = np.zeros(len(local), np.uint64)
+        origin[ends[:-1] + 1] = word[ends[:-1]] + _ONE
+        values = np.cumsum(origin, dtype=np.uint64) + word
+        pairs = EliasFano.build(values, int(values[-1]) + 1)
         pointers = EliasFano.build(np.searchsorted(local, np.arange(high - low + 2)).astype(np.uint64), len(keys) + 1)
-        meta = {"first": low, "contexts": high - low + 1, "n": len(keys), "bits": pairs.low_bits, "pointer_bits": pointers.low_bits}
+        meta = {"first": low, "contexts": high - low + 1, "n": len(keys), "bits": pairs.low_bits, "pointer_bits": pointers.low_bits, "lowest": lowest}
         uri = _save(folder, "pairs", meta, [*pairs.arrays(), *pointers.arrays(), levels])
         return pd.DataFrame({"shard": [k], "uri": [uri]})
 
-    found = rows.mapInArrow(count, "shard int, pairs binary").groupBy("shard").applyInPandas(merge, "shard int, uri string")
+    found = rows.mapInArrow(tidy(count, "lm"), "shard int, pairs binary").groupBy("shard").applyInPandas(merge, "shard int, uri string")
     return [(begins[r.shard][0], begins[r.shard][1], r.uri) for r in sorted(materialise(found, "pair-shards").collect())]
 
 
 def _counts_by_id(words: Words, low: int, high: int) -> np.ndarray:
     """The counts of the ids from ``low`` to ``high``."""
-    parts = [n[max(0, low - b) : max(0, high + 1 - b)] for b, (_, n) in zip(words.base, words.tables, strict=False) if b <= high and b + len(n) > low]
+    parts = [n[max(0, low - b) : max(0, high + 1 - b)] for b, (_, _, n) in zip(words.base, words.tables, strict=False) if b <= high and b + len(n) > low]
     return np.concatenate(parts).astype(np.float64)
 
 
@@ -502,7 +516,7 @@ def score(docs: DataFrame, manifest: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, len(held)) for k in (0, 1)), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([trie.tokens] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
                 at += len(held)
 
-    return rows.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(tidy(scored, "lm"), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def learn_and_score(docs: DataFrame) -> DataFrame:
