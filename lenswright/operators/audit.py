@@ -46,9 +46,16 @@ def _first_keys(found: DataFrame, n: int) -> DataFrame:
 
 
 def hash_overlap(samples: DataFrame, content_hash: Column) -> DataFrame:
-    """Per pair of splits and shared content hash: how many files each side has, and its first two paths."""
-    some = F.slice(F.array_sort(F.collect_set("path")), 1, 2)
-    by = samples.select(content_hash.alias("hash"), "path", "split").groupBy("hash", "split").agg(F.count("*").alias("n"), F.array_join(some, "|").alias("paths"))
+    """Per pair of splits and shared content hash: how many files each side has, and its first two paths.
+
+    Paths are dealt to 64 buckets a hash, each of which keeps its first two, so
+    a very common file's paths are never gathered.
+    """
+    each = samples.select(content_hash.alias("hash"), "path", "split").groupBy("hash", "split", "path").agg(F.count("*").alias("n"))
+    counts = each.groupBy("hash", "split").agg(F.sum("n").alias("n"))
+    bucket = Window.partitionBy("hash", "split", F.pmod(F.xxhash64("path"), F.lit(64))).orderBy("path")
+    some = each.where(F.col("path").isNotNull()).withColumn("r", F.row_number().over(bucket)).where("r <= 2").groupBy("hash", "split").agg(F.array_join(F.slice(F.array_sort(F.collect_list("path")), 1, 2), "|").alias("paths"))
+    by = counts.join(some, ["hash", "split"], "left").withColumn("paths", F.coalesce("paths", F.lit("")))
     pairs = F.array(*(F.struct(F.lit(a).alias("split_a"), F.lit(b).alias("split_b")) for a, b in PAIRS))
     left = by.select(F.col("hash"), F.explode(F.filter(pairs, lambda p: p["split_a"] == F.col("split"))).alias("p"), F.col("n").alias("files_a"), F.col("paths").alias("paths_a"))
     left = left.select("hash", "p.*", "files_a", "paths_a")
@@ -85,3 +92,13 @@ def isolated(samples: DataFrame, key: str, raise_on_overlap: bool = True) -> Dat
         bad = F.concat(F.lit(f"{key} lies in several splits: "), F.col("shared_keys").cast("string"))
         out = out.withColumn("shared_keys", F.when(F.col("shared_keys") > 0, F.raise_error(bad)).otherwise(F.col("shared_keys")))
     return out.withColumn("isolated", F.col("shared_keys") == 0)
+
+
+def unique_hashes(samples: DataFrame, content_hash: Column) -> DataFrame:
+    """Per split: files and distinct contents, exactly."""
+    return samples.groupBy("split").agg(F.count("*").alias("files"), F.countDistinct(content_hash).alias("unique_hashes"))
+
+
+def first_samples(samples: DataFrame, n: int = 20, order: str = "doc_id") -> DataFrame:
+    """The first ``n`` rows in order."""
+    return samples.orderBy(order).limit(n)

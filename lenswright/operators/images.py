@@ -6,6 +6,8 @@ Arrow batches with NumPy alone.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,6 +147,53 @@ def tensors(images: DataFrame, training: bool = False, seed: int = 42) -> DataFr
     return flat.mapInPandas(run, "origin string, tensor array<float>")
 
 
+def thumbnail(rgb: np.ndarray, height: int, width: int, fill: int = 255) -> np.ndarray:
+    """An image shrunk to fit a frame, never enlarged, and padded to it around the centre."""
+    share = min(1.0, height / rgb.shape[0], width / rgb.shape[1])
+    h, w = (max(1, round(n * share)) for n in rgb.shape[:2])
+    small = rgb if share == 1.0 else np.clip(np.rint(resize(rgb, h, w)), 0, 255).astype(np.uint8)
+    out = np.full((height, width, 3), fill, np.uint8)
+    top, left = (height - h) // 2, (width - w) // 2
+    out[top : top + h, left : left + w] = small
+    return out
+
+
+def contact_sheet(images: list[np.ndarray], columns: int, height: int, width: int, gap: int = 8) -> np.ndarray:
+    """Thumbnails by rows on a white sheet."""
+    rows = -(-len(images) // columns)
+    sheet = np.full((gap + rows * (height + gap), gap + columns * (width + gap), 3), 255, np.uint8)
+    for k, rgb in enumerate(images):
+        y, x = gap + k // columns * (height + gap), gap + k % columns * (width + gap)
+        sheet[y : y + height, x : x + width] = thumbnail(rgb, height, width)
+    return sheet
+
+
+def with_boxes(rgb: np.ndarray, boxes: list[tuple[float, float, float, float]], colour: tuple[int, int, int] = (255, 0, 0), line: int = 2) -> np.ndarray:
+    """An image with the outlines of boxes; what lies outside is cut."""
+    out, (h, w) = rgb.copy(), rgb.shape[:2]
+    for x1, y1, x2, y2 in boxes:
+        x1, x2 = (int(np.clip(round(v), 0, w)) for v in (x1, x2))
+        y1, y2 = (int(np.clip(round(v), 0, h)) for v in (y1, y2))
+        if x2 > x1 and y2 > y1:
+            out[y1 : min(y1 + line, y2), x1:x2] = out[max(y2 - line, y1) : y2, x1:x2] = colour
+            out[y1:y2, x1 : min(x1 + line, x2)] = out[y1:y2, max(x2 - line, x1) : x2] = colour
+    return out
+
+
+def cam_panels(rgb: np.ndarray, activations: np.ndarray, gradients: np.ndarray, fraud: bool, share: float = 0.4) -> np.ndarray:
+    """Image, heat map and blend side by side; the logit's gradient counts for the class that was predicted."""
+    heat = activation_map(activations, gradients if fraud else -gradients)
+    return np.concatenate([rgb, blend(rgb, heat, 1.0), blend(rgb, heat, share)], 1)
+
+
+def png(rgb: np.ndarray) -> bytes:
+    """An RGB image as a PNG file."""
+    h, w = rgb.shape[:2]
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), rgb.reshape(h, w * 3)], 1)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
 def activation_map(activations: np.ndarray, gradients: np.ndarray) -> np.ndarray:
     """A class activation map: channels weighted by their mean gradient, rectified, scaled to 0..1 (all 0 stays 0)."""
     cam = np.maximum(0.0, np.tensordot(gradients.mean((1, 2)), activations, (0, 0)))

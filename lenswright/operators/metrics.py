@@ -1,4 +1,8 @@
-"""Exact classification metrics from a table of labels and probabilities."""
+"""Exact classification metrics from a table of labels and probabilities.
+
+A row without a label or without a probability, such as one that a model failed
+on, counts nowhere: all metrics are those of the other rows.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import ratio, threshold_grid
+from ..plans.workspace import materialise
 
 
 def predicted(prob: Column, threshold: float | Column = 0.5) -> Column:
@@ -35,8 +40,13 @@ def with_rates(df: DataFrame) -> DataFrame:
     return df.withColumn("f1", ratio(2 * tp, 2 * tp + fp + fn))
 
 
+def scored(scores: DataFrame) -> DataFrame:
+    """The rows that metrics are of."""
+    return scores.where(F.col("label").isNotNull() & F.col("prob").isNotNull())
+
+
 def confusion_matrix(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
-    return scores.agg(*confusion(F.col("label"), predicted(F.col("prob"), threshold)))
+    return scored(scores).agg(*confusion(F.col("label"), predicted(F.col("prob"), threshold)))
 
 
 def threshold_sweep(scores: DataFrame) -> DataFrame:
@@ -47,7 +57,7 @@ def threshold_sweep(scores: DataFrame) -> DataFrame:
     rows nor work multiply with the grid.
     """
     reached = F.size(F.filter(threshold_grid(), lambda t: F.col("prob") >= t))
-    counts = scores.select(reached.alias("reached"), "label").groupBy("reached").agg(F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.sum((F.col("label") == 0).cast("long")).alias("neg"))
+    counts = scored(scores).select(reached.alias("reached"), "label").groupBy("reached").agg(F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.sum((F.col("label") == 0).cast("long")).alias("neg"))
     grid = scores.sparkSession.range(1).select(F.posexplode(threshold_grid()).alias("i", "threshold"))
     at = grid.crossJoin(F.broadcast(counts)).groupBy("i", "threshold").agg(
         *(F.coalesce(F.sum(F.when((F.col("reached") > F.col("i")) == up, F.col(c))), F.lit(0)).cast("long").alias(n) for n, c, up in (("tn", "neg", False), ("fp", "neg", True), ("fn", "pos", False), ("tp", "pos", True)))
@@ -63,22 +73,23 @@ def ranked_thresholds(sweep: DataFrame, n: int) -> DataFrame:
 
 def _by_score(scores: DataFrame) -> DataFrame:
     """Positives and rows by distinct score."""
-    return scores.groupBy("prob").agg(F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.count("*").alias("n"))
+    return scored(scores).groupBy("prob").agg(F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.count("*").alias("n"))
 
 
 def _cumulated(scores: DataFrame) -> DataFrame:
     """By distinct score: positives and rows of higher scores, and of all.
 
-    Scores are cumulated by ranges: within a range by a window, across ranges
-    from a table of one row a range, so no task sees all distinct scores.
+    Scores are cumulated by ranges of like numbers of distinct scores: within a
+    range by a window, across ranges from a table of one row a range, so no
+    task sees all distinct scores, however they crowd.
     """
     by = _by_score(scores)
-    cut = F.floor(F.col("prob") * 1024).cast("int")
-    by = by.withColumn("range", cut)
+    ranges = max(1, int(by.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by = materialise(by.repartitionByRange(ranges, F.desc("prob")).withColumn("range", F.spark_partition_id()), "score-ranges")
     w = Window.partitionBy("range").orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = by.withColumns({"pos_in": F.sum("pos").over(w), "n_in": F.sum("n").over(w)})
     sums = by.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("n").alias("m"))
-    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # at most 1025 ranges
+    above = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one short row a range
     whole = Window.partitionBy(F.lit(1))
     sums = sums.select("range", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("pos_above"), F.coalesce(F.sum("m").over(above), F.lit(0)).alias("n_above"), F.sum("p").over(whole).alias("npos"), F.sum("m").over(whole).alias("total"))
     return inside.join(F.broadcast(sums), "range").select("prob", "pos", "n", (F.col("pos_above") + F.col("pos_in")).alias("cum_pos"), (F.col("n_above") + F.col("n_in")).alias("cum_n"), "npos", "total")
@@ -108,7 +119,7 @@ def metric_bundle(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
 def classification_report(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Precision, recall, f1 and support by class, their means and support-weighted means, to 4 digits."""
     p = predicted(F.col("prob"), threshold)
-    one = scores.agg(*confusion(F.col("label"), p))
+    one = scored(scores).agg(*confusion(F.col("label"), p))
     rows = F.array(
         *(
             F.struct(F.lit(name).alias("class"), ratio(F.col(hit), F.col(hit) + F.col(wrong)).alias("precision"), ratio(F.col(hit), F.col(hit) + F.col(lost)).alias("recall"), ratio(2 * F.col(hit), 2 * F.col(hit) + F.col(wrong) + F.col(lost)).alias("f1"), (F.col(hit) + F.col(lost)).alias("support"))
@@ -125,7 +136,7 @@ def classification_report(scores: DataFrame, threshold: float = 0.5) -> DataFram
 
 def predictions(scores: DataFrame, threshold: float) -> DataFrame:
     """A row per score: prediction, whether it is right, and the kind of error."""
-    out = scores.withColumn("prediction", predicted(F.col("prob"), threshold))
+    out = scored(scores).withColumn("prediction", predicted(F.col("prob"), threshold))
     return out.withColumns({"correct": F.col("label") == F.col("prediction"), "error_type": error_type(F.col("label"), F.col("prediction")), "confidence": decision_confidence(F.col("prob"), F.col("prediction"))})
 
 
@@ -139,17 +150,36 @@ def error_summary(predicted_rows: DataFrame) -> DataFrame:
 
 
 def describe(scores: DataFrame, by: str = "label", value: str = "prob") -> DataFrame:
-    """count, mean, sample deviation, extremes and linearly interpolated quartiles by group."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = scores.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("lowest"), q.alias("q"), F.max(value).alias("highest"))
-    return out.select(by, "n", "mean", "std", "lowest", *(F.col("q")[k].alias(n) for k, n in enumerate(("q25", "q50", "q75"))), "highest")
+    """count, mean, sample deviation, extremes and linearly interpolated quartiles by group.
+
+    Distinct values are counted, dealt out by ranges and cumulated, so no group
+    has to fit a task.
+    """
+    out = scores.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("lowest"), F.max(value).alias("highest"))
+    counts = scores.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(value).alias("_value")).agg(F.count("*").alias("_c"))
+    ranges = max(1, int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = materialise(counts.repartitionByRange(ranges, "_by", "_value").withColumn("_range", F.spark_partition_id()), "value-ranges")
+    sums = counts.groupBy("_by", "_range").agg(F.sum("_c").alias("_s"))
+    whole = Window.partitionBy("_by")
+    before = F.sum("_s").over(whole.orderBy("_range")) - F.col("_s")  # one short row a group and range
+    sums = sums.select("_by", "_range", before.alias("_before"), F.sum("_s").over(whole).alias("_n"))
+    upto = F.sum("_c").over(Window.partitionBy("_by", "_range").orderBy("_value"))
+    placed = counts.withColumn("_upto", upto).join(sums.withColumnsRenamed({"_by": "_b", "_range": "_r"}), F.col("_by").eqNullSafe(F.col("_b")) & (F.col("_range") == F.col("_r")))
+    end = F.col("_before") + F.col("_upto")
+    at = lambda k: F.max(F.when((end - F.col("_c") <= k) & (k < end), F.col("_value")))
+    spots = {n: F.lit(q) * (F.col("_n") - 1) for n, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))}
+    found = placed.groupBy("_by").agg(F.max("_n").alias("_n"), *(at(f(p)).alias(f"{n}_{s}") for n, p in spots.items() for s, f in (("lo", F.floor), ("hi", F.ceil))))
+    between = {n: F.when(F.col(f"{n}_lo") == F.col(f"{n}_hi"), F.col(f"{n}_lo")).otherwise((F.ceil(p) - p) * F.col(f"{n}_lo") + (p - F.floor(p)) * F.col(f"{n}_hi")) for n, p in spots.items()}
+    quartiles = found.select(F.col("_by"), *(c.alias(n) for n, c in between.items()))
+    joined = out.join(quartiles, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return joined.select(by, "n", "mean", "std", "lowest", "q25", "q50", "q75", "highest")
 
 
 def mean_loss(scores: DataFrame, floor: float = 1e-12) -> DataFrame:
     """Mean binary cross-entropy; log arguments are kept at least at ``floor``."""
     p = F.col("prob")
     loss = -(F.col("label") * F.ln(F.greatest(p, F.lit(floor))) + (1 - F.col("label")) * F.ln(F.greatest(1.0 - p, F.lit(floor))))
-    return scores.agg(F.avg(loss).alias("mean_loss"))
+    return scored(scores).agg(F.avg(loss).alias("mean_loss"))
 
 
 def best_epoch(history: DataFrame) -> DataFrame:

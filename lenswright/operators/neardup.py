@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,25 +30,44 @@ def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int
     return sums.select(key, value.cast("bigint").alias("hash"))
 
 
-def _bands(hashes: DataFrame, k: int) -> DataFrame:
-    """(hash, band, value): hashes within distance k agree in at least one of k + 1 bands."""
-    n = k + 1
-    cuts = [BITS * i // n for i in range(n + 1)]
-    bands = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash", cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)).alias("value")) for i in range(n)))
-    return hashes.select("hash", F.explode(bands).alias("b")).select("hash", "b.*")
+def agreeing_blocks(n: int, k: int) -> int:
+    """How many of ``k + r`` blocks to join on: the fewest that give ``n`` random hashes lists of some sixteen."""
+    return next((r for r in (1, 2, 3) if BITS * r / (k + r) >= math.log2(max(n, 1)) - 4), 4)
+
+
+def _block(h: Column, i: int, m: int) -> Column:
+    lo, hi = BITS * i // m, BITS * (i + 1) // m
+    return F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) if hi - lo < BITS else h
+
+
+def _keys(hashes: DataFrame, name: str, m: int, r: int) -> DataFrame:
+    """(name, blocks, value): a row for each choice of ``r`` of ``m`` blocks, with the bits that they hold."""
+
+    def value(blocks: tuple[int, ...]) -> Column:
+        out = F.lit(0).cast("long")
+        for i in blocks:
+            out = F.shiftleft(out, BITS * (i + 1) // m - BITS * i // m).bitwiseOR(_block(F.col("hash"), i, m))
+        return out
+
+    each = F.array(*(F.struct(F.lit(",".join(map(str, c))).alias("blocks"), value(c).alias("value")) for c in combinations(range(m), r)))
+    return hashes.select(F.col("hash").alias(name), F.explode(each).alias("k")).select(name, "k.*")
 
 
 def distinct_pairs(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """(a, b, distance) of distinct hashes within Hamming distance ``k``: an equi-join on bands, then the exact distance.
+    """(a, b, distance) of distinct hashes within Hamming distance ``k``: an equi-join on blocks, then the exact distance.
 
-    A pair is kept only from the first band it agrees in, so no distinct is needed.
+    Of ``k + r`` blocks at least ``r`` agree; ``r`` grows with the number of
+    hashes, so that lists of equal keys stay short.  A pair is kept only from
+    the first ``r`` blocks that it agrees in, so no distinct is needed.
     """
-    n = k + 1
-    cuts = [BITS * i // n for i in range(n + 1)]
-    a = _bands(left, k).withColumnRenamed("hash", "a")
-    b = _bands(right, k).withColumnRenamed("hash", "b")
-    same = F.array(*(F.shiftrightunsigned(F.col("a").bitwiseXOR(F.col("b")), cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)) == 0 for i in range(n)))
-    pairs = a.join(b, ["band", "value"]).where(hamming(F.col("a"), F.col("b")) <= k).where(F.array_position(same, True) == F.col("band") + 1)
+    same_side = left is right
+    left = materialise(left, "hashes")
+    right = left if same_side else materialise(right, "hashes")
+    r = agreeing_blocks(max(left.count(), right.count()), k)
+    m = k + r
+    a, b = _keys(left, "a", m, r), _keys(right, "b", m, r)
+    agree = F.concat_ws(",", *(F.when(_block(F.col("a").bitwiseXOR(F.col("b")), i, m) == 0, F.lit(str(i))) for i in range(m)))
+    pairs = a.join(b, ["blocks", "value"]).where(hamming(F.col("a"), F.col("b")) <= k).where(F.substring_index(agree, ",", r) == F.col("blocks"))
     return pairs.select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
 
 
@@ -64,7 +85,7 @@ def links(items: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
 
     Rows of one hash hang on its least key; near hashes are linked by theirs.
     """
-    heads = items.groupBy("hash").agg(F.min(key).alias("head"))
+    heads = materialise(items.groupBy("hash").agg(F.min(key).alias("head")), "heads")
     star = items.join(heads, "hash").where(F.col(key) != F.col("head")).select(F.col("head").alias("a"), F.col(key).alias("b"))
     distinct = heads.select("hash")
     near = distinct_pairs(distinct, distinct, k).where("a < b")
@@ -80,6 +101,7 @@ def groups(items: DataFrame, k: int = 4, key: str = "doc_id", on_null: str = "sk
     if on_null == "raise":
         items = items.withColumn("hash", F.coalesce("hash", F.raise_error(F.lit("a row has no hash")).cast("bigint")))
     items = items.where(F.col("hash").isNotNull())
+    items = materialise(items, "hashed")
     found = materialise(grouped(items, links(items, k, key), key), "groups")
     numbers = numbered(found.groupBy("comp").agg(F.count("*").alias("group_size")), [F.col("comp")], "group_id")
     return found.join(numbers, "comp").drop("comp")
@@ -133,3 +155,17 @@ def priority_sample(info: DataFrame, n: int = 50) -> DataFrame:
     """The first ``n`` groups by priority, then size, then least key, numbered from 1."""
     order = [F.col("priority"), F.desc("images"), F.col("least_id")]
     return info.orderBy(*order).limit(n).withColumn("group_number", F.row_number().over(Window.orderBy(*order)))
+
+
+def priority_members(info: DataFrame, grouped_rows: DataFrame, n: int = 50, each: int = 8, key: str = "doc_id") -> DataFrame:
+    """The first ``each`` rows, by key, of the first ``n`` groups: group_number, place from 1, key, split, label."""
+    first = priority_sample(info, n).select("group_id", "group_number")
+    place = F.row_number().over(Window.partitionBy("group_id").orderBy(key))
+    rows = grouped_rows.join(F.broadcast(first), "group_id").withColumn("place", place).where(F.col("place") <= each)
+    return rows.select("group_number", "place", key, "split", "label")
+
+
+def labelled_pairs(pairs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Pairs (left_id, right_id, distance) with both sides' labels."""
+    side = lambda s: labels.select(F.col(key).alias(f"{s}_id"), F.col("label").alias(f"{s}_label"))
+    return pairs.join(side("left"), "left_id", "left").join(side("right"), "right_id", "left").select("left_id", "left_label", "right_id", "right_label", "distance")

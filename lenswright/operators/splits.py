@@ -23,10 +23,12 @@ def hash_key(key: Column, salt: str = "") -> Column:
 def stratified(df: DataFrame, key: str, label: str, fraction: float, salt: str = "42") -> DataFrame:
     """``df`` with split "validation" for the first round(fraction * n) rows of each label by hash, else "train".
 
-    Hashes are ranked in 256 buckets by their first digits; a label's rows are
-    never sorted in one task, only its bucket counts are.
+    Hashes are ranked in buckets by their first digits, as many as keep a bucket
+    at about a million rows; a label's rows are never sorted in one task, only
+    its bucket counts are.
     """
-    rows = df.withColumn("_h", hash_key(F.col(key), salt)).withColumn("_b", F.substring("_h", 1, 2))
+    digits = max(2, math.ceil(math.log(max(1, df.count()) / 1e6, 16)))
+    rows = df.withColumn("_h", hash_key(F.col(key), salt)).withColumn("_b", F.substring("_h", 1, digits))
     counts = rows.groupBy(label, "_b").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(label)
     before = counts.select(label, "_b", (F.sum("_n").over(w.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("_all"))

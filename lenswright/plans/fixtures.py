@@ -137,3 +137,23 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HISTORY = TIED + """, history AS (SELECT doc_id % 15 AS epoch, coalesce(CAST(2 * sum(CASE WHEN label = 1 AND prob >= 0.45 THEN 1 ELSE 0 END) AS DOUBLE)
   / nullif(CAST(2 * sum(CASE WHEN label = 1 AND prob >= 0.45 THEN 1 ELSE 0 END) + sum(CASE WHEN label = 0 AND prob >= 0.45 THEN 1 ELSE 0 END) + sum(CASE WHEN label = 1 AND prob < 0.45 THEN 1 ELSE 0 END) AS DOUBLE), 0), 0) AS f1 FROM tied GROUP BY 1)"""
+
+
+def embedding_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding drawn as a grey image of 8 x 8: vec_id, split, image (as the image source has it)."""
+    schema = "vec_id long, split string, image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", split_of(F.col("vec_id")).alias("split"), "embedding")
+
+    def drawn(frames):
+        import numpy as np
+        import pandas as pd
+
+        for f in frames:
+            images = []
+            for i, x in zip(f["vec_id"], f["embedding"], strict=True):
+                x = np.asarray(x, float)
+                grey = np.rint(255 * (x - x.min()) / max(float(np.ptp(x)), 1e-9)).astype(np.uint8)
+                images.append({"origin": f"vec-{i}", "height": 8, "width": 8, "nChannels": 1, "mode": 0, "data": grey.tobytes()})
+            yield pd.DataFrame({"vec_id": f["vec_id"], "split": f["split"], "image": images})
+
+    return rows.mapInPandas(drawn, schema)

@@ -9,6 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,14 +18,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+_SCOPES: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
     ``spark.checkpoint.dir`` of the session decides; only where neither it nor
-    a checkpoint folder is set (tests, local runs) a temporary one is made.
+    a checkpoint folder is set (tests, local runs) a temporary one is made; on a
+    cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         folder = "file://" + tempfile.mkdtemp(prefix="lenswright-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -31,7 +39,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/lenswright/{name}-{uuid.uuid4().hex[:12]}"
+    below = _SCOPES[-1] if _SCOPES else f"{shared_dir(spark)}/lenswright"
+    return f"{below}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[str]:
+    """Work tables written inside go below one folder, which is deleted at the end; results must have been written elsewhere."""
+    folder = f"{shared_dir(spark)}/lenswright/scope-{uuid.uuid4().hex[:12]}"
+    _SCOPES.append(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPES.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
