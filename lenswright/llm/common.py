@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..plans.workspace import materialise, shared_dir, work_path
 
-__all__ = ["ascii_lower", "columns", "filesystem", "free_names", "id_crc32", "kept", "mapped", "materialise", "quoted", "shared_dir", "small_batches", "stored", "text_bytes", "tidy", "without", "work_path"]
+__all__ = ["ascii_lower", "columns", "filesystem", "free_names", "id_crc32", "kept", "mapped", "materialise", "quoted", "release", "shared_dir", "small_batches", "stored", "text_bytes", "tidy", "without", "work_path"]
 
 #: Rows and bytes of one Arrow batch; texts may be long, so batches stay small.
 ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
@@ -62,6 +62,13 @@ def _trim() -> Callable[[int], int] | None:
     return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+def release() -> None:
+    """Give free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def tidy(work: Callable[[Iterator], Iterator], owner: str | None = None) -> Callable[[Iterator], Iterator]:
     """``work`` on a partition; at its end the worker lets go of mapped files, of what other owners keep, and of free memory.
 
@@ -77,9 +84,7 @@ def tidy(work: Callable[[Iterator], Iterator], owner: str | None = None) -> Call
         finally:
             mapped.cache_clear()
             _reader.cache_clear()
-            pa.default_memory_pool().release_unused()
-            if trim := _trim():
-                trim(0)
+            release()
 
     return run
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from .common import id_crc32, small_batches, text_bytes, tidy, without
+from .common import id_crc32, release, small_batches, text_bytes, tidy, without
 
 #: At most so many labelled rows are fitted on, those with the smallest hash of their id.
 FIT_ROWS = 20_000
@@ -203,7 +203,11 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Addit
     table = rows.mapInArrow(tidy(features), "doc_id long, y int, x array<double>").toArrow().sort_by("doc_id")
     x = np.array(table["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, table["doc_id"].to_numpy()))  # equal ids: any order gives one model
-    return fit(x[order], table["y"].to_numpy().astype(float)[order])
+    x, y = x[order], table["y"].to_numpy().astype(float)[order]
+    del table
+    model = fit(x, y)
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
