@@ -71,9 +71,9 @@ def scan(docs: DataFrame, windows: DataFrame, window: int = WINDOW) -> DataFrame
     sizes = {r.n: r["count"] for r in windows.groupBy("n").count().collect()}  # at most ``window`` rows
     lengths, count = sorted(sizes), sum(sizes.values())
     marks = _byte_map(windows, lengths, count)
-    table, one, size = F.lit(marks), F.lit(b"\x01"), len(marks)
+    one, size = F.lit(b"\x01"), len(marks)
 
-    def spots(w: Column) -> Column:
+    def spots(w: Column, table: Column) -> Column:
         def some(h: Column, n: int) -> Column:
             at = F.filter(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.substring(table, F.pmod(_hashed(h, i, n), F.lit(size)).cast("int") + 1, F.lit(1)) == one)
             found = F.transform(at, lambda i: F.struct(i.cast("int").alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(w, i + 1, n), " ").alias("words")))
@@ -83,7 +83,8 @@ def scan(docs: DataFrame, windows: DataFrame, window: int = WINDOW) -> DataFrame
             return F.array().cast("array<struct<at:int,n:int,words:string>>")
         return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.concat(*(some(h, n) for n in lengths)))
 
-    whole = let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), spots(w).alias("spots")))
+    # bound by ``let``, the map is in the plan once, and not in its text: as a plain literal each mention prints it whole
+    whole = let(F.lit(marks), lambda table: let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), spots(w, table).alias("spots"))))
     named = docs.select(*_name(docs), "doc_id", whole.alias("x"))
     return named.select("k1", "k2", "doc_id", "x.n_words", "x.spots")
 
@@ -125,7 +126,7 @@ def digest(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that hold a benchmark window."""
     windows = materialise(benchmark_windows(benchmark, window), "windows")
-    scanned = materialise(scan(docs, windows, window).where(F.size("spots") > 0), "window-scan")
+    scanned = materialise(scan(docs, windows, window), "window-scan")  # a filter here would go below the scan and do its work twice
     bad1, bad2 = free_names(docs, "bad1", "bad2")
     bad = materialise(hits(scanned, windows).select(F.col("k1").alias(bad1), F.col("k2").alias(bad2)), "contaminated")
     if bad.count() <= BROADCAST_ROWS:
