@@ -48,8 +48,13 @@ def label_share(df: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, content_hash: Column) -> DataFrame:
-    """Content hashes that several files have, how many, and the sorted list of files."""
-    return df.select(content_hash.alias("hash"), "path").groupBy("hash").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("path")), "|").alias("files")).where("n > 1")
+    """A row per file whose content hash other files have too: hash, how many have it, path.
+
+    A very common content's paths are rows, never one cell; the join can split them.
+    """
+    files = df.select(content_hash.alias("hash"), "path").where("hash is not null")
+    counts = files.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    return files.join(counts, "hash").select("hash", "n", "path")
 
 
 def dimension_stats(df: DataFrame) -> DataFrame:

@@ -21,13 +21,17 @@ BITS = 64
 def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 60) -> DataFrame:
     """(key, hash): the sign of each bit's balance over a text's distinct words, as a positive BIGINT.
 
-    Words are hashed once; all bits are summed in one aggregation.
+    Words are hashed once; all bits are counted in one aggregation, two counters
+    to a sum.  A counter has 30 bits, and no text that fits a cell has so many
+    distinct words.
     """
     words = docs.select(key, F.explode(F.array_distinct(F.array_remove(F.split(text, " "), ""))).alias("word"))
     h = words.select(key, F.conv(F.substring(F.md5("word"), 1, bits // 4), 16, 10).cast("bigint").alias("h"))
-    sums = h.groupBy(key).agg(*(F.sum(F.shiftright("h", k).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{k}") for k in range(bits)))
-    value = sum((F.when(F.col(f"b{k}") > 0, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(1, bits)), F.when(F.col("b0") > 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
-    return sums.select(key, value.cast("bigint").alias("hash"))
+    both = F.lit(1 | 1 << 30)
+    sums = h.groupBy(key).agg(F.count("*").alias("n"), *(F.sum(F.shiftright("h", k).bitwiseAND(both)).alias(f"b{k}") for k in range(30)))
+    counter = lambda k: F.shiftright(f"b{k % 30}", k // 30 * 30).bitwiseAND(F.lit((1 << 30) - 1))
+    value = reduce(Column.bitwiseOR, (F.when(counter(k) * 2 > F.col("n"), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for k in range(bits)))
+    return sums.select(key, value.alias("hash"))
 
 
 def agreeing_blocks(n: int, k: int) -> int:

@@ -194,7 +194,7 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eda.value_counts(fx.table(spark, sf_dir, "documents"), "source")
 
 
-@_register(f"WITH {fx.SAMPLES} SELECT md5(text) AS hash, count(*) AS n, string_agg(path, '|' ORDER BY path) AS files FROM samples GROUP BY 1 HAVING count(*) > 1")
+@_register(f"WITH {fx.SAMPLES} SELECT md5(text) AS hash, count(*) OVER (PARTITION BY md5(text)) AS n, path FROM samples WHERE text IS NOT NULL QUALIFY n > 1")
 def exact_dup_groups_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eda.duplicate_groups(fx.samples(spark, sf_dir), F.md5(F.col("text").cast("binary")))
 
@@ -496,9 +496,21 @@ def detections_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("claim_id", "position", "d.damage_type", "d.confidence", F.col("d.bounding_box")[0].alias("x1"), "d.area_percentage", "d.severity", "d.severity_score")
 
 
-@_register(None)
+_BOTH = "greatest(0, least(o.x2, b.x2) - greatest(o.x1, b.x1)) * greatest(0, least(o.y2, b.y2) - greatest(o.y1, b.y1))"
+_AREA = "greatest(0, {0}.x2 - {0}.x1) * greatest(0, {0}.y2 - {0}.y1)"
+
+
+@_register(
+    f"""WITH RECURSIVE {fx.BOXES}, c AS (SELECT * REPLACE (CAST(class_id % 3 AS INT) AS class_id) FROM boxes WHERE conf >= 0.25),
+b AS (SELECT *, row_number() OVER (PARTITION BY claim_id, class_id ORDER BY conf DESC, x1, y1, x2, y2) AS place FROM c),
+walk(claim_id, class_id, place, kept) AS (SELECT claim_id, class_id, place, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'conf': conf}}] FROM b WHERE place = 1 UNION ALL
+  SELECT b.claim_id, b.class_id, b.place, CASE WHEN len(list_filter(kept, lambda o: {_BOTH} > CAST(0.45 AS DOUBLE) * ({_AREA.format('o')} + {_AREA.format('b')} - {_BOTH}))) > 0 THEN kept
+    ELSE list_append(kept, {{'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2, 'conf': b.conf}}) END FROM walk w JOIN b ON b.claim_id = w.claim_id AND b.class_id = w.class_id AND b.place = w.place + 1),
+ends AS (SELECT claim_id, class_id, unnest(arg_max(kept, place)) AS k FROM walk GROUP BY 1, 2)
+SELECT claim_id, class_id, k.conf, k.x1, k.y1, k.x2, k.y2, 640 AS w, 480 AS h FROM ends"""
+)
 def detector_filter_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return damage.suppress(fx.boxes(spark, sf_dir).withColumn("class_id", F.col("class_id") % 3))
+    return damage.suppress(fx.boxes(spark, sf_dir).withColumn("class_id", (F.col("class_id") % 3).cast("int")))
 
 
 _SUMMARY_SQL = "CASE WHEN prediction = 1 THEN concat('{}', printf('%.1f', prob * CAST(100 AS DOUBLE)), '%{}') ELSE concat('{}', printf('%.1f', (1 - prob) * CAST(100 AS DOUBLE)), '%{}') END".format(*(t.replace("'", "''") for t in (*claims.FRAUD_SUMMARY, *claims.CLEAR_SUMMARY)))
@@ -537,9 +549,14 @@ def claim_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("claim_key", "claim_id", "processing_id", "fraud_label", "fraud_probability", "model_confidence", "summary", *flat, F.size("damage_result.detections").cast("long").alias("detections"))
 
 
-@_register(None)
+@_register(
+    f"WITH {fx.SCORED}, {_PRED} SELECT p.doc_id AS claim_key, CASE WHEN prediction = 1 THEN 'Fraud' ELSE 'Non-Fraud' END AS fraud_label, box_no - 1 AS position, {_NAME_SQL} AS damage_type, det.confidence, x1, y1, x2, y2, area_percentage, severity, severity_score FROM predictions p JOIN det ON det.claim_id = p.doc_id"
+)
 def claim_report_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reports(spark, sf_dir)
+    """The detections inside each nested report, read back as rows."""
+    r = _reports(spark, sf_dir).select("claim_key", "fraud_label", F.posexplode("damage_result.detections").alias("position", "d"))
+    box = [F.col("d.bounding_box")[k].alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2"))]
+    return r.select("claim_key", "fraud_label", "position", "d.damage_type", "d.confidence", *box, "d.area_percentage", "d.severity", "d.severity_score")
 
 
 # -- files, models ---------------------------------------------------------
@@ -571,15 +588,28 @@ def prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy("error_type").agg(F.count("*").alias("n"))
 
 
-@_register(None)
+@_register(
+    f"""WITH {fx.SAMPLES}, {fx.SIZED}, g AS (SELECT s.*, z.width, z.height FROM samples s JOIN sized z ON z.doc_id = s.doc_id),
+c AS (SELECT coalesce(split, 'overall') AS split, coalesce(CAST(label AS VARCHAR), 'all') AS class, count(*) AS n FROM g GROUP BY GROUPING SETS ((split, label), (label), (split), ())),
+p AS (SELECT split, class, n, CAST(printf('%.2f', n * CAST(100 AS DOUBLE) / max(CASE WHEN class = 'all' THEN n END) OVER (PARTITION BY split)) AS DOUBLE) AS percent FROM c),
+z AS (SELECT count(*) AS images, min(width) AS min_width, max(width) AS max_width, min(height) AS min_height, max(height) AS max_height FROM g),
+q AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT width, height FROM g WHERE width IS NOT NULL)) AS distinct_sizes),
+d AS (SELECT count(*) AS duplicate_groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS duplicate_images FROM (SELECT count(*) AS n FROM g GROUP BY md5(text) HAVING count(*) > 1))
+SELECT * FROM p, z, q, d"""
+)
 def profile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested report, its classes read back as rows."""
     s = fx.samples(spark, sf_dir).join(fx.sized(spark, sf_dir).drop("split"), "doc_id")
-    return eda.report(s, F.md5(F.col("text").cast("binary")))
+    r = eda.report(s, F.md5(F.col("text").cast("binary")))
+    sizes = r.select(F.explode("classes").alias("c"), "dimensions", "duplicates")
+    return sizes.select("c.*", "dimensions.*", F.col("duplicates.groups").alias("duplicate_groups"), F.col("duplicates.images").alias("duplicate_images"))
 
 
-@_register(None)
+@_register(f"{_DEV}, r AS (SELECT split, {_SUMMARY} GROUP BY 1 UNION ALL SELECT 'overall', {_SUMMARY}) SELECT split, images, fraud, non_fraud, 42 AS seed, true AS test_locked, true AS group_isolation_verified, true AS path_isolation_verified FROM r")
 def split_audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.audit_row(splits.summary(_development(spark, sf_dir), "group_id"))
+    """The report's row, its splits read back as rows."""
+    r = sinks.audit_row(splits.summary(_development(spark, sf_dir), "group_id"))
+    return r.select(F.explode("splits").alias("s"), "seed", "test_locked", "group_isolation_verified", "path_isolation_verified").select("s.*", "seed", "test_locked", "group_isolation_verified", "path_isolation_verified")
 
 
 @_register(None)

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 from collections import defaultdict
@@ -124,6 +125,25 @@ def test_the_embedding_classifier_learns_from_all_rows(spark):
     assert got == pytest.approx(want, abs=1e-5)
 
 
+def test_similarity_hashes_like_bit_sums(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(n)) for n in (1, 2, 3, 17, 90, 4000)] + ["", " ", None]
+    got = {r.doc_id: r.hash for r in neardup.simhash(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        if words := {w for w in (t or "").split(" ") if w}:
+            hashes = [int(hashlib.md5(w.encode()).hexdigest()[:15], 16) for w in words]
+            want[i] = sum(1 << k for k in range(60) if sum(2 * (h >> k & 1) - 1 for h in hashes) > 0)
+    assert got == want
+
+
+def test_duplicates_are_rows_and_nulls_have_none(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "x"), ("c", "y"), ("d", None), ("e", None)], "path string, content string")
+    got = eda.duplicate_groups(df, F.col("content"))
+    assert sorted(map(tuple, got.collect())) == [("x", 3, "a"), ("x", 3, "b"), ("x", 3, "b")]
+    assert eda.duplicate_groups(df.limit(0), F.col("content")).count() == 0
+
+
 def test_transitive_groups_and_nulls(spark):
     items = spark.createDataFrame([(1, 0), (2, 0xF), (3, 0xFF), (4, None)], "doc_id long, hash long")
     assert {r.doc_id: r.group_id for r in neardup.groups(items, 4).collect()} == {1: 0, 2: 0, 3: 0}
