@@ -80,6 +80,21 @@ def verdict(path_shared: Column, hash_shared: Column, filename_shared: Column, i
     return F.when((path_shared > 0) | (hash_shared > 0), "LEAKAGE").when((filename_shared > 0) | (internal > 0) | (directories > 0), "SUSPICIOUS").otherwise("PASS")
 
 
+def leakage(samples: DataFrame, path: Column, content_hash: Column, filename: Column, directory: Column) -> DataFrame:
+    """One row: keys of each kind that several splits share, rows beyond the first of a path in its split, and the verdict.
+
+    All four kinds of key go through one aggregation, so the samples are read
+    and dealt out once; only keys travel.  A null key is a key like any other.
+    """
+    kinds = {"shared_paths": path, "shared_hashes": content_hash, "shared_filenames": filename, "shared_directories": directory}
+    each = samples.select("split", F.explode(F.array(*(F.struct(F.lit(n).alias("kind"), k.alias("key")) for n, k in kinds.items()))).alias("k"))
+    by = each.groupBy("k.kind", "k.key").agg(F.count("*").alias("n"), F.size(F.collect_set("split")).alias("splits"))
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
+    shared = [count((F.col("kind") == n) & (F.col("splits") > 1)).alias(n) for n in kinds]
+    out = by.agg(*shared, count(F.when(F.col("kind") == "shared_paths", F.col("n") - F.col("splits"))).alias("internal_duplicates"))
+    return out.withColumn("verdict", verdict(*(F.col(c) for c in ("shared_paths", "shared_hashes", "shared_filenames", "internal_duplicates", "shared_directories"))))
+
+
 def missing(samples: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """The rows of ``samples`` whose key no row of ``known`` has."""
     return samples.join(known.select(key).distinct(), key, "left_anti")

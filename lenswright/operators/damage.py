@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import python_int, python_round
+from ..plans.workspace import materialise
 
 # Knots of the area score, and the score labels' upper bounds.
 AREA_KNOTS = [(0.0, 0.0), (2.0, 25.0), (8.0, 50.0), (20.0, 80.0), (40.0, 90.0)]
@@ -137,3 +138,16 @@ def boxes_from(detect, images: DataFrame, schema: str) -> DataFrame:
         yield from detect(frames)
 
     return images.mapInPandas(run, schema)
+
+
+def predict(images: DataFrame, detect, names: DataFrame, schema: str = "claim_id long, class_id int, conf double, x1 double, y1 double, x2 double, y2 double, w int, h int") -> DataFrame:
+    """From images (claim_id, image) to a row a claim: overall severity, coverage and nested detections.
+
+    ``detect`` is as in :func:`boxes_from`.  A claim without a box that stays has
+    no damage, coverage 0 and no detections; a class id without a name gets one.
+    Detections are written once, as three aggregations read them.
+    """
+    found = materialise(named(scored_boxes(suppress(boxes_from(detect, images, schema))), names), "detections")
+    out = overall(found, images).join(coverage(found).drop("covered_pixels"), "claim_id", "left").join(nested(found), "claim_id", "left")
+    none = F.array().cast(nested(found).schema["detections"].dataType)
+    return out.withColumns({"damage_coverage_percentage": F.coalesce("damage_coverage_percentage", F.lit(0.0)), "detections": F.coalesce("detections", none)})

@@ -196,7 +196,7 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"WITH {fx.SAMPLES} SELECT md5(text) AS hash, count(*) OVER (PARTITION BY md5(text)) AS n, path FROM samples WHERE text IS NOT NULL QUALIFY n > 1")
 def exact_dup_groups_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eda.duplicate_groups(fx.samples(spark, sf_dir), F.md5(F.col("text").cast("binary")))
+    return eda.duplicate_groups(fx.samples(spark, sf_dir, F.md5(F.col("text").cast("binary"))), F.col("text"))
 
 
 @_register(f"WITH {fx.SIZED} SELECT count(*) AS images, (SELECT count(*) FROM (SELECT DISTINCT width, height FROM sized WHERE width IS NOT NULL)) AS distinct_sizes, min(width) AS min_width, max(width) AS max_width, min(height) AS min_height, max(height) AS max_height FROM sized WHERE width IS NOT NULL")
@@ -256,7 +256,7 @@ def filename_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(f"""WITH {fx.SAMPLES}, {_PAIRS}, hs AS (SELECT sha256(text) AS hash, split, count(*) AS n, array_to_string(list_sort(list_distinct(list(path)))[1:2], '|') AS paths FROM samples GROUP BY 1, 2)
 SELECT split_a, split_b, a.hash, a.n AS files_a, b.n AS files_b, a.paths AS paths_a, b.paths AS paths_b FROM pr JOIN hs a ON a.split = split_a JOIN hs b ON b.split = split_b AND b.hash = a.hash""")
 def sha256_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.hash_overlap(fx.samples(spark, sf_dir), F.sha2(F.col("text"), 256))
+    return audit.hash_overlap(fx.samples(spark, sf_dir, F.sha2("text", 256)), F.col("text"))
 
 
 @_register(f"WITH {fx.SAMPLES} SELECT lower(regexp_replace(path, '/[^/]*$', '')) AS directory, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM samples GROUP BY 1 HAVING count(DISTINCT split) > 1")
@@ -283,12 +283,9 @@ def _multi(key: str) -> str:
   (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT split, lower(path) FROM samples)) FROM samples) AS internal_duplicates)
 SELECT *, CASE WHEN shared_paths > 0 OR shared_hashes > 0 THEN 'LEAKAGE' WHEN shared_filenames > 0 OR internal_duplicates > 0 OR shared_directories > 0 THEN 'SUSPICIOUS' ELSE 'PASS' END AS verdict FROM v""")
 def leakage_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, p = fx.samples(spark, sf_dir), F.col("path")
-    count = lambda key, name: audit.keys_by_split(s, key).agg(F.coalesce(F.sum((F.size("splits") > 1).cast("long")), F.lit(0)).alias(name))
-    out = count(paths.canonical(p), "shared_paths").crossJoin(count(F.sha2("text", 256), "shared_hashes")).crossJoin(count(paths.filename(p), "shared_filenames")).crossJoin(count(paths.parent(p), "shared_directories"))
-    inside = audit.internal_duplicates(s, paths.canonical(p), paths.filename(p)).agg(F.coalesce(F.sum("duplicate_paths"), F.lit(0)).alias("internal_duplicates"))
-    out = out.crossJoin(inside)  # one row each
-    return out.withColumn("verdict", audit.verdict(*(F.col(c) for c in ("shared_paths", "shared_hashes", "shared_filenames", "internal_duplicates", "shared_directories"))))
+    p = F.col("path")
+    s = fx.samples(spark, sf_dir, F.sha2("text", 256))
+    return audit.leakage(s, paths.canonical(p), F.col("text"), paths.filename(p), paths.parent(p))
 
 
 @_register("SELECT doc_id, concat('/docs/', CAST(doc_id AS VARCHAR)) AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -624,7 +621,7 @@ def embedding_classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"WITH {fx.SAMPLES} SELECT split, count(*) AS files, count(DISTINCT sha256(text)) AS unique_hashes FROM samples GROUP BY 1")
 def unique_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.unique_hashes(fx.samples(spark, sf_dir), F.sha2(F.col("text"), 256))
+    return audit.unique_hashes(fx.samples(spark, sf_dir, F.sha2("text", 256)), F.col("text"))
 
 
 @_register(f"WITH {fx.SAMPLES} SELECT doc_id, path, label, split FROM samples ORDER BY doc_id LIMIT 20")

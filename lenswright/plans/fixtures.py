@@ -13,9 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled files in three splits: doc_id, path, label, split, text."""
-    d, i = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id"), F.col("doc_id")
+def samples(spark: SparkSession, sf_dir: str, content: Column | None = None) -> DataFrame:
+    """Labelled files in three splits: doc_id, path, label, split, text.
+
+    ``content`` of the text in its place keeps whole texts out of the join.
+    """
+    text = F.col("text") if content is None else content.alias("text")
+    d, i = table(spark, sf_dir, "documents").select("doc_id", text).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id"), F.col("doc_id")
     path = F.concat(F.lit("/data/batch_"), (i % 16).cast("string"), F.lit("/DOC_"), (i % 312).cast("string"), F.lit(".txt"))
     split = F.when(i % 20 < 14, "train").when(i % 20 < 17, "validation").otherwise("test")
     return d.select("doc_id", path.alias("path"), F.col("toxic").alias("label"), split.alias("split"), "text")

@@ -241,6 +241,34 @@ def test_required_columns_and_verdict(spark):
         assert spark.range(1).select(audit.verdict(*map(F.lit, counts))).first()[0] == want
 
 
+def test_leakage_in_one_pass(spark):
+    def row(samples):
+        df = spark.createDataFrame(samples, "path string, split string, content string")
+        p = F.col("path")
+        return audit.leakage(df, paths.canonical(p), F.col("content"), paths.filename(p), paths.parent(p)).first()
+
+    r = row([("/a/x.jpg", "train", "1"), ("/a/x.jpg", "train", "1"), ("/b/x.jpg", "test", "2"), ("/b/y.jpg", "test", "1"), ("/c/z.jpg", "validation", "9")])
+    assert r.asDict() == {"shared_paths": 0, "shared_hashes": 1, "shared_filenames": 1, "shared_directories": 0, "internal_duplicates": 1, "verdict": "LEAKAGE"}
+    assert row([("/a/x.jpg", "train", "1"), ("/b/y.jpg", "test", "2")]).verdict == "PASS"
+    assert row([]).asDict() == {"shared_paths": 0, "shared_hashes": 0, "shared_filenames": 0, "shared_directories": 0, "internal_duplicates": 0, "verdict": "PASS"}
+
+
+def test_predict_from_images_to_claims(spark):
+    def detect(frames):
+        import pandas as pd
+
+        for f in frames:
+            rows = [(c, 1 + k // 2, 0.9 - k / 10, 5.0, 5.0, 25.0 + k, 25.0, 64, 48) for c, n in zip(f["claim_id"], f["image"], strict=True) for k in range(n)]
+            yield pd.DataFrame(rows, columns=["claim_id", "class_id", "conf", "x1", "y1", "x2", "y2", "w", "h"])
+
+    images = spark.createDataFrame([(1, 0), (2, 1), (3, 4)], "claim_id long, image int")
+    got = {r.claim_id: r for r in damage.predict(images, detect, spark.createDataFrame([(1, "dent")], "class_id int, name string")).collect()}
+    assert (got[1].damage_detected, got[1].damage_count, got[1].damage_coverage_percentage, got[1].detections, got[1].overall_severity) == (False, 0, 0.0, [], damage.NO_DAMAGE)
+    assert got[2].damage_count == 1 and got[2].damage_coverage_percentage == round(400 / (64 * 48) * 100, 2)
+    assert sorted(d.damage_type for d in got[3].detections) == ["class_2", "dent"]
+    assert damage.predict(images.limit(0), detect, spark.createDataFrame([(1, "dent")], "class_id int, name string")).count() == 0
+
+
 def test_systematic_sample(spark):
     rows = spark.createDataFrame([(k,) for k in range(103)], "doc_id long")
     assert sorted(r.doc_id for r in eda.systematic_sample(rows, 10, "doc_id").collect()) == list(range(103))[::10][:10]
