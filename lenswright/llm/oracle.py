@@ -47,5 +47,37 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d
 """
 
 
+# crc32 of a decimal number: its digits' bytes, eight shifts each.
+_CRC32 = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)), 4294967295)"""
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+
+# Levels of all trees by recursion, then of the tree over their roots; every row's way through both, folded from below.
+OP13 = f"""
+WITH RECURSIVE d AS (SELECT *, {_LEAF.format("text")} AS leaf, {_CRC32.format("doc_id")} % 5 = 0 AS hit,
+  {_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS low FROM documents),
+p AS (SELECT doc_id, leaf, CASE WHEN hit THEN low ELSE leaf END AS changed, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS size FROM d),
+up(tree, level, i, digest, size) AS (SELECT tree, 0, i, leaf, size FROM p
+  UNION ALL SELECT tree, level + 1, i // 16, sha256(string_agg(digest, '' ORDER BY i)), (size + 15) // 16 FROM up WHERE size > 1 GROUP BY tree, level, i // 16, size),
+top(level, i, digest, size) AS (SELECT 0, tree, digest, (SELECT count(*) FROM up WHERE size = 1) FROM up WHERE size = 1
+  UNION ALL SELECT level + 1, i // 16, sha256(string_agg(digest, '' ORDER BY i)), (size + 15) // 16 FROM top WHERE size > 1 GROUP BY level, i // 16, size),
+nodes AS (SELECT tree, level, i, digest, size, 0 AS above FROM up UNION ALL SELECT -1, level, i, digest, size, 1 FROM top),
+row_of AS (SELECT row_number() OVER () - 1 AS r, * FROM p),
+levels AS (SELECT DISTINCT tree, level, size, above FROM nodes WHERE size > 1),
+steps AS (SELECT r, above, level, (CASE above WHEN 1 THEN row_of.tree ELSE row_of.i END) // CAST(16 ** level AS BIGINT) AS own, levels.tree AS t
+  FROM row_of JOIN levels ON levels.above = 1 OR levels.tree = row_of.tree),
+sides AS (SELECT r, steps.above, steps.level, coalesce(string_agg(digest, '' ORDER BY i) FILTER (i < own), '') AS l, coalesce(string_agg(digest, '' ORDER BY i) FILTER (i > own), '') AS g
+  FROM steps JOIN nodes ON nodes.tree = t AND nodes.level = steps.level AND nodes.i // 16 = own // 16 GROUP BY r, steps.above, steps.level),
+way AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY above, level) AS step FROM sides),
+fold(r, step, digest) AS (SELECT r, 0, changed FROM row_of UNION ALL SELECT fold.r, way.step, sha256(l || digest || g) FROM fold JOIN way ON way.r = fold.r AND way.step = fold.step + 1),
+proof AS (SELECT r, sha256(string_agg(l || g, '' ORDER BY step)) AS proof_sha256 FROM way GROUP BY r),
+folded AS (SELECT r, arg_max(digest, step) AS folded_root FROM fold GROUP BY r)
+SELECT doc_id, leaf, s.digest AS subroot, t.digest AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = t.digest AS verified
+FROM row_of JOIN up s ON s.tree = row_of.tree AND s.size = 1 JOIN top t ON t.size = 1 JOIN folded USING (r) LEFT JOIN proof USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2, "op3_near_duplicates": OP3, "op6_warc": OP6}
+    return {"op2_decontamination": OP2, "op3_near_duplicates": OP3, "op6_warc": OP6, "op13_merkle_manifest": OP13}
