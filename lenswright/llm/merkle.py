@@ -123,7 +123,7 @@ def _placed(rows: DataFrame) -> tuple[DataFrame, int]:
     spark = rows.sparkSession
     rows = materialise(rows.withColumn("tie", F.monotonically_increasing_id()), "leaves")  # so that ranges can cut repeated rows, too
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
-    dealt = materialise(rows.repartitionByRange(ranges, F.asc_nulls_first("source"), F.asc_nulls_first("doc_id"), F.asc("leaf"), F.asc("tie")).withColumn("part", F.spark_partition_id()), "ranges")
+    dealt = materialise(rows.repartitionByRange(ranges, F.asc_nulls_first("source"), F.asc_nulls_first("doc_id"), F.asc("leaf"), F.asc("tie")).withColumn("part", F.spark_partition_id().cast("long")), "ranges")
     counts = materialise(dealt.groupBy("source", "part").agg(F.count("*").alias("n")), "counts")
     trees = numbered(counts.groupBy("source").agg(F.sum("n").alias("size")), [F.asc_nulls_first("source")], "tree")
     trees = materialise(trees, "trees")

@@ -69,6 +69,17 @@ def test_like_whole_trees(spark, sizes, monkeypatch):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(rows)))
 
 
+def test_tasks_of_their_own(spark, monkeypatch):
+    """Ranges and what they need meet where small shuffle partitions aren't put together."""
+    monkeypatch.setattr(merkle, "RANGE_ROWS", 30)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = rows_of(3, {"hot": 400, "b": 20})
+        assert sorted(map(str, map(tuple, merkle.tampering(cases.frame(spark, rows)).collect()))) == sorted(map(str, brute(rows)))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_odd_rows(spark, monkeypatch):
     """Nulls, repeated rows over more than one range, repeated ids, clashing names; joins without broadcasts."""
     monkeypatch.setattr(merkle, "RANGE_ROWS", 40)
