@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, html_extract, lm, merkle, neardup, packing, pii, quality, runs, tokenids, tokens, warc
+from . import decontaminate, fingerprints, html_extract, jaccard, lm, merkle, neardup, packing, pii, quality, runs, tokenids, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +59,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"), 80)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampering(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_main_text": op1_main_text, "op2_decontamination": op2_decontamination, "op3_near_duplicates": op3_near_duplicates, "op4_pii": op4_pii, "op5_token_ids": op5_token_ids, "op6_warc": op6_warc, "op7_packing": op7_packing, "op8_fingerprints": op8_fingerprints, "op9_lm_scores": op9_lm_scores, "op10_quality": op10_quality, "op11_periodic_runs": op11_periodic_runs, "op13_merkle_manifest": op13_merkle_manifest}
+    return {"op1_main_text": op1_main_text, "op2_decontamination": op2_decontamination, "op3_near_duplicates": op3_near_duplicates, "op4_pii": op4_pii, "op5_token_ids": op5_token_ids, "op6_warc": op6_warc, "op7_packing": op7_packing, "op8_fingerprints": op8_fingerprints, "op9_lm_scores": op9_lm_scores, "op10_quality": op10_quality, "op11_periodic_runs": op11_periodic_runs, "op12_jaccard_join": op12_jaccard_join, "op13_merkle_manifest": op13_merkle_manifest}
