@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import percentage
-from ..plans.workspace import numbered
+from ..plans.workspace import materialise, numbered
 
 
 def class_name(label: Column) -> Column:
@@ -50,10 +50,11 @@ def label_share(df: DataFrame) -> DataFrame:
 def duplicate_groups(df: DataFrame, content_hash: Column) -> DataFrame:
     """A row per file whose content hash other files have too: hash, how many have it, path.
 
-    A very common content's paths are rows, never one cell; the join can split them.
+    A very common content's paths are rows, never one cell; the join is of two written tables, which
+    adaptive execution can split.
     """
-    files = df.select(content_hash.alias("hash"), "path").where("hash is not null")
-    counts = files.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    files = materialise(df.select(content_hash.alias("hash"), "path").where("hash is not null"), "hashed")
+    counts = materialise(files.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     return files.join(counts, "hash").select("hash", "n", "path")
 
 

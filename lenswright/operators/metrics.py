@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import ratio, threshold_grid
-from ..plans.workspace import materialise
+from ..plans.workspace import before_each, materialise, ranges_of
 
 
 def predicted(prob: Column, threshold: float | Column = 0.5) -> Column:
@@ -83,16 +83,11 @@ def _cumulated(scores: DataFrame) -> DataFrame:
     range by a window, across ranges from a table of one row a range, so no
     task sees all distinct scores, however they crowd.
     """
-    by = _by_score(scores)
-    ranges = max(1, int(by.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    by = materialise(by.repartitionByRange(ranges, F.desc("prob")).withColumn("range", F.spark_partition_id()), "score-ranges")
+    by = ranges_of(materialise(_by_score(scores), "scores"), [F.desc("prob")], "range")
     w = Window.partitionBy("range").orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = by.withColumns({"pos_in": F.sum("pos").over(w), "n_in": F.sum("n").over(w)})
-    sums = by.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("n").alias("m"))
-    above = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one short row a range
-    whole = Window.partitionBy(F.lit(1))
-    sums = sums.select("range", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("pos_above"), F.coalesce(F.sum("m").over(above), F.lit(0)).alias("n_above"), F.sum("p").over(whole).alias("npos"), F.sum("m").over(whole).alias("total"))
-    return inside.join(F.broadcast(sums), "range").select("prob", "pos", "n", (F.col("pos_above") + F.col("pos_in")).alias("cum_pos"), (F.col("n_above") + F.col("n_in")).alias("cum_n"), "npos", "total")
+    sums = before_each(by.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("n").alias("m")), "range", ["p", "m"])
+    return inside.join(F.broadcast(sums), "range").select("prob", "pos", "n", (F.col("before_p") + F.col("pos_in")).alias("cum_pos"), (F.col("before_m") + F.col("n_in")).alias("cum_n"), F.col("all_p").alias("npos"), F.col("all_m").alias("total"))
 
 
 def average_precision(scores: DataFrame) -> DataFrame:
@@ -149,30 +144,58 @@ def error_summary(predicted_rows: DataFrame) -> DataFrame:
     )
 
 
+#: Intervals into which a step of a selection cuts what is left, and groups whose selections the driver keeps between steps.
+CUTS, GROUPS = 4096, 10_000
+
+
+def _selected(values: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
+    """``wanted`` (_by, _name, _k, _lo, _hi) with ``_value``: the k-th, from 0, of a group's values (_by, _v) between lo and hi.
+
+    Each step counts the values of the interval that holds the k-th in ``CUTS`` parts
+    and goes on in the part where it lies, between the least and the greatest value
+    of that part; so a few counting passes settle any number of rows, and a
+    value that many rows share is settled at once.
+    """
+
+    def held(df: DataFrame) -> DataFrame:
+        """A few rows a group: kept as they are for few groups, else as a written table."""
+        return df.sparkSession.createDataFrame(df.toArrow()) if few else materialise(df, "wanted")
+
+    done, wanted = None, held(wanted)
+    while True:
+        settled = wanted.where("_lo = _hi").select("_by", "_name", F.col("_lo").alias("_value"))
+        done = settled if done is None else done.unionByName(settled)
+        wanted = wanted.where("_lo < _hi")
+        if wanted.isEmpty():
+            return done
+        spans = wanted.select(F.col("_by").alias("_b"), "_lo", "_hi").distinct()
+        inside = values.join(F.broadcast(spans) if few else spans, F.col("_by").eqNullSafe(F.col("_b")) & F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))  # a value's part never falls as the value grows
+        part = F.when(F.isnan(share) | (F.col("_v") == F.col("_hi")), F.lit(CUTS)).otherwise(F.floor(share * CUTS))
+        parts = inside.groupBy("_b", "_lo", "_hi", part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+        upto = F.sum("_n").over(Window.partitionBy("_b", "_lo", "_hi").orderBy("_part"))  # at most CUTS + 1 rows
+        parts = parts.withColumn("_before", upto - F.col("_n")).withColumnsRenamed({"_lo": "_l", "_hi": "_h"})
+        here = F.col("_by").eqNullSafe(F.col("_b")) & (F.col("_lo") == F.col("_l")) & (F.col("_hi") == F.col("_h")) & (F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_n"))
+        found = wanted.join(parts, here)
+        wanted = held(found.select("_by", "_name", (F.col("_k") - F.col("_before")).alias("_k"), F.col("_least").alias("_lo"), F.col("_most").alias("_hi")))
+
+
 def describe(scores: DataFrame, by: str = "label", value: str = "prob") -> DataFrame:
     """count, mean, sample deviation, extremes and linearly interpolated quartiles by group.
 
-    Distinct values are counted, dealt out by ranges and cumulated, so no group
-    has to fit a task.
+    Quartiles are selected by counting, so no group has to be sorted or to fit a task.
     """
     out = scores.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("lowest"), F.max(value).alias("highest"))
-    counts = scores.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(value).alias("_value")).agg(F.count("*").alias("_c"))
-    ranges = max(1, int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    counts = materialise(counts.repartitionByRange(ranges, "_by", "_value").withColumn("_range", F.spark_partition_id()), "value-ranges")
-    sums = counts.groupBy("_by", "_range").agg(F.sum("_c").alias("_s"))
-    whole = Window.partitionBy("_by")
-    before = F.sum("_s").over(whole.orderBy("_range")) - F.col("_s")  # one short row a group and range
-    sums = sums.select("_by", "_range", before.alias("_before"), F.sum("_s").over(whole).alias("_n"))
-    upto = F.sum("_c").over(Window.partitionBy("_by", "_range").orderBy("_value"))
-    placed = counts.withColumn("_upto", upto).join(sums.withColumnsRenamed({"_by": "_b", "_range": "_r"}), F.col("_by").eqNullSafe(F.col("_b")) & (F.col("_range") == F.col("_r")))
-    end = F.col("_before") + F.col("_upto")
-    at = lambda k: F.max(F.when((end - F.col("_c") <= k) & (k < end), F.col("_value")))
-    spots = {n: F.lit(q) * (F.col("_n") - 1) for n, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))}
-    found = placed.groupBy("_by").agg(F.max("_n").alias("_n"), *(at(f(p)).alias(f"{n}_{s}") for n, p in spots.items() for s, f in (("lo", F.floor), ("hi", F.ceil))))
+    out = materialise(out, "described")
+    spots = {n: F.lit(q) * (F.col("n") - 1) for n, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))}
+    ends = F.array(*(F.struct(F.lit(f"{n}_{s}").alias("_name"), f(p).cast("long").alias("_k")) for n, p in spots.items() for s, f in (("lo", F.floor), ("hi", F.ceil))))
+    bounds = [F.col("lowest").cast("double").alias("_lo"), F.col("highest").cast("double").alias("_hi")]
+    wanted = out.where("n > 0").select(F.col(by).alias("_by"), F.explode(ends).alias("_e"), *bounds).select("_by", "_e.*", "_lo", "_hi")
+    values = scores.where(F.col(value).isNotNull()).select(F.col(by).alias("_by"), F.col(value).cast("double").alias("_v"))
+    at = _selected(values, wanted, out.count() <= GROUPS).groupBy("_by").agg(*(F.max(F.when(F.col("_name") == f"{n}_{s}", F.col("_value"))).alias(f"{n}_{s}") for n in spots for s in ("lo", "hi")))
+    joined = out.join(at, F.col(by).eqNullSafe(F.col("_by")), "left")
     between = {n: F.when(F.col(f"{n}_lo") == F.col(f"{n}_hi"), F.col(f"{n}_lo")).otherwise((F.ceil(p) - p) * F.col(f"{n}_lo") + (p - F.floor(p)) * F.col(f"{n}_hi")) for n, p in spots.items()}
-    quartiles = found.select(F.col("_by"), *(c.alias(n) for n, c in between.items()))
-    joined = out.join(quartiles, F.col(by).eqNullSafe(F.col("_by")), "left")
-    return joined.select(by, "n", "mean", "std", "lowest", "q25", "q50", "q75", "highest")
+    return joined.withColumns(between).select(by, "n", "mean", "std", "lowest", "q25", "q50", "q75", "highest")
 
 
 def mean_loss(scores: DataFrame, floor: float = 1e-12) -> DataFrame:

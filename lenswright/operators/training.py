@@ -1,14 +1,19 @@
-"""Training of a classifier head on embeddings: synchronous epochs, validation, a two-stage schedule, checkpoints.
+"""Training of a classifier head on embeddings: epochs of shuffled mini-batches, validation, a two-stage schedule, checkpoints.
 
 The head is a layer norm with scale and shift, then a linear layer to one
-logit.  A step sums gradients over its rows in the tasks; the driver sees one
-short row a task and holds the parameters, which broadcast with the next step.
+logit.  Training rows stand in a store by position.  An epoch is one barrier
+stage that reads it once: a seeded permutation gives every row its batch, each
+worker goes through its rows batch by batch, and after each batch all workers
+exchange the sums of their gradients and take the same step.  So an epoch gives
+what one process would that reads the same batches in a row.  A worker holds a batch's
+share of rows and the parameters; a lost one restarts the stage, with the same result.
 Rows without label or embedding are left out; an empty table leaves the
 parameters as they are.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import math
 from collections.abc import Iterator
@@ -16,9 +21,12 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.workspace import materialise, work_path
+from ..sources.positions import BATCH, RowStore
 from ..sources.sinks import write_report
 from .metrics import metric_bundle
 
@@ -63,32 +71,14 @@ def _usable(rows: DataFrame, label: str, embedding: str) -> DataFrame:
     return rows.where(F.col(label).isNotNull() & F.col(embedding).isNotNull()).select(F.col(label).cast("double").alias("y"), F.col(embedding).cast("array<double>").alias("x"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), float)
-
-
-def gradients(rows: DataFrame, head: Head, label: str = "label", embedding: str = "embedding") -> tuple[int, float, dict[str, np.ndarray]]:
-    """Rows, summed loss and summed gradients of binary cross-entropy over ``rows``."""
-    p = head.arrays()
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, loss, sums = 0, 0.0, {k: np.zeros_like(v) for k, v in p.items()}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            y, z = b.column(0).to_numpy(), _normed(_matrix(b.column(1)))
-            logit = _logits(p, z)
-            d = 1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y
-            n, loss = n + len(y), loss + float((np.logaddexp(0, logit) - y * logit).sum())
-            sums["bias"] += d.sum()
-            sums["weight"] += d @ (z * p["scale"] + p["shift"])
-            sums["scale"] += (d @ z) * p["weight"]
-            sums["shift"] += d.sum() * p["weight"]
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([loss]), *(pa.array([v.tolist()], pa.list_(pa.float64())) for v in sums.values())], names=["n", "loss", *sums])
-
-    schema = "n long, loss double, " + ", ".join(f"{k} array<double>" for k in p)
-    found = _usable(rows, label, embedding).mapInArrow(work, schema).collect()  # a short row a task
-    return sum(r.n for r in found), sum(r.loss for r in found), {k: sum((np.array(r[k]) for r in found), np.zeros_like(v)) for k, v in p.items()}
+def summed(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """By row, the probability and the binary cross-entropy; and the summed gradients."""
+    z = _normed(x)
+    logit = _logits(p, z)
+    prob = 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
+    d = prob - y
+    sums = {"scale": (d @ z) * p["weight"], "shift": d.sum() * p["weight"], "weight": d @ (z * p["scale"] + p["shift"]), "bias": d.sum(keepdims=True)}
+    return prob, np.logaddexp(0, logit) - y * logit, sums
 
 
 def _step(head: Head, sums: dict[str, np.ndarray], n: int, rate: float, names: tuple[str, ...]) -> None:
@@ -102,17 +92,68 @@ def _step(head: Head, sums: dict[str, np.ndarray], n: int, rate: float, names: t
         head.parameters[k], head.first[k], head.second[k] = w.tolist(), m.tolist(), v.tolist()
 
 
-def train_one_epoch(rows: DataFrame, head: Head, rate: float, all_layers: bool, steps: int = 1, label: str = "label", embedding: str = "embedding") -> float:
-    """One pass over ``rows`` in ``steps`` disjoint shares by hash; returns the mean loss before each step."""
-    total = seen = 0
+def training_rows(rows: DataFrame, label: str = "label", embedding: str = "embedding", folder: str | None = None) -> RowStore:
+    """The usable rows (y, x) of a table as a store by position, in the shared folder unless another is given."""
+    return RowStore.write(_usable(rows, label, embedding), folder or work_path(rows.sparkSession, "training-rows"))
+
+
+def _by_batch(batches: Iterator[pa.RecordBatch], steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows (batch, y, x) of a partition, which ascend by batch, as one pair of arrays (x, y) for each of all steps."""
+    held: list[tuple[int, list[float], float]] = []
+    rows = ((k, x, y) for b in batches for k, y, x in zip(*(b.column(c).to_pylist() for c in ("batch", "y", "x")), strict=True))
+    ahead = next(rows, None)
+    for step in range(steps):
+        while ahead is not None and ahead[0] == step:
+            held.append(ahead)
+            ahead = next(rows, None)
+        yield np.array([x for _, x, _ in held], float).reshape(len(held), -1), np.array([y for _, _, y in held], float)
+        held.clear()
+
+
+def train_one_epoch(store: RowStore, head: Head, rate: float, all_layers: bool, size: int = BATCH, seed: int = 42, workers: int | None = None) -> DataFrame:
+    """One pass over ``store`` in shuffled batches of ``size``: step, label, prob and loss of every row as its batch met it.
+
+    ``head`` is brought up to date.  There are as many workers as the session runs
+    tasks at a time, or as ``workers`` says.
+    """
+    spark, steps = store.spark, store.batches(size)
+    workers = workers or spark.sparkContext.defaultParallelism
     names = tuple(head.parameters) if all_layers else ("weight", "bias")
-    for k in range(steps):
-        share = rows.where(F.pmod(F.xxhash64(embedding), F.lit(steps)) == k) if steps > 1 else rows
-        n, loss, sums = gradients(share, head, label, embedding)
-        if n:
-            _step(head, sums, n, rate, names)
-        total, seen = total + loss, seen + n
-    return total / seen if seen else 0.0
+    begin = json.dumps(asdict(head))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = BarrierTaskContext.get()
+        own = Head(**json.loads(begin))
+        width = {k: len(v) for k, v in own.parameters.items()}
+        for step, (x, y) in enumerate(_by_batch(batches, steps)):
+            p = own.arrays()
+            prob, loss, sums = summed(p, x, y) if len(y) else (y, y, {k: np.zeros(n) for k, n in width.items()})
+            sent = np.concatenate([[len(y)], *(sums[k] for k in width)])
+            got = context.allGather(base64.b64encode(sent.tobytes()).decode())  # by worker, so all add in the same order
+            total = sum(np.frombuffer(base64.b64decode(m)) for m in got)
+            cuts = np.cumsum([1, *width.values()])
+            _step(own, {k: total[a:b] for k, a, b in zip(width, cuts, cuts[1:])}, int(total[0]), rate, names)
+            yield pa.RecordBatch.from_arrays([pa.array([step] * len(y), pa.int64()), pa.array(y), pa.array(prob), pa.array(loss), pa.nulls(len(y), pa.string())], names=["step", "label", "prob", "loss", "head"])
+        if context.partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.float64())] * 3, pa.array([json.dumps(asdict(own))])], names=["step", "label", "prob", "loss", "head"])
+
+    dealt = store.batched(size, seed).select("batch", "place", "y", "x").repartition(workers, "batch", "place").sortWithinPartitions("batch", "place")
+    log = materialise(dealt.mapInArrow(work, "step long, label double, prob double, loss double, head string", barrier=True), "epoch")
+    if len(store):
+        after = Head(**json.loads(log.where("head is not null").first().head))
+        head.parameters, head.first, head.second, head.steps = after.parameters, after.first, after.second, after.steps
+    return log.where("head is null").select("step", F.col("label").cast("int").alias("label"), "prob", "loss")
+
+
+def step_losses(log: DataFrame) -> DataFrame:
+    """step, n and mean loss of each batch of an epoch."""
+    return log.groupBy("step").agg(F.count("*").alias("n"), F.avg("loss").alias("loss"))
+
+
+def epoch_metrics(log: DataFrame, threshold: float = 0.5) -> dict[str, float]:
+    """The epoch's mean loss, and the metrics bundle of what its batches predicted before each step."""
+    loss = log.agg(F.avg("loss")).first()[0]
+    return {"train_loss": 0.0 if loss is None else loss, **{f"train_{k}": v for k, v in metric_bundle(log, threshold).first().asDict().items()}}
 
 
 def predict(rows: DataFrame, head: Head, embedding: str = "embedding") -> DataFrame:
@@ -136,18 +177,19 @@ def validate(rows: DataFrame, head: Head, threshold: float = 0.5, label: str = "
     return metric_bundle(scored, threshold).first().asDict()
 
 
-def fit_two_stages(spark: SparkSession, train: DataFrame, validation: DataFrame, size: int, folder: str | None = None, stages: tuple = STAGES, steps: int = 1) -> tuple[Head, list[dict]]:
+def fit_two_stages(spark: SparkSession, train: DataFrame, validation: DataFrame, width: int, folder: str | None = None, stages: tuple = STAGES, size: int = BATCH, seed: int = 42) -> tuple[Head, list[dict]]:
     """The head first, then all layers at a rate that falls by a cosine; keeps the epoch of the best f1.
 
-    Given a ``folder``, that epoch's checkpoint and the run's metrics are written there.
+    Every epoch has its own order of the rows.  Given a ``folder``, the best epoch's
+    checkpoint and the run's metrics are written there.
     """
-    head, best, history = Head.new(size), None, []
+    head, best, history, store = Head.new(width), None, [], training_rows(train)
     for epochs, rate, all_layers in stages:
         for k in range(epochs):
             now = rate * (1 + math.cos(math.pi * k / epochs)) / 2 if all_layers else rate
-            loss = train_one_epoch(train, head, now, all_layers, steps)
+            log = train_one_epoch(store, head, now, all_layers, size, seed + len(history))
             found = validate(validation, head)
-            history.append({"epoch": len(history) + 1, "rate": now, "train_loss": loss, **found})
+            history.append({"epoch": len(history) + 1, "rate": now, **epoch_metrics(log), **found})
             if best is None or found["f1"] > best[1]["f1"]:
                 best = (Head(**json.loads(json.dumps(asdict(head)))), history[-1])
                 if folder:

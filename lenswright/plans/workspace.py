@@ -66,20 +66,59 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a range has at most (about) where rows are numbered or cumulated in order.
+RANGE_ROWS = 1_000_000
+
+
+def ranges_of(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` (a written table) dealt out by ranges of ``order``, as a written table with the range's number in ``name``.
+
+    The number of ranges follows from the number of rows, so a range doesn't grow with the data.
+    """
+    at_least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, at_least, -(-rows.count() // RANGE_ROWS))
+    return materialise(rows.repartitionByRange(ranges, *order).withColumn(name, F.spark_partition_id()), "ranges")
+
+
+def before_each(sizes: DataFrame, part: str, sums: list[str], down: bool = False, block: int = 1024) -> DataFrame:
+    """``sizes`` (a row a range) with each of ``sums`` cumulated over the ranges before (``before_<name>``) and over all (``all_<name>``).
+
+    In two levels: within blocks of ranges, and across blocks from a row a block.
+    """
+    order = F.desc(part) if down else F.asc(part)
+    inside = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = sizes.withColumn("_block", F.floor(F.col(part) / block))
+    rows = rows.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
+    across = Window.orderBy(F.desc("_b") if down else F.asc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # a row a block of ranges
+    whole = Window.partitionBy(F.lit(1))
+    blocks = sizes.groupBy(F.floor(F.col(part) / block).alias("_b")).agg(*(F.sum(c).alias(f"_{c}") for c in sums))
+    blocks = blocks.select("_b", *(F.coalesce(F.sum(f"_{c}").over(across), F.lit(0)).alias(f"_before_{c}") for c in sums), *(F.sum(f"_{c}").over(whole).alias(f"all_{c}") for c in sums))
+    out = rows.join(F.broadcast(blocks), F.col("_block") == F.col("_b")).withColumns({f"before_{c}": F.col(f"before_{c}") + F.col(f"_before_{c}") for c in sums})
+    return out.drop("_block", "_b", *(f"_before_{c}" for c in sums))
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with a gapless number from 0 by ``order``, without gathering its rows in one task.
 
-    Rows are dealt out by ranges of the first sort key and numbered within a
+    Rows are dealt out by ranges of the sort keys and numbered within a
     range; a table of one row a range has what each adds.
     """
-    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = materialise(df.repartitionByRange(ranges, order[0]).withColumn("_part", F.spark_partition_id()), "ranges")
+    parts = ranges_of(materialise(df, "rows"), order, "_part")
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # one short row a range
+    before = before_each(sizes, "_part", ["_n"]).select("_part", F.col("before__n").alias("_before"))
     row = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return parts.withColumn("_row", row).join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_row") - 1).cast("long")).drop("_part", "_row", "_before")
 
 
+def numbered_as_stored(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written, with a gapless number from 0 in the order of its partitions and their rows; nothing is sorted or shuffled."""
+    rows = materialise(df.withColumn("_id", F.monotonically_increasing_id()), "rows")
+    part, row = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = before_each(sizes, "_part", ["_n"]).select("_part", F.col("before__n").alias("_before"))  # a row a partition
+    return rows.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + row).cast("long")).drop("_part", "_before", "_id")
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to the session's Python workers, wherever they start; once a session's context."""
     context = spark.sparkContext

@@ -73,25 +73,6 @@ def test_batches_and_datasets(spark):
         datasets.split_dataset(s, "other")
 
 
-def test_training_learns_and_checkpoints(spark, tmp_path):
-    rng = np.random.default_rng(3)
-    rows = [(int(y), (rng.normal(size=8) + 2.0 * y * np.r_[1, -1, 0, 0, 0, 0, 0, 0]).tolist()) for y in rng.integers(0, 2, 200)] + [(1, None), (None, [0.0] * 8)]
-    df = spark.createDataFrame(rows, "label int, embedding array<double>")
-    head, history = training.fit_two_stages(spark, df, df, 8, f"file://{tmp_path}", stages=((4, 0.1, False), (2, 0.05, True)), steps=2)
-    assert len(history) == 6 and history[-1]["train_loss"] < history[0]["train_loss"] and max(h["f1"] for h in history) > 0.8
-    loaded, metrics_ = training.load_checkpoint(spark, f"file://{tmp_path}/checkpoint")
-    assert loaded == head and metrics_["f1"] == max(h["f1"] for h in history)
-    assert spark.read.json(f"file://{tmp_path}/metrics").first().best_epoch == metrics_["epoch"]
-    assert training.parameter_counts(head, False) == {"total": 25, "trainable": 9}
-    n, loss, sums = training.gradients(df, head)
-    eps, p = 1e-5, head.parameters
-    for name in p:
-        up = training.Head({**p, name: [p[name][0] + eps, *p[name][1:]]})
-        assert (training.gradients(df, up)[1] - loss) / eps == pytest.approx(float(sums[name][0]), abs=2e-2)
-    assert n == 200
-    assert training.train_one_epoch(df.limit(0), head, 0.1, True) == 0.0
-
-
 def test_pictures():
     rng = np.random.default_rng(1)
     rgb = rng.integers(0, 256, (40, 20, 3)).astype(np.uint8)
