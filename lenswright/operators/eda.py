@@ -87,6 +87,14 @@ def head_sanity(df: DataFrame, k: int = 100, order: str = "doc_id") -> DataFrame
     return head.groupBy("split").agg(F.count("*").alias("checked"), F.count("width").alias("readable"), *(f(c).alias(f"{n}_{c}") for c in ("width", "height") for n, f in (("min", F.min), ("max", F.max))))
 
 
+def mode_sanity(df: DataFrame, k: int = 100, order: str = "path") -> DataFrame:
+    """The distinct modes, sorted, over the first ``k`` rows of each split; unreadable ones (null mode) count toward the ``k``."""
+    b = df.withColumn("_b", F.pmod(F.xxhash64(order), F.lit(64)))
+    some = b.withColumn("_r", F.row_number().over(Window.partitionBy("split", "_b").orderBy(order))).where(F.col("_r") <= k)
+    head = some.withColumn("_r", F.row_number().over(Window.partitionBy("split").orderBy(order))).where(F.col("_r") <= k)
+    return head.groupBy("split").agg(F.array_join(F.array_sort(F.collect_set("mode")), ",").alias("modes"))
+
+
 def grid_cells(df: DataFrame, columns: int, number: str = "sample_no") -> DataFrame:
     """Where the k-th item stands in a sheet of so many columns."""
     return df.withColumns({"column": F.col(number) % columns, "row": F.floor(F.col(number) / columns)})

@@ -3,8 +3,8 @@
 The head is a layer norm with scale and shift, then a linear layer to one
 logit.  Training rows stand in a store by position.  An epoch is one barrier
 stage that reads it once: a seeded permutation gives every row its batch, each
-worker goes through its rows batch by batch, and after each batch all workers
-exchange the sums of their gradients and take the same step.  So an epoch gives
+worker goes through its rows batch by batch, and after each batch the workers' sums of
+gradients are added, in the shared folder, and all take the same step.  So an epoch gives
 what one process would that reads the same batches in a row.  A worker holds a batch's
 share of rows and the parameters; a lost one restarts the stage, with the same result.
 Rows without label or embedding are left out; an empty table leaves the
@@ -13,22 +13,27 @@ parameters as they are.
 
 from __future__ import annotations
 
-import base64
 import json
 import math
-from collections.abc import Iterator
+import time
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.workspace import materialise, work_path
+from ..sources.file_sink import store as file_store
 from ..sources.positions import BATCH, RowStore
 from ..sources.sinks import write_report
 from .metrics import metric_bundle
+from .scoring import ModelFile
 
 # Epochs and learning rates of the two stages, weight decay.
 STAGES = ((5, 1e-3, False), (15, 1e-5, True))
@@ -106,10 +111,56 @@ def _by_batch(batches: Iterator[pa.RecordBatch], steps: int) -> Iterator[tuple[n
         while ahead is not None and ahead[0] == step:
             held.append(ahead)
             ahead = next(rows, None)
-        yield np.array([x for _, x, _ in held], float).reshape(len(held), -1), np.array([y for _, _, y in held], float)
+        yield np.array([x for _, x, _ in held], float), np.array([y for _, _, y in held], float)
         held.clear()
 
 
+class Exchange:
+    """Sums of small arrays over the workers of a barrier stage, through files of the shared folder.
+
+    Every worker puts its array down; the first one adds them in the workers'
+    order and puts down the total, which the others wait for.  A step's files go two
+    steps later, when all have read them.
+    """
+
+    def __init__(self, folder: str, worker: int, workers: int) -> None:
+        self.fs, self.folder = file_store(folder)
+        self.worker, self.workers, self.step, self.own = worker, workers, 0, []
+        self.fs.create_dir(self.folder, recursive=True)
+
+    def _put(self, name: str, data: bytes) -> None:
+        path = f"{self.folder}/{name}"
+        with self.fs.open_output_stream(f"{path}.part") as out:
+            out.write(data)
+        self.fs.move(f"{path}.part", path)
+        self.own.append((self.step, path))
+
+    def _get(self, name: str) -> np.ndarray:
+        path, pause = f"{self.folder}/{name}", 0.0005
+        while self.fs.get_file_info(path).type == pafs.FileType.NotFound:  # a worker that is lost ends the stage, and this wait
+            time.sleep(pause)
+            pause = min(2 * pause, 0.05)
+        with self.fs.open_input_file(path) as f:
+            return np.frombuffer(f.read())
+
+    def total(self, mine: np.ndarray) -> np.ndarray:
+        """The sum of what all workers bring to this step."""
+        if self.workers == 1:
+            return mine
+        if self.worker:
+            self._put(f"{self.step}-{self.worker}", mine.tobytes())
+            out = self._get(f"{self.step}-total")
+        else:
+            out = mine.copy()
+            for k in range(1, self.workers):
+                out = out + self._get(f"{self.step}-{k}")
+            self._put(f"{self.step}-total", out.tobytes())
+        while self.own and self.own[0][0] <= self.step - 2:
+            self.fs.delete_file(self.own.pop(0)[1])
+        self.step += 1
+        return out
+
+
 def train_one_epoch(store: RowStore, head: Head, rate: float, all_layers: bool, size: int = BATCH, seed: int = 42, workers: int | None = None) -> DataFrame:
     """One pass over ``store`` in shuffled batches of ``size``: step, label, prob and loss of every row as its batch met it.
 
@@ -119,18 +170,18 @@ def train_one_epoch(store: RowStore, head: Head, rate: float, all_layers: bool,
     spark, steps = store.spark, store.batches(size)
     workers = workers or spark.sparkContext.defaultParallelism
     names = tuple(head.parameters) if all_layers else ("weight", "bias")
-    begin = json.dumps(asdict(head))
+    begin, exchanges = json.dumps(asdict(head)), work_path(spark, "sums")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = BarrierTaskContext.get()
+        run = context.allGather(uuid.uuid4().hex)  # the first worker's word names this attempt of the stage
+        exchange = Exchange(f"{exchanges}/{run[0]}", context.partitionId(), len(run))
         own = Head(**json.loads(begin))
         width = {k: len(v) for k, v in own.parameters.items()}
         for step, (x, y) in enumerate(_by_batch(batches, steps)):
             p = own.arrays()
             prob, loss, sums = summed(p, x, y) if len(y) else (y, y, {k: np.zeros(n) for k, n in width.items()})
-            sent = np.concatenate([[len(y)], *(sums[k] for k in width)])
-            got = context.allGather(base64.b64encode(sent.tobytes()).decode())  # by worker, so all add in the same order
-            total = sum(np.frombuffer(base64.b64decode(m)) for m in got)
+            total = exchange.total(np.concatenate([[len(y)], *(sums[k] for k in width)]))
             cuts = np.cumsum([1, *width.values()])
             _step(own, {k: total[a:b] for k, a, b in zip(width, cuts, cuts[1:])}, int(total[0]), rate, names)
             yield pa.RecordBatch.from_arrays([pa.array([step] * len(y), pa.int64()), pa.array(y), pa.array(prob), pa.array(loss), pa.nulls(len(y), pa.string())], names=["step", "label", "prob", "loss", "head"])
@@ -212,6 +263,25 @@ def load_checkpoint(spark: SparkSession, path: str) -> tuple[Head, dict]:
     return Head(**json.loads(row["head"])), json.loads(row["metrics"])
 
 
+def scorer(content: bytes) -> Callable[[pd.DataFrame], pd.Series]:
+    """A checkpoint's bytes as a model for ``scoring.score_with_file``: embeddings to probabilities."""
+    head = Head(**json.loads(json.loads(content)["head"]))
+    p = head.arrays()
+
+    def prob(f: pd.DataFrame) -> pd.Series:
+        return pd.Series(1 / (1 + np.exp(-np.clip(_logits(p, _normed(np.array(f["embedding"].tolist(), float))), -60, 60))))
+
+    return prob
+
+
+def publish_checkpoint(spark: SparkSession, path: str, folder: str) -> ModelFile:
+    """A saved checkpoint as a model file that executors open."""
+    row = spark.read.schema("epoch long, head string, metrics string").json(path).first()
+    if row is None:
+        raise FileNotFoundError(path)
+    return ModelFile.publish(json.dumps(row.asDict()).encode(), folder)
+
+
 def write_metrics(spark: SparkSession, history: list[dict], best: dict, counts: dict[str, int], path: str) -> None:
     """The run's metrics report: every epoch, the best one, and the parameter counts."""
     row = (json.dumps(history), best["epoch"], float(best["f1"]), counts["total"], counts["trainable"])

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric, paths
-from ..operators import audit, claims, damage, datasets, eda, images, metrics, neardup, scoring, splits, training
-from ..sources import files, sinks
+from ..operators import audit, claims, damage, datasets, eda, images, metrics, neardup, pictures, scoring, splits, training
+from ..sources import file_sink, files, positions, probe, sinks
 from . import fixtures as fx
-from .workspace import materialise, work_path
+from .workspace import materialise, numbered, work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -684,3 +684,128 @@ def head_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, history = training.fit_two_stages(spark, e.where("split = 'train'"), e.where("split = 'validation'"), 64, work_path(spark, "run"), stages=((3, 0.1, False), (2, 0.01, True)))
     columns = ("epoch", "rate", "train_loss", "accuracy", "f1", "roc_auc")
     return spark.createDataFrame([tuple(float(h[c]) if c != "epoch" else h[c] for c in columns) for h in history], "epoch long, rate double, train_loss double, accuracy double, f1 double, roc_auc double")
+
+
+# -- files, positions, models ----------------------------------------------
+
+
+def _png_of(rows: DataFrame) -> DataFrame:
+    """vec_id and content: each drawn image as a PNG file's bytes."""
+    return pictures.annotated(rows.withColumn("boxes", F.lit(None).cast("array<struct<x1: double, y1: double, x2: double, y2: double>>")), F.col("vec_id")).select(F.col("name").cast("long").alias("vec_id"), "content")
+
+
+_FILE_NAME = "concat('/v', CAST(vec_id AS VARCHAR), CASE WHEN vec_id % 11 = 0 THEN '.jpg' ELSE '.png' END)"
+_GOOD = "vec_id % 7 <> 0 AND vec_id % 5 <> 0"
+
+
+def _picture_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of picture files, some of them empty, cut in half or under a wrong suffix."""
+    i, body = F.col("vec_id"), F.col("content")
+    damaged = F.when(i % 7 == 0, F.lit(b"")).when(i % 5 == 0, F.substring(body, F.lit(1), (F.octet_length(body) / 2).cast("int"))).otherwise(body)
+    split = fx.split_of(i)
+    name = F.concat(split, F.lit("/v"), i.cast("string"), F.when(i % 11 == 0, ".jpg").otherwise(".png"))
+    folder = work_path(spark, "pictures")
+    file_sink.write_files(_png_of(fx.embedding_images(spark, sf_dir)).select(name.alias("name"), damaged.alias("content")), folder)
+    return folder
+
+
+@_register(
+    f"""SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN NULL ELSE 'PNG' END AS format, CASE WHEN {_GOOD} THEN 8 END AS width, CASE WHEN {_GOOD} THEN 8 END AS height, CASE WHEN {_GOOD} THEN 'RGB' END AS mode,
+  CASE WHEN vec_id % 7 = 0 THEN 'empty' WHEN vec_id % 5 = 0 THEN 'truncated' END AS problem, {_GOOD} AS valid, vec_id % 7 <> 0 AND vec_id % 11 = 0 AS renamed FROM embeddings"""
+)
+def picture_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written by the sink, then probed where they lie, by range reads."""
+    found = probe.probed_paths(file_sink.written_files(spark, _picture_files(spark, sf_dir)))
+    vec_id = F.regexp_extract("path", r"/v([0-9]+)\.[a-z]+$", 1).cast("long")
+    return found.select(vec_id.alias("vec_id"), "format", "width", "height", "mode", "problem", "valid", "renamed")
+
+
+@_register(
+    f"""WITH f AS (SELECT vec_id, CASE WHEN vec_id % 20 < 14 THEN 'train' WHEN vec_id % 20 < 17 THEN 'validation' ELSE 'test' END AS split, {_GOOD} AS ok, {_FILE_NAME} AS name FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY name) AS k FROM f) SELECT split, coalesce(string_agg(DISTINCT CASE WHEN ok THEN 'RGB' END, ','), '') AS modes FROM r WHERE k <= 100 GROUP BY 1"""
+)
+def mode_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modes over the first 100 files of each split, by name."""
+    folder = _picture_files(spark, sf_dir)
+    found = probe.probed(file_sink.read_files(spark, folder).select(F.col("name").alias("path"), "content"))
+    name = F.regexp_extract("path", "(/v[^/]*)$", 1)
+    return eda.mode_sanity(found.select(name.alias("path"), F.substring_index("path", "/", 1).alias("split"), "mode"))
+
+
+@_register(
+    """WITH f AS (SELECT CASE WHEN vec_id % 20 < 14 THEN 'train' WHEN vec_id % 20 < 17 THEN 'validation' ELSE 'test' END AS split, vec_id FROM embeddings),
+r AS (SELECT split, (row_number() OVER (PARTITION BY split ORDER BY vec_id) - 1) // 48 AS sheet FROM f), s AS (SELECT split, sheet, count(*) AS n FROM r GROUP BY 1, 2)
+SELECT concat('sheets/', split, '-', lpad(CAST(sheet AS VARCHAR), 4, '0'), '.png') AS name, CAST(4 + 8 * 20 AS INT) AS width, CAST(4 + ceil(n / 8.0) * 20 AS INT) AS height, true AS valid, true AS intact FROM s"""
+)
+def sheet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contact sheets of 8 x 6 drawn images a split, drawn in tasks, written, read back and probed."""
+    drawn, out = materialise(fx.embedding_images(spark, sf_dir), "drawn"), None
+    for split in datasets.SPLITS:
+        at = numbered(drawn.where(F.col("split") == split).select("vec_id", "split"), [F.col("vec_id")], "at")
+        out = at if out is None else out.unionByName(at)
+    placed = pictures.numbered_sheets(drawn.join(out.drop("split"), "vec_id"), F.concat(F.lit("sheets/"), "split"), F.col("at"), 48)
+    folder = work_path(spark, "sheets")
+    file_sink.write_files(pictures.contact_sheets(placed, 8, 6, 16, 16, 4), folder)
+    read = materialise(file_sink.read_files(spark, folder), "sheets-read")
+    sizes = probe.probed(read.select(F.col("name").alias("path"), "content")).withColumnRenamed("path", "name")
+    return read.select("name", "intact").join(sizes, "name").select("name", "width", "height", "valid", "intact")
+
+
+@_register(
+    """WITH c AS (SELECT vec_id, CASE WHEN vec_id % 13 = 0 THEN 0 ELSE 2 END AS files FROM embeddings)
+SELECT vec_id AS claim_id, files > 0 AS original, files > 0 AS annotated, files > 0 AS differ FROM c"""
+)
+def evidence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Original and annotated picture of each claim, in its folder; every 13th image can't be decoded and has none."""
+    drawn = fx.embedding_images(spark, sf_dir).withColumnRenamed("vec_id", "claim_id")
+    broken = F.when(F.col("claim_id") % 13 != 0, F.col("image"))
+    box = F.array(F.struct(*(F.lit(float(v)).alias(n) for n, v in (("x1", 1), ("y1", 1), ("x2", 7), ("y2", 6)))))
+    claims_ = materialise(drawn.withColumns({"image": broken, "boxes": box}), "claims")
+    folder = work_path(spark, "evidence")
+    file_sink.write_files(pictures.evidence(claims_), folder)
+    written = materialise(file_sink.read_files(spark, folder), "evidence-read")
+    paths = pictures.evidence_paths(claims_, written)
+    sha = written.groupBy(F.regexp_replace("name", "/[^/]*$", "").cast("long").alias("claim_id")).agg((F.count_distinct("sha256") == 2).alias("differ"))
+    return paths.join(sha, "claim_id", "left").select("claim_id", F.col("original").isNotNull().alias("original"), F.col("annotated").isNotNull().alias("annotated"), F.coalesce("differ", F.lit(False)).alias("differ"))
+
+
+def _walked(n: str, seed: int) -> str:
+    """SQL of a seeded permutation: from places (place, n) to positions, a round a step, until inside."""
+    keys = positions.Permutation(1, seed).keys
+    key = "CASE r % 6 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(keys)) + " END"
+    half = "CASE WHEN r % 2 = 1 THEN a ELSE b END"
+    first = f"((xor({half}, {key}) * {positions.FIRST}) & {positions.MASK})"
+    second = f"((xor({first}, {first} >> 15) * {positions.SECOND}) & {positions.MASK})"
+    h = f"xor({second}, {second} >> 13)"
+    return f"""shape AS (SELECT n, bits, bits // 2 AS high, bits - bits // 2 AS low FROM (SELECT n, greatest(2, CAST(length(ltrim(bin(n - 1), '0')) AS BIGINT)) AS bits FROM (SELECT count(*) AS n FROM {n}))),
+walk(place, r, a, b) AS (SELECT i, CAST(0 AS BIGINT), i >> low, i & ((CAST(1 AS BIGINT) << low) - 1) FROM shape, range(CAST((SELECT n FROM shape) AS BIGINT)) t(i)
+  UNION ALL SELECT place, r + 1, CASE WHEN r % 2 = 0 THEN xor(a, {h} & ((CAST(1 AS BIGINT) << high) - 1)) ELSE a END, CASE WHEN r % 2 = 1 THEN xor(b, {h} & ((CAST(1 AS BIGINT) << low) - 1)) ELSE b END
+  FROM walk, shape WHERE r = 0 OR r % 6 <> 0 OR (a << low | b) >= n),
+shuffled AS (SELECT place, arg_max(a << low | b, r) AS position FROM walk, shape GROUP BY place)"""
+
+
+@_register(f"""WITH RECURSIVE {fx.SAMPLES}, train AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM samples WHERE split = 'train'), {_walked("train", 7)}
+SELECT doc_id, s.place // 32 AS batch, CAST(s.place % 32 AS INT) AS place FROM train JOIN shuffled s ON s.position = train.position""")
+def shuffled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All batches of the training split in a seeded order, from a store by position."""
+    train = fx.samples(spark, sf_dir, F.sha2("text", 256)).where("split = 'train'").select("doc_id", "label")
+    stored = positions.RowStore.write(train, work_path(spark, "store"), [F.col("doc_id")], per_range=1000)
+    return stored.batched(32, 7).select("doc_id", "batch", "place")
+
+
+@_register(f"""WITH {_NEAR} SELECT left_id, l.toxic AS left_label, right_id, r2.toxic AS right_label, distance FROM near LEFT JOIN labels l ON l.doc_id = left_id LEFT JOIN labels r2 ON r2.doc_id = right_id WHERE r = 1 AND distance <= 6""")
+def labelled_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest pairs with both sides' labels."""
+    labels = fx.table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return neardup.labelled_pairs(_nearest(spark, sf_dir, 6), labels)
+
+
+@_register("SELECT vec_id, true AS same FROM embeddings WHERE label IS NOT NULL")
+def checkpoint_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores from a saved checkpoint, opened as a model file by the workers, against those of the run that saved it."""
+    e = fx.table(spark, sf_dir, "embeddings").where("label IS NOT NULL").select("vec_id", "embedding", (F.col("label") == 1).cast("int").alias("label"))
+    e, run = materialise(e, "embedded"), work_path(spark, "run")
+    head, _ = training.fit_two_stages(spark, e, e, 64, run, stages=((1, 0.1, False),), size=256)
+    model = training.publish_checkpoint(spark, f"{run}/checkpoint", f"{run}/models")
+    scored = scoring.score_with_file(model, training.scorer, e.select("vec_id", "embedding"), ["vec_id"]).withColumnRenamed("prob", "again")
+    return training.predict(e, head).join(scored, "vec_id").select("vec_id", (F.abs(F.col("prob") - F.col("again")) < 1e-12).alias("same"))

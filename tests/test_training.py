@@ -142,3 +142,17 @@ def test_store_as_rows_stand(spark):
     store = RowStore.write(df, workspace.work_path(spark, "store"), per_range=100)
     found = store.all().collect()
     assert sorted(r.position for r in found) == list(range(500)) == sorted(r.id for r in found)
+
+
+def test_sums_over_workers(tmp_path):
+    """Workers that meet at every step get one total, and leave at most two steps' files."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def run(k):
+        e = training.Exchange(f"file://{tmp_path}/run", k, 3)
+        return [e.total(np.array([k + 0.5 * step, 1.0])).tolist() for step in range(20)]
+
+    with ThreadPoolExecutor(3) as pool:
+        got = list(pool.map(run, range(3)))
+    assert got[0] == got[1] == got[2] == [[3 + 1.5 * step, 3.0] for step in range(20)]
+    assert len(list((tmp_path / "run").iterdir())) <= 6
