@@ -47,7 +47,9 @@ _TOKEN = re.compile(
     r"|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>",
     re.S,
 )
-_ATTRS = re.compile(r"(?<![^\s\"'/])(class|id|role|data-k|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRS = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|style)(?![\w:.-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_LABEL = re.compile(r' data-k="([01])"$')  # of training pages only
+_IMPRINT = re.compile(r"\s*+(?:©|\(c\)\s|copyright\b)", re.I)
 _NAMES = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -88,6 +90,7 @@ class Node:
     names: tuple[str, ...]
     words: int = 0
     linked: int = 0
+    imprint: bool = False
     label: int | None = None
 
 
@@ -99,8 +102,8 @@ class Page:
     pieces: list[tuple[int, int, str]] = field(default_factory=list)
 
 
-def parse(source: str) -> Page:
-    """Read a page, well-formed or not, in one pass."""
+def parse(source: str, labelled: bool = False) -> Page:
+    """Read a page, well-formed or not, in one pass; only of a ``labelled`` one are labels read."""
     page = Page([Node("html", -1, ())])
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the node that each belongs to
     block, at, links = 0, 0, 0
@@ -126,6 +129,8 @@ def parse(source: str) -> Page:
         page.pieces.append((node, block, text))
         n = len(text.split())
         page.nodes[node].words += n
+        if n < 30 and _IMPRINT.match(text):
+            page.nodes[node].imprint = True
         if links:
             page.nodes[node].linked += n
 
@@ -215,13 +220,13 @@ def parse(source: str) -> Page:
                 for a in _ATTRS.finditer(m["attrs"]):
                     value = a[2] or a[3] or a[4] or ""
                     key = a[1].lower()
-                    if key == "data-k":
-                        label = int(value)
-                    elif key == "hidden" or key == "style":
+                    if key == "hidden" or key == "style":
                         unseen |= key == "hidden" or "display:none" in value.replace(" ", "").lower()
                     else:
                         found += _NAMES.findall(_CAMEL.sub(" ", value).lower())
                 names = tuple(dict.fromkeys(found))
+            if labelled and (mark := _LABEL.search(m["attrs"])):
+                label = int(mark[1])
             if unseen:
                 names = (*names, "hidden")
             owner = stack[-1][1]
@@ -276,13 +281,23 @@ def _settled(page: Page, loose: dict[int, bool]) -> Page:
 
 
 def features(page: Page) -> list[list[str]]:
-    """What is seen of each node."""
+    """What is seen of each node: itself, its names, and how much of the page's unlinked text it holds with all below it."""
     out = []
-    for node in page.nodes:
+    below = [node.words - node.linked for node in page.nodes]
+    for i in range(len(below) - 1, 0, -1):
+        below[page.nodes[i].parent] += below[i]
+    for node, held in zip(page.nodes, below, strict=True):
         parent = page.nodes[node.parent].tag if node.parent >= 0 else "-"
         w, share = node.words, node.linked / node.words if node.words else 0.0
         size = 0 if not w else 1 if w < 4 else 2 if w < 12 else 3 if w < 30 else 4
         seen = ["bias", f"tag={node.tag}", f"in={parent}>{node.tag}", f"words={size}", f"links={size and math.ceil(share * 3)}", f"links={size and math.ceil(share * 3)} {node.tag}"]
+        part = held / below[0] if below[0] else 0.0
+        part = sum(part > x for x in (0.0, 0.05, 0.2, 0.5, 0.8))
+        seen += [f"part={part}", f"part={part} {node.tag}"]
+        if node.imprint:
+            seen.append("imprint")
+        if not node.names:
+            seen.append(f"unnamed {node.tag}")
         for name in node.names:
             seen += [f"name={name}", f"stem={name[:5]}"]
         out.append(seen)
@@ -337,7 +352,7 @@ class TreeModel:
 def train(pages: list[str], passes: int = PASSES, rate: float = 0.3, decay: float = 1e-4) -> TreeModel:
     """Ascend the likelihood of labelled pages (``data-k`` on every element), with steps scaled by past gradients."""
     model = TreeModel()
-    parsed = [(p := parse(s), features(p)) for s in pages]
+    parsed = [(p := parse(s, True), features(p)) for s in pages]
     squares: dict[object, float] = {}
 
     def step(key: object, value: float, g: float) -> float:
@@ -461,13 +476,36 @@ class _Writer:
                 out.append(self.part(r.choice(("advert", "advert", "sidebar", "notice", "form"))))
         return "".join(out)
 
+    def unnamed(self) -> str:
+        """What a page without names has beside its text: a box of links, or a line of imprint."""
+        r = self.rng
+        if r.random() < 0.5:
+            inner = r.choice((" ", " | ", "")).join(f'<a href="/u">{self.words(r.randint(1, 3))}</a>' for _ in range(r.randint(2, 8)))
+            return self.el(r.choice(("div", "div", "p", "ul")), 0, inner)
+        return self.el(r.choice(("div", "div", "p")), 0, r.choice(("&copy; ", "Copyright ", "(c) ")) + self.words(r.randint(2, 9)))
+
+    def plain(self) -> str:
+        """The body of a page that hardly names anything: blocks in it as they are, or in unnamed boxes, maybe in boxes."""
+        r = self.rng
+        main = self.body()
+        for _ in range(r.choice((0, 0, 1, 1, 1, 2))):
+            main = self.el(r.choice(("div", "div", "div", "section")), 1, main)
+        before = [r.choice((self.unnamed, lambda: self.part(r.choice(("menu", "header", "notice", "advert")))))() for _ in range(r.choice((0, 0, 1, 2)))]
+        after = [r.choice((self.unnamed, lambda: self.part(r.choice(("footer", "comments", "sidebar", "form", "advert")))))() for _ in range(r.choice((0, 0, 1, 2, 3)))]
+        return "".join(before) + main + "".join(after)
+
     def page(self) -> str:
         r = self.rng
         some = lambda kind, share: self.part(kind) if r.random() < share else ""
         main = self.el(r.choice(("article", "article", "main", "div", "section")), 1, self.body(), "")
         if not main.startswith(("<article", "<main")) or r.random() < 0.3:
             tag = main[1 : main.index(" ")]
-            main = main.replace(f"<{tag} ", f"<{tag}{self.names(_MAIN_NAMES, 1.0)} ", 1)
+            misleading = tag in ("article", "main") and r.random() < 0.15
+            pool = " ".join(_PART_NAMES[k] for k in ("menu", "header", "sidebar", "notice")) if misleading else _MAIN_NAMES
+            main = main.replace(f"<{tag} ", f"<{tag}{self.names(pool, 1.0)} ", 1)
+        elif r.random() < 0.3:  # the text in a box of the article that bears some other name
+            tag = main[1 : main.index(" ")]
+            main = self.el(tag, 1, self.el(r.choice(("section", "div")), 1, self.body(), self.names(_PART_NAMES[r.choice(("header", "sidebar", "notice"))], 1.0)))
         if r.random() < 0.4:
             main = self.el(r.choice(("main", "div", "div", "section")), 1, some("menu", 0.1) + main + some("comments", 0.3) + some("sidebar", 0.2), self.names(_MAIN_NAMES, 0.7))
         top = [some("notice", 0.3), some("header", 0.5), some("menu", 0.6), some("advert", 0.4)]
@@ -477,6 +515,8 @@ class _Writer:
         if r.random() < 0.12:  # a table for layout: the menu beside the text
             menu = self.el("td", 0, " ".join(f'<a href="/m">{self.words(1)}</a>' for _ in range(r.randint(2, 8))))
             shell = "".join(top) + self.el("table", 1, self.el("tr", 1, menu + self.el("td", 1, self.body()))) + some("footer", 0.7)
+        if r.random() < 0.25:
+            shell = self.plain()
         if r.random() < 0.2:
             shell = self.el("div", 1, shell, self.names("page wrapper container site root app", 0.9))
         return f'<!DOCTYPE html><html><head data-k="0"><title>{self.words(3)}</title><style>p{{}}</style><script>var t="</p>";</script></head><body data-k="1">{shell}</body></html>'

@@ -83,7 +83,7 @@ def test_messages_give_exact_marginals(model):
 def test_held_out_pages(model):
     right = n = 0
     for seed in range(10_000, 10_200):
-        page = hx.parse(hx.labelled_page(seed))
+        page = hx.parse(hx.labelled_page(seed), True)
         p, _ = model.marginals(page, hx.features(page))
         for node, x in zip(page.nodes[1:], p[1:]):
             if node.words:
@@ -135,3 +135,73 @@ def test_links_and_comments_at_the_end_of_a_page():
     page = f"<body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><article><h1>Works</h1><p>{words}</p><p>{words}</p><p>See the works below.</p><ul><li><a href=/1>First work</a></li><li><a href=/2>Second work</a></li></ul><p>{words}</p></article><footer>Imprint</footer></body><!-- left open <p>not here</p>"
     text = hx.main_text(page, hx.default_model())
     assert text == f"Works {words} {words} See the works below. First work Second work {words}"
+
+
+@pytest.mark.parametrize("attribute", ['data-k="abc"', 'data-k-item="3"', "data-k=0", 'data-k="0"', "data-k", 'hidden-x="1"', 'class-of="menu nav"', 'data-class="sidebar"'])
+def test_attributes_of_like_names_mean_nothing(model, attribute):
+    for page in (f"<body><div {attribute}><p>A {LONG}</p><p>B {LONG}</p></div></body>", f"<article><p {attribute}>A {LONG}</p><p>B {LONG}</p></article>"):
+        assert hx.main_text(page, model) == f"A {LONG} B {LONG}"
+
+
+@pytest.mark.parametrize("shell", ["{}", "<div>{}</div>", "<div><div>{}</div></div>", "<section>{}</section>", "<center>{}</center>", "<div><a href=1>Home</a> <a href=2>News</a> <a href=3>More</a></div><div>{}</div><div>&copy; 2024 Someone</div>", '<article><section id="social">{}</section></article>', '<article class="header-story">{}</article>', '<main id="top">{}</main>'])
+@pytest.mark.parametrize("title", ["", "<h1>A title</h1>"])
+def test_pages_that_name_little_or_mislead(model, shell, title):
+    page = shell.replace("{}", f"{title}<p>A {LONG}</p><p>B {LONG}</p>")
+    assert hx.main_text(f"<html><head><title>t</title></head><body>{page}</body></html>", model) == f"{'A title ' if title else ''}A {LONG} B {LONG}"
+
+
+# Hand-written pages: M are blocks of the article, N are not; the figure says how many words.
+WRITTEN = [
+    "<header><a href=/>N3</a><nav><ul><li><a href=a>N1</a><li><a href=b>N2</a></ul></nav></header><article><h1>M6</h1><p>M40</p><p>M25</p></article><footer><p>N12</p></footer>",
+    "<div class='cookie-banner'><p>N14</p><button>N1</button></div><main><h1>M5</h1><p>M30</p><p>M8</p><p>M50</p></main>",
+    "<div id=wrapper><div class=topnav><a href=a>N1</a><a href=b>N2</a></div><div class=content><h2>M4</h2><p>M33</p><ul><li>M6</li><li>M9</li></ul></div><div class=sidebar><h3>N2</h3><ul><li><a href=1>N4</a></li><li><a href=2>N5</a></li></ul></div></div>",
+    "<main><article><p>M60</p><blockquote>M20</blockquote><p>M14</p></article><section class=comments><h3>N1</h3><div class=comment><p>N25</p></div><div class=comment><p>N40</p></div></section></main>",
+    "<article><header><h1>M7</h1><p>M12</p></header><p>M45</p><aside class=related><h4>N2</h4><a href=x>N5</a></aside><p>M32</p></article>",
+    "<body><h1>M4</h1><p>M50</p><p>M28</p><hr><p>&copy; N4</p></body>",
+    "<body><div><div><p>M35</p><p>M41</p></div></div><div class=footer>N9</div></body>",
+    "<div class=page><div class=header>N3</div><div class=post><h1>M8</h1><div class=post-content><p>M24</p><p>M31</p><pre>M10</pre></div></div><form class=search><label>N1</label><input name=q><button>N1</button></form></div>",
+    "<article><h1>M5</h1><p>M22</p><div class='ad-slot'><p>N8</p></div><p>M37</p><div class='newsletter signup'><h4>N4</h4><p>N11</p><form><input><button>N1</button></form></div><p>M19</p></article>",
+    "<nav class=breadcrumb><a href=/>N1</a> <a href=/x>N1</a></nav><section class=story><h1>M9</h1><p>M16</p><p>M27</p><figure><img src=p><figcaption>M7</figcaption></figure></section><div id=disqus><h2>N1</h2><p>N30</p></div>",
+    "<table><tr><td><a href=1>N1</a> <a href=2>N1</a> <a href=3>N2</a></td><td><h1>M3</h1><p>M44</p><p>M26</p></td></tr></table><p>Copyright N3</p>",
+    "<div role=navigation><ul><li><a href=a>N2</a><li><a href=b>N1</a></ul></div><div role=main><h1>M6</h1><p>M21</p><p>M39</p></div><div role=contentinfo class=footer><p>N8</p></div>",
+    "<article><h1>M4</h1><p>M18</p><h2>M3</h2><p>M29</p><h2>M2</h2><p>M34</p><ol><li>M5<li>M6<li>M7</ol></article><aside><h3>N2</h3><p>N15</p></aside>",
+    "<div class=alert role=alert>N10</div><div class=entry><h1>M5</h1><div class=entry-content><p>M26</p><p>M26</p></div></div><div class=share-buttons><a href=f>N1</a><a href=t>N1</a></div>",
+    "<article><p>M12</p><p>M5</p><p>M3</p><p>M40</p></article><section id=comments><ol class=comment-list><li class=comment><p>N22</p><ul><li class=reply><p>N12</p></li></ul></li></ol><form class=respond><label>N2</label><textarea></textarea></form></section>",
+    "<body><div class=masthead><h1>N2</h1></div><div class=article-body><p>M48</p><p>M17</p></div><div class=promo><p>N9</p></div><div class=colophon><p>N7</p></div></body>",
+    "<main class=container><h1>M5</h1><p>M23</p><dl><dt>M2</dt><dd>M14</dd><dt>M2</dt><dd>M11</dd></dl><p>M30</p></main><footer><ul><li><a href=i>N1</a><li><a href=p>N2</a></ul></footer>",
+    "<div class='modal overlay'><p>N13</p></div><div id=main-content><article class=post><h2>M6</h2><p>M36</p><p>M20</p></article></div><div class=pagination><a href=1>N1</a><a href=2>N1</a></div>",
+    "<article><h1>M3</h1><p>M15 <a href=x>M2</a> M9</p><p>M25</p><table><tr><td>M2</td><td>M3</td></tr><tr><td>M1</td><td>M2</td></tr></table></article><div class=advertisement>N6</div>",
+    "<section><h1>M7</h1><p>M31</p><p>M42</p></section><div class=recommended><h3>N3</h3><ul><li><a href=1>N6</a><li><a href=2>N7</a><li><a href=3>N5</a></ul></div>",
+    "<body><p>M33</p><p>M12</p><p>M27</p><form action=/s><p>N7</p><input><button>N1</button></form></body>",
+    "<div id=container><ul class=menu><li><a href=1>N1</a><li><a href=2>N1</a><li><a href=3>N1</a></ul><div id=text><h1>M4</h1><p>M38</p><p>M22</p></div><div id=side class=widgets><p>N18</p></div></div>",
+    "<article><div class=author-box><p>N9</p></div><h1>M6</h1><p>M28</p><p>M33</p><div class=tags><a href=1>N1</a><a href=2>N1</a></div></article>",
+    "<header class=site-header><div class=logo><a href=/>N2</a></div></header><div class='prose'><h1>M8</h1><p>M19</p><ul><li>M4<li>M8<li>M12</ul><p>M24</p></div><footer class=site-footer>&copy; N3</footer>",
+    "<div class=paywall><p>N16</p><button>N2</button></div><article><h1>M5</h1><p>M41</p><p>M13</p></article><div class=outbrain><a href=1>N8</a><a href=2>N9</a></div>",
+    "<div><div><a href=1>N1</a> | <a href=2>N1</a> | <a href=3>N1</a></div><div><h1>M4</h1><p>M45</p><p>M21</p></div></div>",
+    "<main><h1>M6</h1><p>M20</p><section><h2>M3</h2><p>M26</p></section><section><h2>M2</h2><p>M35</p></section></main><section class=feedback><h2>N1</h2><article class=review><p>N28</p></article></section>",
+    "<article id=story><h1>M5</h1><p>M24</p><div class=poll><p>N6</p><form><button>N1</button></form></div><p>M31</p></article><aside class='more-stories'><h3>N2</h3><p>N10</p></aside>",
+    "<dialog class=consent><p>N15</p></dialog><div class=story-body><p>M37</p><p>M9</p><p>M29</p></div><div class=social><a href=1>N1</a><a href=2>N1</a></div>",
+    "<body><center><h1>M3</h1></center><p>M52</p><p>M18</p><blockquote>M15</blockquote><div class=bottom>N7</div></body>",
+    "<div class=wrapper><section class=hero-banner><p>N6</p></section><section class=main><article><h1>M5</h1><p>M22</p><p>M16</p><p>M27</p></article></section><section class=subscribe><p>N9</p><form><input><button>N1</button></form></section></div>",
+    "<article><h1>M4</h1><p>M30</p><p>M6</p><p>M44</p><p>M2</p></article><div class='comments-area comments'><p>N12</p><p>N33</p></div><nav class=pager><a href=p>N2</a><a href=n>N2</a></nav>",
+]
+
+
+def test_blocks_of_hand_written_pages(model):
+    """Block by block: precision and recall above 0.95 each over pages that the grammar didn't write."""
+    right = given = wanted = 0
+    for k, template in enumerate(WRITTEN):
+        blocks: list[tuple[str, str]] = []
+
+        def words(m, k=k, blocks=blocks):
+            rng = random.Random(100 * k + len(blocks))
+            text = f"k{k}b{len(blocks)} " + " ".join(rng.choice(("river", "town", "story", "market", "winter", "house", "people", "road")) for _ in range(int(m[2]) - 1))
+            blocks.append((m[1], text.strip()))
+            return text.strip()
+
+        text = hx.main_text(re.sub(r"\b([MN])(\d+)\b", words, template), model)
+        for kind, block in blocks:
+            found = block.split()[0] in text.split()
+            given, wanted, right = given + found, wanted + (kind == "M"), right + (found and kind == "M")
+            assert not found or block in text
+    assert wanted > 120 and right / given > 0.95 and right / wanted > 0.95, (right, given, wanted)
