@@ -136,6 +136,9 @@ def parse(raw: bytes | Iterable[bytes]) -> Iterator[Record]:
 
 # -- writing ---------------------------------------------------------------
 
+#: Tables of up to so many short rows are broadcast.
+BROADCAST_ROWS = 200_000
+
 
 class _Package:
     """A package being written, record by record."""
@@ -167,15 +170,18 @@ def write_packages(pages: DataFrame, folder: str | None = None, min_bytes: int =
     """Write a record per row of ``pages`` (page_id, url, html); returns the manifest (package, records, bytes).
 
     Of equal payloads the row with the largest page_id is stored.  That is an
-    aggregation that combines before it shuffles, and one join on the digest,
-    whose hot keys adaptive execution can split.
+    aggregation of digests, which combines before it shuffles.  Only digests that
+    several rows have are kept, in a written table: while it is short, rows learn
+    theirs by a broadcast and bodies aren't shuffled; beyond, by a join of two tables
+    on the digest, whose hot keys adaptive execution can split.
     """
     spark = pages.sparkSession
     small_batches(spark)
     folder = folder or work_path(spark, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text_bytes("html").alias("body")).withColumn("digest", F.unhex(F.sha1("body")))
-    best = rows.where(F.length("body") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("first_id"))
-    rows = rows.join(best, "digest", "left").select("page_id", "url", "body", "first_id")
+    same = rows.where(F.length("body") >= min_bytes).select("page_id", "digest").groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"))
+    best = materialise(same.where("n > 1").drop("n"), "repeated")
+    rows = rows.join(F.broadcast(best) if best.count() <= BROADCAST_ROWS else best, "digest", "left").select("page_id", "url", "body", "first_id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         package, done = None, []

@@ -91,3 +91,29 @@ def test_damage_is_noticed(tmp_path):
     (tmp_path / "c.zip").write_bytes(_package(False, stored=False))
     with pytest.raises(ValueError, match="stored"):
         list(warc.locate(f"file://{tmp_path}/c.zip"))
+
+
+def test_a_common_payload_can_be_split(spark, monkeypatch):
+    """Beyond the broadcast's bound, adaptive execution marks the skew of a payload that most pages have."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000"}
+    rows = spark.range(12_000).selectExpr("id as page_id", "'u' as url", "if(id % 4 > 0, 'the same page', if(id % 8 = 0, concat('own ', id), 'another')) as html").repartition(8)
+    plans, old = [], {k: spark.conf.get(k, None) for k in settings}
+
+    def seen(df, name):
+        if name == "warc-manifest":
+            df.cache().count()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, name)
+
+    materialise = warc.materialise
+    monkeypatch.setattr(warc, "materialise", seen)
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = warc.archive_digest(rows).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in plans[0]
+    assert sum(r.refers_to == 11_999 for r in got) == 8999 and sum(r.record_type == "response" for r in got) == 2 + 1500
