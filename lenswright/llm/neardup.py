@@ -154,7 +154,8 @@ def likely_linked(sketches: DataFrame, t: int) -> DataFrame:
     nodes = rows.groupBy("node").agg(F.min_by(F.struct("k1", "k2"), "k1").alias("row"), F.first("sig").alias("sig"))
     nodes = materialise(nodes, "nodes")
     postings = _postings(nodes)
-    company = postings.join(_shared(postings), "key", "left_semi").groupBy("node").agg(F.count("*").alias("shared")).where(F.col("shared") >= t)
+    shared = materialise(_shared(postings), "shared")  # written, so that adaptive execution can split a common value's postings
+    company = postings.join(shared, "key", "left_semi").groupBy("node").agg(F.count("*").alias("shared")).where(F.col("shared") >= t)
     return materialise(nodes.join(company, "node").select("node", F.col("row.k1").alias("r1"), F.col("row.k2").alias("r2")), "likely")
 
 
@@ -214,7 +215,8 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def prefixes(sets: DataFrame, t: int) -> DataFrame:
     """(key, node, weight): the posting lists of the prefixes; weight says how central a node is."""
     postings = _postings(sets)
-    ranked = postings.join(_shared(postings), "key").groupBy("node").agg(F.count("*").alias("shared"), F.sum("n").alias("weight"), F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    shared = materialise(_shared(postings), "shared")
+    ranked = postings.join(shared, "key").groupBy("node").agg(F.count("*").alias("shared"), F.sum("n").alias("weight"), F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
     ranked = ranked.where(F.col("shared") >= t)
     rare = F.slice("keys", 1, F.greatest(F.lit(0), F.col("shared") - (t - 1)).cast("int"))  # unshared values rank first
     return materialise(ranked.select("node", "weight", F.explode(rare).alias("k")).select("k.key", "node", "weight"), "prefixes")
@@ -247,7 +249,7 @@ def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
 def _across(postings: DataFrame) -> DataFrame:
     """The posting lists that hold more than one label."""
     open_keys = postings.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    return postings.join(open_keys, "key", "left_semi")
+    return postings.join(materialise(open_keys, "open-keys"), "key", "left_semi")
 
 
 def _posted(t: int) -> np.dtype:
