@@ -19,6 +19,8 @@ SEVERITIES = [(25.0, "Low"), (50.0, "Moderate"), (75.0, "High")]
 TOP_SEVERITY, NO_DAMAGE = "Severe", "No Damage Detected"
 AREA_SHARE, CONFIDENCE_SHARE, BONUS, MOST_BONUS = 0.9, 10.0, 3, 15
 MIN_CONFIDENCE, MAX_OVERLAP = 0.25, 0.45
+#: Class names of a detector that are broadcast.
+CLASSES = 10_000
 
 
 def severity(score: Column) -> Column:
@@ -60,7 +62,8 @@ def scored_boxes(boxes: DataFrame) -> DataFrame:
 
 def named(detections: DataFrame, names: DataFrame) -> DataFrame:
     """``damage_type`` by class id from ``names`` (class_id, name), a table of a detector's classes; unknown ids get a made-up name."""
-    return detections.join(F.broadcast(names), "class_id", "left").withColumn("damage_type", F.coalesce("name", F.concat(F.lit("class_"), F.col("class_id").cast("string")))).drop("name")
+    few = names.limit(CLASSES + 1).count() <= CLASSES
+    return detections.join(F.broadcast(names) if few else names, "class_id", "left").withColumn("damage_type", F.coalesce("name", F.concat(F.lit("class_"), F.col("class_id").cast("string")))).drop("name")
 
 
 def overall(detections: DataFrame, claims: DataFrame | None = None) -> DataFrame:

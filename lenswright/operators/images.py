@@ -12,9 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 # The input size and the normalisation of pretrained image models.
 IMAGE_SIZE = 224
@@ -31,6 +32,65 @@ def to_rgb(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return a[:, :, 2::-1]
 
 
+def from_array(pixels: list | np.ndarray) -> dict:
+    """A grey (height x width), RGB or RGBA array of 0 to 255 as the image source's struct; other shapes are an error."""
+    a = np.asarray(pixels)
+    a = a[:, :, None] if a.ndim == 2 else a
+    if a.ndim != 3 or a.shape[2] not in (1, 3, 4) or not a.size:
+        raise TypeError(f"an image of the shape {a.shape}")
+    a = np.clip(np.rint(a.astype(float)), 0, 255).astype(np.uint8)
+    order = {1: [0], 3: [2, 1, 0], 4: [2, 1, 0, 3]}[a.shape[2]]
+    return {"origin": "", "height": a.shape[0], "width": a.shape[1], "nChannels": a.shape[2], "mode": 8 * (a.shape[2] - 1), "data": a[:, :, order].tobytes()}
+
+
+#: The image source's struct.
+IMAGE = StructType([StructField("origin", StringType()), *(StructField(n, IntegerType()) for n in ("height", "width", "nChannels", "mode")), StructField("data", BinaryType())])
+
+
+def image_of(df: DataFrame, paths: str | None = None, pixels: str | None = None) -> DataFrame:
+    """``df`` with ``image`` from a column of paths (read by Spark's image source) or of nested pixel arrays.
+
+    A path without a file, a file that is no picture and a null have a null image; an
+    array of any other shape than a picture's is an error.
+    """
+    if (paths is None) == (pixels is None):
+        raise TypeError("images come from paths or from pixels")
+    if pixels is not None:
+        kind = df.schema[pixels].dataType.simpleString()
+        if not kind.startswith("array<array<"):
+            raise TypeError(f"no image can be made of a column of {kind}")
+
+        sides = (("origin", pa.string()), *((n, pa.int32()) for n in ("height", "width", "nChannels", "mode")), ("data", pa.binary()))
+
+        def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                made = [None if v is None else from_array(v) for v in b.column(b.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.struct(sides))], names=[*b.schema.names[:-1], "image"])
+
+        rest = [f for f in df.schema.fields if f.name.lower() != "image"]
+        schema = StructType([*rest, StructField("image", IMAGE)])
+        names = ["`" + f.name.replace("`", "``") + "`" for f in rest]
+        return df.select(*names, F.col(pixels).alias("_pixels")).mapInArrow(drawn, schema)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    folders = [r[0] for r in df.select(F.regexp_replace(paths, "/[^/]*$", "").alias("f")).where("f is not null").distinct().limit(FOLDERS + 1).collect()]
+    if len(folders) > FOLDERS:
+        raise ValueError(f"paths of more than {FOLDERS} folders; read their common root with sources.files.images and join")
+    there = [f for f in folders if _exists(df.sparkSession, f)]
+    if not there:
+        return df.withColumn("image", F.lit(None).cast(IMAGE))
+    read = df.sparkSession.read.format("image").option("dropInvalid", "true").load(there).select(plain(F.col("image.origin")).alias("_origin"), "image")
+    return df.join(read, plain(F.col(paths)) == F.col("_origin"), "left").drop("_origin")
+
+
+#: Folders that one call reads paths of.
+FOLDERS = 1000
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def _weights(n_in: int, n_out: int) -> np.ndarray:
     """Triangle-filter resampling from ``n_in`` to ``n_out``, widened when shrinking so that nothing aliases."""
     scale = n_in / n_out
@@ -84,6 +144,7 @@ def eval_tensor(rgb: np.ndarray) -> np.ndarray:
 
 def train_tensor(rgb: np.ndarray, rng: np.random.Generator, blur: float = 0.0, erase: float = 0.0) -> np.ndarray:
     """The training transform: crop, flip, slight rotation, jitter, normalise; blur and erasing are optional."""
+    # Shares of area, ratios, degrees and jitter of the transform that is to be matched.
     h, w = rgb.shape[:2]
     area, ratio = h * w * rng.uniform(0.90, 1.0), np.exp(rng.uniform(np.log(0.95), np.log(1.05)))
     ch, cw = min(h, max(1, round(np.sqrt(area / ratio)))), min(w, max(1, round(np.sqrt(area * ratio))))

@@ -602,11 +602,39 @@ def profile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.select("c.*", "dimensions.*", F.col("duplicates.groups").alias("duplicate_groups"), F.col("duplicates.images").alias("duplicate_images"))
 
 
-@_register(f"{_DEV}, r AS (SELECT split, {_SUMMARY} GROUP BY 1 UNION ALL SELECT 'overall', {_SUMMARY}) SELECT split, images, fraud, non_fraud, 42 AS seed, true AS test_locked, true AS group_isolation_verified, true AS path_isolation_verified FROM r")
+_FLAG = "(SELECT count(*) FILTER (WHERE n > 1) = 0 FROM (SELECT {0}, count(DISTINCT split) AS n FROM sp GROUP BY 1))"
+
+
+@_register(
+    f"""{_DEV}, r AS (SELECT split, {_SUMMARY} GROUP BY 1 UNION ALL SELECT 'overall', {_SUMMARY})
+SELECT split, images, fraud, non_fraud, CAST(42 AS BIGINT) AS seed, true AS test_locked, {_FLAG.format("group_id")} AS group_isolation_verified, {_FLAG.format("doc_id")} AS path_isolation_verified FROM r"""
+)
 def split_audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report's row, its splits read back as rows."""
-    r = sinks.audit_row(splits.summary(_development(spark, sf_dir), "group_id"))
-    return r.select(F.explode("splits").alias("s"), "seed", "test_locked", "group_isolation_verified", "path_isolation_verified").select("s.*", "seed", "test_locked", "group_isolation_verified", "path_isolation_verified")
+    """The nested report, written as JSON and its splits read back as rows; the flags are what the checks found."""
+    dev = materialise(_development(spark, sf_dir), "development")
+    flags = [audit.isolated(dev, key, raise_on_overlap=False) for key in ("group_id", "doc_id")]
+    path = work_path(spark, "audit.json")
+    sinks.write_report(sinks.audit_row(splits.summary(dev, "group_id"), *flags), path)
+    named = ("seed", "test_locked", "group_isolation_verified", "path_isolation_verified")
+    read = files.json_settings(spark, path, "splits array<struct<split: string, images: long, fraud: long, non_fraud: long>>, seed long, test_locked boolean, group_isolation_verified boolean, path_isolation_verified boolean")
+    return read.select(F.explode("splits").alias("s"), *named).select("s.*", *named)
+
+
+@_register(
+    f"""WITH RECURSIVE {_INFO}, first AS (SELECT *, CAST(row_number() OVER (ORDER BY priority, images DESC, least_id) AS INT) AS group_number FROM info ORDER BY priority, images DESC, least_id LIMIT 50)
+SELECT group_number, group_id, priority, images, fraud, splits, labels, cross_split, (SELECT count(*) FROM first) AS all_groups, (SELECT CAST(sum(images) AS BIGINT) FROM first) AS all_images,
+  (SELECT count(*) FROM first WHERE cross_split) AS all_cross_split, (SELECT count(*) FROM first f WHERE f.priority = first.priority) AS of_priority FROM first"""
+)
+def visual_audit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first groups as a numbered CSV beside its JSON report, both read back."""
+    folder = work_path(spark, "visual-audit")
+    sinks.write_group_audit(materialise(neardup.priority_sample(group_info(spark, sf_dir)), "first-groups"), folder)
+    schema = "group_number int, group_id long, priority int, images long, fraud long, splits string, labels string, mixed_label boolean, cross_split boolean, train_test boolean, train_validation boolean, validation_test boolean"
+    rows = files.csv_split(spark, f"{folder}/groups", schema)
+    report = files.json_settings(spark, f"{folder}/report", "total struct<groups: long, images: long>, flags struct<cross_split: long>, priorities array<struct<priority: int, groups: long>>")
+    of = F.element_at(F.filter("priorities", lambda x: x["priority"] == F.col("priority")), 1)["groups"]
+    both = rows.crossJoin(F.broadcast(report))  # a report is one row
+    return both.select("group_number", "group_id", "priority", "images", "fraud", "splits", "labels", "cross_split", F.col("total.groups").alias("all_groups"), F.col("total.images").alias("all_images"), F.col("flags.cross_split").alias("all_cross_split"), of.alias("of_priority"))
 
 
 @_register(None)

@@ -30,10 +30,26 @@ def write_predictions(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").option("header", "true").partitionBy("error_type").csv(folder)
 
 
-def audit_row(summary: DataFrame, test_locked: bool = True, seed: int = 42) -> DataFrame:
-    """Split summaries and the governance flags as one row."""
+def audit_row(summary: DataFrame, groups: DataFrame, paths: DataFrame, test_locked: bool = True, seed: int = 42) -> DataFrame:
+    """Split summaries and the governance flags as one row; ``groups`` and ``paths`` are the checks of their isolation (one row with ``isolated``)."""
     per_split = F.array_sort(F.collect_list(F.struct("split", "images", "fraud", "non_fraud")))
-    return summary.agg(per_split.alias("splits")).select("splits", F.lit(seed).alias("seed"), F.lit(test_locked).alias("test_locked"), F.lit(True).alias("group_isolation_verified"), F.lit(True).alias("path_isolation_verified"))
+    rows = summary.agg(per_split.alias("splits"))
+    flags = groups.select(F.col("isolated").alias("group_isolation_verified")).crossJoin(paths.select(F.col("isolated").alias("path_isolation_verified")))
+    return rows.crossJoin(flags).select("splits", F.lit(seed).alias("seed"), F.lit(test_locked).alias("test_locked"), "group_isolation_verified", "path_isolation_verified")
+
+
+def write_group_audit(numbered_groups: DataFrame, folder: str) -> None:
+    """Numbered duplicate groups as a CSV, and their counts by priority, by flag and over all as one nested JSON report.
+
+    No groups give a CSV without rows and a report of zeros.
+    """
+    flags = ("mixed_label", "cross_split", "train_test", "train_validation", "validation_test")
+    write_csv(numbered_groups.orderBy("group_number"), f"{folder}/groups", ["group_number", "group_id", "priority", "images", "fraud", "splits", "labels", *flags])
+    by = numbered_groups.groupBy("priority").agg(F.count("*").alias("groups"), F.sum("images").alias("images"))
+    by = by.agg(F.array_sort(F.collect_list(F.struct("priority", "groups", "images"))).alias("priorities"))
+    count = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).cast("long")
+    total = numbered_groups.agg(F.struct(F.count("*").alias("groups"), count("images").alias("images"), count("fraud").alias("fraud")).alias("total"), F.struct(*(count(c).alias(c) for c in flags)).alias("flags"))
+    write_report(total.crossJoin(by), f"{folder}/report")
 
 
 def backup(spark: SparkSession, source: str, target: str) -> bool:

@@ -239,3 +239,63 @@ def test_model_files(spark, tmp_path):
     assert {r.id: r.prob for r in again.collect()} == pytest.approx(want)
     with pytest.raises(FileNotFoundError):
         training.publish_checkpoint(spark, f"file://{tmp_path}", run)
+
+
+def test_images_of_every_kind(spark, tmp_path):
+    """Paths, pixel arrays and their shapes: grey is repeated, alpha goes, anything else is an error."""
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 256, (5, 4, 3)).astype(np.uint8)
+    (tmp_path / "a.png").write_bytes(images.png(a))
+    (tmp_path / "b.png").write_bytes(b"none")
+    df = spark.createDataFrame([(f"file:{tmp_path}/a.png",), (f"{tmp_path}/b.png",), (f"{tmp_path}/gone.png",), ("/no/folder/x.png",), (None,)], "p string")
+    got = {r.p: r.image for r in images.image_of(df, paths="p").collect()}
+    assert len(got) == 5 and [k for k, v in got.items() if v] == [f"file:{tmp_path}/a.png"]
+    i = got[f"file:{tmp_path}/a.png"]
+    assert (images.to_rgb(bytes(i.data), i.height, i.width, i.nChannels) == a).all()
+    assert {r.image for r in images.image_of(df.where("p like '/no%'"), paths="p").collect()} == {None}
+    back = lambda i: images.to_rgb(bytes(i.data), i.height, i.width, i.nChannels)
+    colour = images.image_of(spark.createDataFrame([(a.tolist(),), (None,)], "x array<array<array<int>>>"), pixels="x").collect()
+    assert (back(colour[0].image) == a).all() and colour[1].image is None
+    grey = images.image_of(spark.createDataFrame([(a[:, :, 0].tolist(),)], "x array<array<int>>"), pixels="x").first().image
+    assert (back(grey) == a[:, :, :1].repeat(3, 2)).all()
+    with_alpha = np.concatenate([a, a[:, :, :1]], 2)
+    assert (back(images.image_of(spark.createDataFrame([(with_alpha.tolist(),)], "x array<array<array<int>>>"), pixels="x").first().image) == a).all()
+    with pytest.raises(TypeError):
+        images.from_array(np.zeros((2, 2, 5)))
+    for wrong in ({}, {"paths": "p", "pixels": "p"}, {"pixels": "p"}):
+        with pytest.raises(TypeError):
+            images.image_of(df, **wrong)
+
+
+def test_reports_of_no_groups(spark, tmp_path):
+    """Empty input has stated results: a CSV without rows and a report of zeros, flags that hold, splits of none."""
+    from lenswright.operators import audit, damage, splits
+    from lenswright.sources import files, sinks
+
+    flags = "mixed_label boolean, cross_split boolean, train_test boolean, train_validation boolean, validation_test boolean"
+    none = spark.createDataFrame([], f"group_number int, group_id long, priority int, images long, fraud long, splits string, labels string, {flags}")
+    sinks.write_group_audit(none, f"file://{tmp_path}/x")
+    assert files.csv_split(spark, f"file://{tmp_path}/x/groups", none.schema).collect() == []
+    report = spark.read.json(f"file://{tmp_path}/x/report").first()
+    assert report.total.asDict() == {"groups": 0, "images": 0, "fraud": 0} and set(report.flags.asDict().values()) == {0} and report.priorities == []
+    rows = spark.createDataFrame([], "doc_id long, group_id long, label int, split string")
+    checks = [audit.isolated(rows, k, raise_on_overlap=False) for k in ("group_id", "doc_id")]
+    one = sinks.audit_row(splits.summary(rows, "group_id"), *checks).first()
+    assert one.group_isolation_verified and one.path_isolation_verified
+    mixed = spark.createDataFrame([(1, 1, 0, "train"), (2, 1, 0, "test")], rows.schema)
+    checks = [audit.isolated(mixed, k, raise_on_overlap=False) for k in ("group_id", "doc_id")]
+    one = sinks.audit_row(splits.summary(mixed, "group_id"), *checks).first()
+    assert not one.group_isolation_verified and one.path_isolation_verified
+    boxes = spark.createDataFrame([], "claim_id long, class_id int, severity_score double")
+    claims = spark.createDataFrame([(1,)], "claim_id long")
+    assert [tuple(r) for r in damage.overall(boxes, claims).select("damage_detected", "damage_count", "overall_severity_score", "overall_severity").collect()] == [(False, 0, 0.0, "No Damage Detected")]
+
+
+def test_class_names_beyond_the_broadcast(spark, monkeypatch):
+    from lenswright.operators import damage
+
+    d = spark.createDataFrame([(1,), (2,)], "class_id int")
+    names = spark.createDataFrame([(1, "dent")], "class_id int, name string")
+    for most in (10, 0):
+        monkeypatch.setattr(damage, "CLASSES", most)
+        assert sorted(r.damage_type for r in damage.named(d, names).collect()) == ["class_2", "dent"]
