@@ -92,22 +92,31 @@ def _cumulated(scores: DataFrame) -> DataFrame:
 
 def average_precision(scores: DataFrame) -> DataFrame:
     """The sum of precision times step of recall over distinct scores; null without positives."""
+    return _average_precision(_cumulated(scores))
+
+
+def _average_precision(cumulated: DataFrame) -> DataFrame:
     step = F.col("pos") / F.col("npos") * (F.col("cum_pos") / F.col("cum_n"))
-    return _cumulated(scores).where("npos > 0").agg(F.sum(step).alias("average_precision"))
+    return cumulated.where("npos > 0").agg(F.sum(step).alias("average_precision"))
 
 
 def roc_auc(scores: DataFrame) -> DataFrame:
     """The chance that a positive scores above a negative, ties counting half; null without both classes."""
+    return _roc_auc(_cumulated(scores))
+
+
+def _roc_auc(cumulated: DataFrame) -> DataFrame:
     neg = F.col("n") - F.col("pos")
     above = F.col("cum_pos") - F.col("pos") + F.col("pos") / 2.0  # positives above each negative of this score
     total = F.sum(neg * above) / F.first(F.col("npos").cast("double") * (F.col("total") - F.col("npos")))
-    return _cumulated(scores).where("npos > 0 and npos < total").agg(total.alias("roc_auc"))
+    return cumulated.where("npos > 0 and npos < total").agg(total.alias("roc_auc"))
 
 
 def metric_bundle(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Rates, confusion counts, roc_auc and average_precision in one row; an undefined area is 0."""
     rates = with_rates(confusion_matrix(scores, threshold))
-    areas = roc_auc(scores).crossJoin(average_precision(scores))
+    cumulated = _cumulated(scores)  # dealt out and written once for both areas
+    areas = _roc_auc(cumulated).crossJoin(_average_precision(cumulated))
     return rates.crossJoin(areas).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("roc_auc", "average_precision")})
 
 

@@ -161,6 +161,12 @@ class Exchange:
         return out
 
 
+def _slots(spark: SparkSession) -> int:
+    """How many tasks the session runs at a time, as a barrier stage needs them all at once."""
+    context = spark.sparkContext._jsc.sc()
+    return max(1, min(spark.sparkContext.defaultParallelism, context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile())))
+
+
 def train_one_epoch(store: RowStore, head: Head, rate: float, all_layers: bool, size: int = BATCH, seed: int = 42, workers: int | None = None) -> DataFrame:
     """One pass over ``store`` in shuffled batches of ``size``: step, label, prob and loss of every row as its batch met it.
 
@@ -168,7 +174,7 @@ def train_one_epoch(store: RowStore, head: Head, rate: float, all_layers: bool,
     tasks at a time, or as ``workers`` says.
     """
     spark, steps = store.spark, store.batches(size)
-    workers = workers or spark.sparkContext.defaultParallelism
+    workers = workers or _slots(spark)
     names = tuple(head.parameters) if all_layers else ("weight", "bias")
     begin, exchanges = json.dumps(asdict(head)), work_path(spark, "sums")
 
