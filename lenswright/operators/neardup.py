@@ -45,7 +45,7 @@ def _block(h: Column, i: int, m: int) -> Column:
 
 
 def _keys(hashes: DataFrame, name: str, m: int, r: int) -> DataFrame:
-    """(name, blocks, value): a row for each choice of ``r`` of ``m`` blocks, with the bits that they hold."""
+    """``hashes``, the hash called ``name``, with blocks and value: a row for each choice of ``r`` of ``m`` blocks, with the bits that they hold."""
 
     def value(blocks: tuple[int, ...]) -> Column:
         out = F.lit(0).cast("long")
@@ -54,7 +54,18 @@ def _keys(hashes: DataFrame, name: str, m: int, r: int) -> DataFrame:
         return out
 
     each = F.array(*(F.struct(F.lit(",".join(map(str, c))).alias("blocks"), value(c).alias("value")) for c in combinations(range(m), r)))
-    return hashes.select(F.col("hash").alias(name), F.explode(each).alias("k")).select(name, "k.*")
+    others = [c for c in hashes.columns if c != "hash"]
+    return hashes.select(*others, F.col("hash").alias(name), F.explode(each).alias("k")).select(*others, name, "k.*")
+
+
+def _pairs_within(left: DataFrame, right: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of rows of two written tables, equal in ``by``, whose hashes a and b are within ``k``, with their distance and other columns."""
+    r = agreeing_blocks(max(left.count(), right.count()), k)
+    m = k + r
+    a, b = _keys(left, "a", m, r), _keys(right, "b", m, r)
+    agree = F.concat_ws(",", *(F.when(_block(F.col("a").bitwiseXOR(F.col("b")), i, m) == 0, F.lit(str(i))) for i in range(m)))
+    pairs = a.join(b, [*by, "blocks", "value"]).where(hamming(F.col("a"), F.col("b")) <= k).where(F.substring_index(agree, ",", r) == F.col("blocks"))
+    return pairs.drop("blocks", "value").withColumn("distance", hamming(F.col("a"), F.col("b")))
 
 
 def distinct_pairs(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
@@ -66,13 +77,7 @@ def distinct_pairs(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """
     same_side = left is right
     left = materialise(left, "hashes")
-    right = left if same_side else materialise(right, "hashes")
-    r = agreeing_blocks(max(left.count(), right.count()), k)
-    m = k + r
-    a, b = _keys(left, "a", m, r), _keys(right, "b", m, r)
-    agree = F.concat_ws(",", *(F.when(_block(F.col("a").bitwiseXOR(F.col("b")), i, m) == 0, F.lit(str(i))) for i in range(m)))
-    pairs = a.join(b, ["blocks", "value"]).where(hamming(F.col("a"), F.col("b")) <= k).where(F.substring_index(agree, ",", r) == F.col("blocks"))
-    return pairs.select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
+    return _pairs_within(left, left if same_side else materialise(right, "hashes"), k).select("a", "b", "distance")
 
 
 def hamming_pairs(items: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
@@ -111,23 +116,44 @@ def groups(items: DataFrame, k: int = 4, key: str = "doc_id", on_null: str = "sk
     return found.join(numbers, "comp").drop("comp")
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """For each row of ``left`` the nearest of ``right`` within ``k``: least distance, then least key.
+def radii(k: int) -> list[int]:
+    """The radii that a search within ``k`` grows through: 0, 1, 2, 4 and so on up to ``k``."""
+    return [0, *(1 << i for i in range(max(k, 1).bit_length()) if 1 << i < k), *([k] if k else [])]
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int, key: str = "doc_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """For each row of ``left`` the nearest of ``right``, among rows equal in ``by``, within ``k``: least distance, then least key.
 
     Each hash of either side is compared once, and a hash of the right side
-    stands for its least key.
+    stands for its least key.  The radius grows, and hashes that have met a
+    neighbour leave before the next one: in dense places, where neighbours are
+    close, the wide joins on few bits never see them, and nothing is lost, as
+    what is within a smaller radius is nearer.
+
+    Rows without a hash, or with a null in ``by``, have no neighbour; without
+    rows on either side there are none.
     """
-    heads = right.groupBy("hash").agg(F.min(key).alias("right_id"))
-    near = distinct_pairs(left.select("hash").distinct(), heads.select("hash"), k)
-    best = near.join(heads.select(F.col("hash").alias("b"), "right_id"), "b").groupBy("a").agg(F.min(F.struct("distance", "right_id")).alias("m"))
-    return left.select(F.col(key).alias("left_id"), F.col("hash").alias("a")).join(best, "a").select("left_id", "m.right_id", "m.distance")
+    heads = materialise(right.groupBy(*by, "hash").agg(F.min(key).alias("right_id")), "heads")
+    rest, found = materialise(left.select(*by, "hash").where(F.col("hash").isNotNull()).distinct(), "hashes"), []
+    for radius in radii(k):
+        best = _pairs_within(rest, heads, radius, by).groupBy(*by, "a").agg(F.min(F.struct("distance", "right_id")).alias("m"))
+        found.append(materialise(best.withColumnRenamed("a", "hash"), "nearest"))
+        if radius < k:
+            rest = materialise(rest.join(found[-1], [*by, "hash"], "left_anti"), "hashes")
+    best = reduce(DataFrame.unionByName, found)
+    return left.select(*by, F.col(key).alias("left_id"), "hash").join(best, [*by, "hash"]).select(*by, "left_id", "m.right_id", "m.distance")
 
 
 def nearest_across_splits(items: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """``nearest`` of each pair of splits of ``items`` (key, hash, split), with split_a and split_b."""
-    part = lambda s: items.where(F.col("split") == s)
-    found = [nearest(part(a), part(b), k, key).select(F.lit(a).alias("split_a"), F.lit(b).alias("split_b"), "left_id", "right_id", "distance") for a, b in PAIRS]
-    return reduce(DataFrame.unionByName, found)
+    """``nearest`` of each pair of splits of ``items`` (key, hash, split), with split_a and split_b; one search for all pairs."""
+
+    def side(at: int) -> DataFrame:
+        """Rows once for each pair of splits that has theirs on this side."""
+        pairs = F.array(*(F.struct(F.lit(a).alias("split_a"), F.lit(b).alias("split_b")) for a, b in PAIRS))
+        own = F.filter(pairs, lambda p: p["split_b" if at else "split_a"] == F.col("split"))
+        return items.select(key, "hash", F.explode(own).alias("p")).select(key, "hash", "p.*")
+
+    return nearest(side(0), side(1), k, key, ("split_a", "split_b"))
 
 
 def strongest(pairs: DataFrame, k: int, n: int) -> DataFrame:

@@ -113,6 +113,31 @@ def test_every_pair_of_splits_is_audited(spark):
     assert {tuple(r) for r in neardup.nearest_across_splits(items, 6).collect()} == want
 
 
+@pytest.mark.parametrize("k", [0, 1, 2, 5, 6])
+def test_nearest_in_dense_places(spark, k):
+    """A crowd around one hash, near and far strangers, ties, repeated rows and rows without a hash."""
+    rng = random.Random(k)
+    crowd = [sum(1 << b for b in rng.sample(range(64), rng.randrange(4))) for _ in range(150)]
+    far = [rng.getrandbits(64) for _ in range(20)]
+    near_far = [x ^ sum(1 << b for b in rng.sample(range(64), 5)) for x in far]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    left = [*crowd[:80], *far, crowd[0], None]
+    right = [*crowd[80:], *near_far, crowd[80], None]
+    frame = lambda hashes, first: spark.createDataFrame([(first + i, h if h is None else signed(h)) for i, h in enumerate(hashes)], "doc_id long, hash long")
+    want = set()
+    for i, x in enumerate(left):
+        d, y = min(((x ^ y).bit_count(), 1000 + j) for j, y in enumerate(right) if y is not None) if x is not None else (99, 0)
+        if d <= k:
+            want.add((i, y, d))
+    assert {tuple(r) for r in neardup.nearest(frame(left, 0), frame(right, 1000), k).collect()} == want
+    assert neardup.nearest(frame([], 0), frame(right, 1000), k).collect() == []
+    assert neardup.nearest(frame(left, 0), frame([], 1000), k).collect() == []
+
+
+def test_the_radius_grows_to_its_end():
+    assert [neardup.radii(k) for k in (0, 1, 2, 3, 4, 6, 8)] == [[0], [0, 1], [0, 1, 2], [0, 1, 2, 3], [0, 1, 2, 4], [0, 1, 2, 4, 6], [0, 1, 2, 4, 8]]
+
+
 def test_near_copies_of_the_validation_split_are_reported(spark):
     got = {(r.split_a, r.split_b) for r in catalogue.queries()["near_duplicate_audit"](spark, DATA).collect()}
     assert {("train", "validation"), ("validation", "test")} <= got
