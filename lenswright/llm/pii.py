@@ -5,7 +5,11 @@ the seeds of the bootstrap: the words around a seed induce lexical patterns, a
 graph of patterns and instances is scored in Spark in a few rounds, and
 patterns of high confidence mark further tokens, in shapes no base pattern
 knows, as identifiers of their kind.  A candidate is any token with a digit or
-an at sign, so a pattern around ordinary numbers earns no confidence.
+an at sign, any run of digit groups with spaces among them, and any address
+whose at sign is spelt out; so a pattern around ordinary numbers earns no
+confidence.  An unknown candidate counts half against a pattern, as it may be
+an identifier of an unseen shape; one that looks like an ordinary number (up to
+six digits and no letter) and one of another kind count whole.
 
 Defined cases: a null text is empty; repeated rows get equal results; a failed
 base match is dropped without a retry within it; a run without white space is
@@ -36,6 +40,10 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 SUPPORT, CONFIDENCE, ROUNDS = 8, 0.8, 3
 #: Instances of no kind that each pattern is held to have seen besides.
 DOUBT = 2
+#: What an unknown instance counts for; one like an ordinary number counts for one.
+UNKNOWN = 0.5
+#: Kinds of candidates that are no seeds: of unknown shape, and like ordinary numbers.
+OTHER, PLAIN = -1, -2
 #: Found spans of up to so many rows are sent to every task when texts are redacted.
 BROADCAST_ROWS = 200_000
 
@@ -47,6 +55,11 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SECRET = re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{16,})(?![0-9A-Za-z])")
 _SPOT = re.compile(r"[0-9@]")
+# Digit groups with spaces among them; groups are taken whole, so each run is read once.
+_SPACED = re.compile(r"(?<![0-9A-Za-z])(?:\+|\+?\()?[0-9]++(?:(?: ?[-/()]{1,2} ?| \. |[. ])[0-9]++)+(?![0-9A-Za-z])")
+# An at sign in brackets, or as a word before a name with a spelt-out dot; what follows it.
+_AT = re.compile(r"\s?[\[({<]\s?at\s?[\])}>]\s?|\sat\s(?=[A-Za-z0-9-]++\sdot\s)", re.I)
+_SPELT = re.compile(r"[A-Za-z0-9-]++(?:(?:\s?[\[({<]\s?dot\s?[\])}>]\s?|\sdot\s|\.)[A-Za-z0-9-]++)+", re.I)
 _WORD = re.compile(r"\S+")
 _DIGIT = re.compile(r"[0-9]")
 _EDGE = "\"'`()[]{}<>,.;:!?*#$%&|"
@@ -192,29 +205,51 @@ def _stripped(text: str, start: int, end: int) -> tuple[int, int]:
     return start + (keyed.end() if keyed else len(token) - len(token.lstrip(_EDGE))), end - (len(token) - len(token.rstrip(_EDGE)))
 
 
+def loose_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Identifiers that may reach over several words: spelt-out addresses and spaced digits, apart from ``taken``; sorted, disjoint."""
+    out, floor = [], 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > floor and text[start - 1] in _LOCAL:
+            start -= 1
+        name = _SPELT.match(text, m.end()) if start < m.start() and m.start() >= floor else None
+        floor = max(floor, name.end() if name else m.end())
+        if name and not _hits(taken, start, floor):
+            out.append((start, floor))
+    mails = list(out)
+    out += [m.span() for m in _SPACED.finditer(text) if " " in m[0] and not _hits(taken, *m.span()) and not _hits(mails, *m.span())]
+    return sorted(out)
+
+
+def _unknown(token: str) -> int:
+    """The kind of a candidate that is no seed."""
+    return OTHER if len(_digits(token)) > 6 or " . " in token or any(c.isalpha() or c == "@" for c in token) else PLAIN
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, list[str]]]:
-    """Seeds and unknown tokens as (kind or -1, start, end, instance, patterns)."""
+    """Seeds and unknown tokens as (kind, ``OTHER`` or ``PLAIN``; start, end, instance, patterns)."""
     seeds = list(base)
     taken = _merged(sorted((s, e) for _, s, e in seeds))
     for m in _SECRET.finditer(text):
         if not _hits(taken, m.start(), m.end()):
             seeds.append((4, m.start(), m.end()))
-    spot = _SPOT.search(text)
-    if not seeds and not spot:
-        return []
     taken = _merged(sorted((s, e) for _, s, e in seeds))
+    spot, loose = _SPOT.search(text), loose_spans(text, taken)
+    if not seeds and not spot and not loose:
+        return []
     near = Contexts(text, taken)
     out = [(k, s, e, _hash(text[s:e].lower()), list(dict.fromkeys(near.patterns(s, e) + near.patterns_within(s, e)))) for k, s, e in seeds]
+    out += [(_unknown(text[s:e]), s, e, _hash(text[s:e].lower()), near.patterns(s, e)) for s, e in loose]
     while spot:
         word = near.word_at(spot.start())
         start, at = near.words[word]
         whole = s, e = _stripped(text, start, at)
-        if s < e and not _hits(taken, s, e) and _SPOT.search(text, s, e):
-            out.append((-1, s, e, _hash(text[s:e].lower()), near.patterns(s, e)))
+        if s < e and not _hits(taken, s, e) and not _hits(loose, s, e) and _SPOT.search(text, s, e):
+            out.append((_unknown(text[s:e]), s, e, _hash(text[s:e].lower()), near.patterns(s, e)))
         for part in near.parts_of(word) if _MARK.search(text, start, at) else ():
             s, e = _stripped(text, *part)
-            if s < e and (s, e) != whole and _SPOT.search(text, s, e) and not _hits(taken, s, e) and (found := near.patterns_within(s, e)):
-                out.append((-1, s, e, _hash(text[s:e].lower()), found))
+            if s < e and (s, e) != whole and _SPOT.search(text, s, e) and not _hits(taken, s, e) and not _hits(loose, s, e) and (found := near.patterns_within(s, e)):
+                out.append((_unknown(text[s:e]), s, e, _hash(text[s:e].lower()), found))
         spot = _SPOT.search(text, at)
     return out
 
@@ -275,7 +310,8 @@ def learn(scanned: DataFrame, support: int = SUPPORT, confidence: float = CONFID
 
     An edge counts once however often it occurs.  A seed is surely of its kind;
     an unknown instance is of a kind as far as its best trusted pattern says;
-    a pattern's confidence in a kind is the mean of its instances' belief, with
+    a pattern's confidence in a kind is the mean of its instances' belief, where
+    an unknown one weighs ``UNKNOWN`` unless it is like an ordinary number, with
     ``DOUBT`` instances of no kind besides.  Scores only rise from round to round.
     """
     edges = (
@@ -283,17 +319,18 @@ def learn(scanned: DataFrame, support: int = SUPPORT, confidence: float = CONFID
         .groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
     )
     edges = materialise(edges, "pii-edges")
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    weight = F.when(F.col("kind") == OTHER, F.lit(UNKNOWN)).otherwise(F.lit(1.0))
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(weight).alias("weight"))
     seeds = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("seeds"))
     trusted = None
-    unknown = edges.where("kind < 0").select("pattern", "instance")
+    unknown = edges.where("kind < 0").select("pattern", "instance", weight.alias("share"))
     for _ in range(rounds):
         belief = seeds
         if trusted is not None:
             named = unknown.join(trusted, "pattern").groupBy("instance", "kind").agg(F.max("confidence").alias("belief"))
-            more = unknown.join(named, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("seeds"))
+            more = unknown.join(named, "instance").groupBy("pattern", "kind").agg(F.sum(F.col("belief") * F.col("share")).alias("seeds"))
             belief = seeds.unionByName(more).groupBy("pattern", "kind").agg(F.sum("seeds").alias("seeds"))
-        scored = belief.join(sizes, "pattern").withColumn("confidence", F.col("seeds") / (F.col("n") + DOUBT))
+        scored = belief.join(sizes, "pattern").withColumn("confidence", F.col("seeds") / (F.col("weight") + DOUBT))
         trusted = materialise(scored.where((F.col("n") >= support) & (F.col("confidence") >= confidence)).select("pattern", "kind", "confidence"), "pii-patterns")
     return trusted
 
