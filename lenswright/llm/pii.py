@@ -9,7 +9,8 @@ an at sign, any run of digit groups with spaces among them, and any address
 whose at sign is spelt out; so a pattern around ordinary numbers earns no
 confidence.  An unknown candidate counts half against a pattern, as it may be
 an identifier of an unseen shape; one that looks like an ordinary number (up to
-six digits and no letter) and one of another kind count whole.
+six digits and no letter) and one of another kind count whole, and ordinary
+numbers are never marked.
 
 Defined cases: a null text is empty; repeated rows get equal results; a failed
 base match is dropped without a retry within it; a run without white space is
@@ -309,7 +310,7 @@ def learn(scanned: DataFrame, support: int = SUPPORT, confidence: float = CONFID
     """Score the graph of patterns and instances: (pattern, kind, confidence) of the trusted patterns.
 
     An edge counts once however often it occurs.  A seed is surely of its kind;
-    an unknown instance is of a kind as far as its best trusted pattern says;
+    one of unknown shape is of a kind as far as its best trusted pattern says;
     a pattern's confidence in a kind is the mean of its instances' belief, where
     an unknown one weighs ``UNKNOWN`` unless it is like an ordinary number, with
     ``DOUBT`` instances of no kind besides.  Scores only rise from round to round.
@@ -323,12 +324,12 @@ def learn(scanned: DataFrame, support: int = SUPPORT, confidence: float = CONFID
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(weight).alias("weight"))
     seeds = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("seeds"))
     trusted = None
-    unknown = edges.where("kind < 0").select("pattern", "instance", weight.alias("share"))
+    unknown = edges.where(F.col("kind") == OTHER).select("pattern", "instance")
     for _ in range(rounds):
         belief = seeds
         if trusted is not None:
             named = unknown.join(trusted, "pattern").groupBy("instance", "kind").agg(F.max("confidence").alias("belief"))
-            more = unknown.join(named, "instance").groupBy("pattern", "kind").agg(F.sum(F.col("belief") * F.col("share")).alias("seeds"))
+            more = unknown.join(named, "instance").groupBy("pattern", "kind").agg(F.sum(F.col("belief") * UNKNOWN).alias("seeds"))
             belief = seeds.unionByName(more).groupBy("pattern", "kind").agg(F.sum("seeds").alias("seeds"))
         scored = belief.join(sizes, "pattern").withColumn("confidence", F.col("seeds") / (F.col("weight") + DOUBT))
         trusted = materialise(scored.where((F.col("n") >= support) & (F.col("confidence") >= confidence)).select("pattern", "kind", "confidence"), "pii-patterns")
@@ -340,7 +341,7 @@ def discover(scanned: DataFrame, trusted: DataFrame) -> DataFrame:
     flat = scanned.select("k1", "k2", F.explode("found").alias("c")).select("k1", "k2", "c.kind", "c.start", "c.end", "c.patterns")
     seeds = flat.where("kind >= 4").select("k1", "k2", F.struct("kind", "start", "end").alias("span"))
     marked = (
-        flat.where("kind < 0").select("k1", "k2", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern")
+        flat.where(F.col("kind") == OTHER).select("k1", "k2", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern")
         .groupBy("k1", "k2", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
         .select("k1", "k2", F.struct("kind", "start", "end").alias("span"))
     )

@@ -75,12 +75,12 @@ def brute_learn(found):
         belief = defaultdict(float)  # (instance, kind): what its best trusted pattern says
         for (p, kind), c in trusted.items():
             for i, k in edges[p].items():
-                if k < 0:
+                if k == pii.OTHER:
                     belief[i, kind] = max(belief[i, kind], c)
         scored = {}
         for p, of in edges.items():
             for kind in range(len(pii.KINDS)):
-                seeds = sum(1 for k in of.values() if k == kind) + sum(belief.get((i, kind), 0) * share(k) for i, k in of.items() if k < 0)
+                seeds = sum(1 for k in of.values() if k == kind) + sum(belief.get((i, kind), 0) * share(k) for i, k in of.items() if k == pii.OTHER)
                 c = seeds / (sum(map(share, of.values())) + pii.DOUBT)
                 if len(of) >= pii.SUPPORT and c >= pii.CONFIDENCE:
                     scored[p, kind] = c
@@ -93,7 +93,7 @@ def brute_spans(found, trusted):
     out = {(k, s, e) for k, s, e, _, _ in found if k >= 4}
     for kind, s, e, _, patterns in found:
         said = [(c, -k) for p in patterns for k in range(len(pii.KINDS)) if (c := trusted.get((p, k)))]
-        if kind < 0 and said:
+        if kind == pii.OTHER and said:
             out.add((-max(said)[1], s, e))
     return out
 
@@ -163,6 +163,16 @@ def test_recall_of_unseen_shapes(spark, unseen):
     assert len(extra) <= 0.1 * sum(hit.values()), extra
 
 
+def test_ordinary_numbers_are_left_alone(spark):
+    """In contexts that identifiers and, now and then, ordinary numbers share, only identifiers are marked."""
+    rows, want = _corpus(0.1)
+    for c in [c for cs in CONTEXTS.values() for c in cs]:
+        rows += [(len(rows) + k, f"nunc {c.format(v)}", "en", "s", 0) for k, v in enumerate(("44", "17:30", "1984"))]
+    found = {(r.doc_id, *s.split(":")) for r in pii.digest(cases.frame(spark, rows)).collect() for s in r.spans.split(",") if s}
+    base = {(k, pii.KINDS[x], str(s), str(e)) for k, t, *_ in rows for x, s, e in pii.base_spans(t)}
+    assert found - base == {(k, x, str(s), str(e)) for k, (x, s, e) in want.items()}
+
+
 def test_loose_spans():
     text = "mail jo [at] mail [dot] org, or kim at web dot org; at home.Then 198 . 51 . 100 . 7, 555 2485. 3 men, (988) 555 2485x 1 2"
     assert [text[s:e] for s, e in pii.loose_spans(text, [])] == ["jo [at] mail [dot] org", "kim at web dot org", "198 . 51 . 100 . 7", "555 2485", "(988) 555", "1 2"]
