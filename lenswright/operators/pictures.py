@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.workspace import by_merge
 from .images import cam_panels, contact_sheet, png, to_rgb, with_boxes
 
 FILE = "name string, content binary"
@@ -92,4 +93,4 @@ def evidence_paths(claims: DataFrame, written: DataFrame) -> DataFrame:
     leaf = F.substring_index("name", "/", -1)
     by = written.select(F.regexp_replace("name", "/[^/]*$", "").alias("k"), F.when(leaf == "original.png", F.col("path")).alias("o"), F.when(leaf == "annotated.png", F.col("path")).alias("a"))
     paths = by.groupBy("k").agg(F.max("o").alias("original"), F.max("a").alias("annotated"))
-    return claims.select("claim_id").distinct().join(paths, F.col("claim_id").cast("string") == F.col("k"), "left").drop("k")
+    return claims.select("claim_id").distinct().join(by_merge(paths), F.col("claim_id").cast("string") == F.col("k"), "left").drop("k")

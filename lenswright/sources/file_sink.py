@@ -25,6 +25,8 @@ from pyspark.sql.types import StructType
 
 NAME = "named_files"
 MANIFEST = "name string, file string, bytes long, sha256 string"
+#: Files that a task reads at most (about), and bytes after which it passes on what it has read.
+TASK_FILES, CHUNK = 5_000, 16 << 20
 
 
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -126,12 +128,30 @@ def written_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``written_files`` with their content, and whether it is what was written (``intact``)."""
+    """``written_files`` with their content, and whether it is what was written (``intact``).
+
+    Tasks open the files that the manifests name, so no list of files passes the
+    driver.  A file that is gone has no content.
+    """
     listed = written_files(spark, folder)
     if not listed.columns or listed.isEmpty():
         return listed.withColumns({"content": F.lit(None).cast("binary"), "intact": F.lit(None).cast("boolean")})
-    below = F.regexp_extract("p", r"([^/]+/files/.*)$", 1)
-    bodies = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/*/files").select(F.col("path").alias("p"), "content").select(below.alias("k"), "content")
-    keyed = listed.withColumn("k", F.regexp_extract("path", r"([^/]+/files/.*)$", 1))
-    read = keyed.join(bodies, "k", "left").drop("k").withColumn("content", F.coalesce("content", F.when(F.col("bytes") == 0, F.lit(b""))))  # Spark's reader leaves empty files out
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = store(folder)
+        for b in batches:
+            held, size, at = [], 0, 0
+            for k, path in enumerate(b.column("path").to_pylist(), 1):
+                try:
+                    with fs.open_input_stream(base + path[len(folder) :]) as f:
+                        held.append(f.read())
+                        size += len(held[-1])
+                except FileNotFoundError:
+                    held.append(None)
+                if size >= CHUNK or k == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([*b.slice(at, len(held)).columns, pa.array(held, pa.binary())], names=[*b.schema.names, "content"])
+                    held, size, at = [], 0, k
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-listed.count() // TASK_FILES))
+    read = listed.repartition(tasks, "path").mapInArrow(bodies, "name string, path string, bytes long, sha256 string, content binary")
     return read.withColumn("intact", F.coalesce(F.sha2("content", 256) == F.col("sha256"), F.lit(False)))
