@@ -38,6 +38,8 @@ from .scoring import ModelFile
 # Epochs and learning rates of the two stages, weight decay.
 STAGES = ((5, 1e-3, False), (15, 1e-5, True))
 WEIGHT_DECAY = 1e-4
+#: Rows of a batch that a worker has at least (about): with fewer, adding up the workers' sums takes longer than making them.
+WORKER_ROWS = 8
 
 
 @dataclass
@@ -139,7 +141,7 @@ class Exchange:
         path, pause = f"{self.folder}/{name}", 0.0005
         while self.fs.get_file_info(path).type == pafs.FileType.NotFound:  # a worker that is lost ends the stage, and this wait
             time.sleep(pause)
-            pause = min(2 * pause, 0.05)
+            pause = min(1.25 * pause, 0.05)
         with self.fs.open_input_file(path) as f:
             return np.frombuffer(f.read())
 
@@ -171,10 +173,10 @@ def train_one_epoch(store: RowStore, head: Head, rate: float, all_layers: bool,
     """One pass over ``store`` in shuffled batches of ``size``: step, label, prob and loss of every row as its batch met it.
 
     ``head`` is brought up to date.  There are as many workers as the session runs
-    tasks at a time, or as ``workers`` says.
+    tasks at a time, but no more than have ``WORKER_ROWS`` of a batch, or as ``workers`` says.
     """
     spark, steps = store.spark, store.batches(size)
-    workers = workers or _slots(spark)
+    workers = workers or min(_slots(spark), -(-size // WORKER_ROWS))
     names = tuple(head.parameters) if all_layers else ("weight", "bias")
     begin, exchanges = json.dumps(asdict(head)), work_path(spark, "sums")
 
