@@ -30,7 +30,7 @@ def test_blocks_follow_from_the_shorter_side_of_a_pair_of_splits(spark, monkeypa
     rng = random.Random(2)
     items = spark.createDataFrame([(k, rng.getrandbits(60), "train" if k < 200 else "validation" if k < 230 else "test") for k in range(270)], "doc_id long, hash long, split string")
     assert neardup.nearest_across_splits(workspace.materialise(items, "hashes"), 1).count() == 0
-    assert seen == [40, 40]  # train with test; 200 rows on the left, 270 over all pairs
+    assert seen == [40, 40]  # train with test; the left side has 430 rows over all pairs
 
 
 @pytest.mark.parametrize("r", [1, 2, 3, 4])
